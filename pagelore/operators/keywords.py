@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagelore import fixed_values as fx
 from pagelore.functions import text
@@ -34,7 +35,7 @@ def analyze(col: Column, analyzer: str = "simple") -> Column:
     return F.zip_with(stems, words, lambda s, r: F.struct(s.alias("term"), r["pos"].alias("pos")))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stem_all(terms: pd.Series) -> pd.Series:
     from pagelore.functions.stemming import stem
 
@@ -55,25 +56,28 @@ def term_vectors(chunks: DataFrame, chunk_id: str = "chunk_id", content: Column
     building the index needs no shuffle at all.
     """
     content = F.col(content) if isinstance(content, str) else content
-    sorted_terms = chunks.select(
-        F.col(chunk_id).alias("chunk_id"), F.array_sort(analyze(content, analyzer)).alias("s"))
-    n = F.size("s")
+    # Lambda variables hold the sorted terms, so they are computed once per row.
+    runs = F.transform(F.array(F.array_sort(analyze(content, analyzer))), _runs)[0]
+    return chunks.select(F.col(chunk_id).alias("chunk_id"), runs.alias("terms"))
+
+
+def _runs(s: Column) -> Column:
+    """Equal neighbours of a sorted ``array<struct<term,pos>>``, as one entry each."""
+    n = F.size(s)
     starts = F.filter(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: (i == 0) | (F.col("s")[i]["term"] != F.col("s")[F.greatest(i - 1, F.lit(0))]["term"]),
-    )
-    runs = sorted_terms.where(n > 0).withColumn("starts", starts)
-    ends = F.concat(F.slice(F.col("starts"), F.lit(2), F.size("starts")), F.array(F.size("s")))
-    terms = F.transform(
-        F.arrays_zip(F.col("starts").alias("from"), ends.alias("to")),
-        lambda r: F.struct(
-            F.col("s")[r["from"]]["term"].alias("term"),
-            (r["to"] - r["from"]).alias("tf"),
-            F.transform(F.slice(F.col("s"), r["from"] + 1, r["to"] - r["from"]),
-                        lambda x: x["pos"]).alias("positions"),
-        ),
-    )
-    return runs.select("chunk_id", terms.alias("terms"))
+        F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")),
+        lambda i: (i == 0) | (s[i]["term"] != s[F.greatest(i - 1, F.lit(0))]["term"]))
+
+    def entry(begin: Column, end: Column) -> Column:
+        return F.struct(
+            s[begin]["term"].alias("term"), (end - begin).alias("tf"),
+            F.transform(F.slice(s, begin + 1, end - begin), lambda x: x["pos"]).alias("positions"))
+
+    def entries(at: Column) -> Column:
+        return F.transform(at, lambda begin, j: entry(
+            begin, F.when(j + 1 < F.size(at), F.try_element_at(at, j + 2)).otherwise(n)))
+
+    return F.transform(F.array(starts), entries)[0]
 
 
 def postings(vectors: DataFrame) -> DataFrame:

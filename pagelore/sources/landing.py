@@ -15,8 +15,8 @@ from pagelore.operators.ranking import row_ids
 
 def read_raw_pages(spark: SparkSession, path: str) -> DataFrame:
     """One row per landed file: ``file, content``, the text as it was written."""
-    return spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(
-        path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
 
 
 def write_raw_snapshot(pages: DataFrame, path: str, run_stamp: str) -> None:

@@ -30,7 +30,7 @@ def write_history(history: DataFrame, path: str) -> None:
 
 
 def read_current(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path).where("is_current").drop("is_current")
+    return spark.read.parquet(path).where(F.col("is_current").cast("boolean")).drop("is_current")
 
 
 def experiment_rows(scores: DataFrame, config: list[str], name: Column, notes: str,
