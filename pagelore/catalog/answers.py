@@ -154,7 +154,7 @@ def q8(t: Tables):
 # --- Generation ----------------------------------------------------------------------
 
 def _hash_sql(*cols: str) -> str:
-    parts = [f"coalesce(concat(CAST(length({c}) AS VARCHAR), ':', {c}), '~')" for c in cols]
+    parts = [f"coalesce(CAST(length({c}) AS VARCHAR) || ':' || {c}, '~')" for c in cols]
     return f"sha256(concat_ws(';', {', '.join(parts)}))"
 
 

@@ -17,7 +17,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        setattr(self, name, table)   # the schema is read once per query
+        return table
 
 
 @dataclass(frozen=True)

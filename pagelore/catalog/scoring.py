@@ -17,7 +17,7 @@ N = "CAST(count(*) AS BIGINT)"
 # --- Ground truth ---------------------------------------------------------------
 
 TRUTH_SQL = """
-WITH rows AS (SELECT text AS question, 'harvested' AS source, concat('turn/', CAST(turn AS STRING)) AS source_url,
+WITH rows AS (SELECT c.text AS question, 'harvested' AS source, concat('turn/', CAST(turn AS STRING)) AS source_url,
     concat('https://docs.example.com/', d.source, '.md') AS answer_page_url
   FROM conversations c JOIN documents d ON d.doc_id = c.conv_id WHERE role = 'user'
   UNION ALL SELECT text, 'synthetic', NULL, concat('https://docs.example.com/', lang, '.md')

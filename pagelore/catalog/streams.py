@@ -13,8 +13,8 @@ from pagelore.streaming import live
 
 
 def stream_of(t: Tables, table: str) -> DataFrame:
-    batch = getattr(t, table)
-    return live.read_stream(t.spark, f"{t.root}/{table}.parquet", batch.schema)
+    # A pattern takes a table kept as one file as well as one kept as a folder.
+    return live.read_stream(t.spark, f"{t.root}/{table}.parque?", getattr(t, table).schema)
 
 
 def message_stream(t: Tables) -> DataFrame:

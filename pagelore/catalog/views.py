@@ -127,7 +127,7 @@ def history(t: Tables, loads: int = 3) -> DataFrame:
 
 
 _HASH = ("sha256(concat_ws(';', " + ", ".join(
-    f"coalesce(concat(CAST(length({c}) AS VARCHAR), ':', {c}), '~')" for c in PAGE_COLS) + "))")
+    f"coalesce(CAST(length({c}) AS VARCHAR) || ':' || {c}, '~')" for c in PAGE_COLS) + "))")
 for _n in (1, 2, 3):
     define(f"hashed_{_n}", f"SELECT *, {_HASH} AS row_hash FROM load_{_n}", f"load_{_n}")
 define("history_1", f"""SELECT *, TIMESTAMP '{LOADS[0]}' AS valid_from, CAST(NULL AS TIMESTAMP) AS valid_to

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagelore.functions import vectors
 from pagelore.operators.keywords import SCORE_DIGITS, keyword_scores, top_k
-from pagelore.session import broadcast_if_small
+from pagelore.session import settle
 
 
 def rrf_fuse(keyword: DataFrame, vector: DataFrame, rrf_k: int = 60, k: int | None = None) -> DataFrame:
@@ -51,8 +51,8 @@ def pool_scores(pool: DataFrame, terms: DataFrame, index: DataFrame, queries: Da
     """Both signals for pool members only: ``qid, chunk_id, rank, vec_score, kw_score``.
 
     The pool restricts the index and the corpus before any scoring."""
-    members = pool.select("qid", "chunk_id", "rank")
-    wanted = broadcast_if_small(members.select("chunk_id").distinct())
+    members = settle(pool.select("qid", "chunk_id", "rank"), "pool")
+    wanted = members.select("chunk_id").distinct()
     loose = keyword_scores(terms, index.join(wanted, "chunk_id", "left_semi"), "any")
     near = members.join(
         corpus.select("chunk_id", "embedding").join(wanted, "chunk_id", "left_semi"), "chunk_id", "left"

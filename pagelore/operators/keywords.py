@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from pagelore import fixed_values as fx
 from pagelore.functions import text
-from pagelore.session import broadcast_if_small
+from pagelore.session import settle
 
 SCORE_DIGITS = 9
 SEARCH_TOKEN = r'-?"[^"]*"|\S+'
@@ -48,50 +48,33 @@ def term_weight(tf: Column) -> Column:
                        lambda acc, j: acc + F.lit(1.0) / (j * j).cast("double"))
 
 
-def term_vectors(chunks: DataFrame, chunk_id: str = "chunk_id", content: Column | str = "content",
-                 analyzer: str = "simple") -> DataFrame:
-    """One row per chunk with its distinct terms: ``chunk_id, terms``.
-
-    Counting happens inside the row (sort, then cut where the term changes), so
-    building the index needs no shuffle at all.
-    """
-    content = F.col(content) if isinstance(content, str) else content
-    # Lambda variables hold the sorted terms, so they are computed once per row.
-    runs = F.transform(F.array(F.array_sort(analyze(content, analyzer))), _runs)[0]
-    return chunks.select(F.col(chunk_id).alias("chunk_id"), runs.alias("terms"))
-
-
-def _runs(s: Column) -> Column:
-    """Equal neighbours of a sorted ``array<struct<term,pos>>``, as one entry each."""
-    n = F.size(s)
-    starts = F.filter(
-        F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: (i == 0) | (s[i]["term"] != s[F.greatest(i - 1, F.lit(0))]["term"]))
-
-    def entry(begin: Column, end: Column) -> Column:
-        return F.struct(
-            s[begin]["term"].alias("term"), (end - begin).alias("tf"),
-            F.transform(F.slice(s, begin + 1, end - begin), lambda x: x["pos"]).alias("positions"))
-
-    def entries(at: Column) -> Column:
-        return F.transform(at, lambda begin, j: entry(
-            begin, F.when(j + 1 < F.size(at), F.try_element_at(at, j + 2)).otherwise(n)))
-
-    return F.transform(F.array(starts), entries)[0]
-
-
-def postings(vectors: DataFrame) -> DataFrame:
-    """``chunk_id, term, tf, positions, weight`` rows of the index (K2)."""
-    return vectors.select("chunk_id", F.explode("terms").alias("t")).select(
-        "chunk_id", "t.term", "t.tf", "t.positions", term_weight(F.col("t.tf")).alias("weight"))
+def exploded_terms(chunks: DataFrame, chunk_id: str, content: Column, analyzer: str) -> DataFrame:
+    """``chunk_id, term, pos`` for every term occurrence."""
+    key = F.col(chunk_id).alias("chunk_id")
+    # explode_outer: plain explode adds a size filter that would analyze twice.
+    if analyzer == "simple":
+        rows = chunks.select(key, F.posexplode_outer(text.simple_tokens(content)).alias("pos", "term"))
+    else:
+        rows = chunks.select(key, F.explode_outer(analyze(content, analyzer)).alias("t")).select(
+            "chunk_id", "t.pos", "t.term")
+    return rows.where(F.col("term").isNotNull())
 
 
 def build_postings(chunks: DataFrame, chunk_id: str = "chunk_id",
                    content: Column | str = "content", analyzer: str = "simple") -> DataFrame:
-    """Index partitioned by chunk. Store it bucketed by ``chunk_id`` and searches
-    over it start without a shuffle."""
-    placed = chunks.repartition(F.col(chunk_id))
-    return postings(term_vectors(placed, chunk_id, content, analyzer))
+    """``chunk_id, term, tf, positions, weight`` rows, partitioned by chunk (K2).
+
+    The texts are placed by chunk once; counting and every later sum per chunk
+    keep that placement. Positions are only collected for a reader that asks for
+    them. Store the index bucketed by ``chunk_id`` and a search starts without a
+    shuffle.
+    """
+    content = F.col(content) if isinstance(content, str) else content
+    placed = chunks.select(chunk_id, content.alias("__content")).repartition(F.col(chunk_id))
+    rows = exploded_terms(placed, chunk_id, F.col("__content"), analyzer)
+    counted = rows.groupBy("chunk_id", "term").agg(
+        F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    return counted.withColumn("weight", term_weight(F.col("tf")))
 
 
 def write_postings(index: DataFrame, table: str, buckets: int) -> None:
@@ -159,25 +142,23 @@ def phrase_hits(matched: DataFrame) -> DataFrame:
         "chunk_id", "qid", "clause", "item", "negated", "n_items", "n_terms").distinct()
 
 
-def keyword_scores(terms: DataFrame, index: DataFrame, match: str = "all") -> DataFrame:
-    """``qid, chunk_id, score`` for every chunk a query matches.
+def keyword_matches(terms: DataFrame, index: DataFrame) -> DataFrame:
+    """``qid, chunk_id, score, matches_all`` for every chunk a query matches.
 
     ``all``: every positive item of some clause is present. ``any``: at least one
     is. Chunks holding a negated item of the clause never match (K6).
     rank = (1/|Q|) · Σ over query terms of the term weight.
     """
-    if match not in ("all", "any"):
-        raise ValueError(f"unknown match {match!r}")
-    found = index.join(broadcast_if_small(terms), "term")
+    terms = settle(terms, "terms")
+    found = index.join(terms, "term")
     weight = F.when(F.col("scored"), F.col("weight")).otherwise(F.lit(0.0))
     single = F.col("len") == 1
-    has_phrases = not terms.where(F.col("len") > 1).isEmpty()
     facts = found.select(
         "chunk_id", "qid", "clause", "n_items", "n_terms", weight.alias("w"),
         (single & ~F.col("negated")).cast("int").alias("hit"),
         (single & F.col("negated")).cast("int").alias("bad"),
     )
-    if has_phrases:
+    if not terms.where(F.col("len") > 1).isEmpty():
         facts = facts.unionByName(phrase_hits(found).select(
             "chunk_id", "qid", "clause", "n_items", "n_terms", F.lit(0.0).alias("w"),
             (~F.col("negated")).cast("int").alias("hit"), F.col("negated").cast("int").alias("bad"),
@@ -186,12 +167,31 @@ def keyword_scores(terms: DataFrame, index: DataFrame, match: str = "all") -> Da
         F.sum("w").alias("w"), F.sum("hit").alias("hits"), F.sum("bad").alias("bad"),
         F.max("n_items").alias("n_items"), F.max("n_terms").alias("n_terms"),
     )
-    needed = F.col("n_items") if match == "all" else F.lit(1)
-    passed = (F.col("bad") == 0) & (F.col("n_items") > 0) & (F.col("hits") >= needed)
+    allowed = (F.col("bad") == 0) & (F.col("hits") > 0)
     return clauses.groupBy("chunk_id", "qid").agg(
-        F.max(passed).alias("passed"),
+        F.max(allowed).alias("matches_any"),
+        F.max(allowed & (F.col("hits") >= F.col("n_items"))).alias("matches_all"),
         F.round(F.sum("w") / F.max("n_terms"), SCORE_DIGITS).alias("score"),
-    ).where("passed").select("qid", "chunk_id", "score")
+    ).where("matches_any").select("qid", "chunk_id", "score", "matches_all")
+
+
+def keyword_scores(terms: DataFrame, index: DataFrame, match: str = "all") -> DataFrame:
+    """``qid, chunk_id, score`` of the matching chunks."""
+    if match not in ("all", "any"):
+        raise ValueError(f"unknown match {match!r}")
+    matches = keyword_matches(terms, index)
+    if match == "all":
+        matches = matches.where("matches_all")
+    return matches.select("qid", "chunk_id", "score")
+
+
+def keyword_topk_both(terms: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """Both lists in one pass over the index: ``match, qid, chunk_id, score, rank``."""
+    matches = keyword_matches(terms, index)
+    kinds = F.when(F.col("matches_all"), F.array(F.lit("all"), F.lit("any"))).otherwise(F.array(F.lit("any")))
+    rows = matches.select("qid", "chunk_id", "score", F.explode(kinds).alias("match"))
+    rank = F.row_number().over(W.partitionBy("qid", "match").orderBy(F.col("score").desc(), "chunk_id"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def top_k(scores: DataFrame, k: int, *tie: str) -> DataFrame:

@@ -159,7 +159,7 @@ def latency_per_hour(log: DataFrame, count_errors: bool = True, approximate: boo
             F.percentile_approx("latency_ms", 0.95).cast("double").alias("p95_ms"))
         return counted.groupBy("time").agg(mean.alias("avg_ms")).join(p95, "time")
     return counted.groupBy("time").agg(
-        mean.alias("avg_ms"), F.percentile("latency_ms", 0.95, "n").alias("p95_ms"))
+        mean.alias("avg_ms"), F.percentile("latency_ms", 0.95, F.col("n")).alias("p95_ms"))
 
 
 def top_score_per_hour(log: DataFrame) -> DataFrame:

@@ -106,7 +106,9 @@ def coerce_params(chosen: DataFrame, specs: DataFrame, keep: Sequence[str]) -> D
     ).join(F.broadcast(specs), "sandbox_flow")
     rows = rows.withColumn("raw", F.try_element_at("given", F.col("name")))
     number = jv.whole_number(F.col("raw"))
-    clamped = F.greatest(F.col("minimum").cast("double"), F.least(F.col("maximum").cast("double"), number))
+    # greatest and least skip NULLs, a missing number must stay missing
+    clamped = F.when(number.isNotNull(), F.greatest(
+        F.col("minimum").cast("double"), F.least(F.col("maximum").cast("double"), number)))
     as_text = F.col("raw").cast("string")
     picked = (jv.kind(F.col("raw")) == "STRING") & F.array_contains("choices", as_text)
     value = F.when(F.col("kind") == "choice", F.when(picked, as_text)).otherwise(

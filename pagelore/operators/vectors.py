@@ -18,7 +18,6 @@ from pagelore.operators.keywords import SCORE_DIGITS, top_k
 Encoder = Callable[[Sequence[str]], np.ndarray]
 
 QUERY_BLOCK = 4_096      # query vectors held by one task
-QUERY_BLOCK_VALUES = 4_000_000
 CORPUS_BLOCK = 50_000    # chunks per cell when the query set is too large to broadcast
 SCORES_AT_ONCE = 4_000_000
 HITS = T.StructType([
@@ -155,20 +154,18 @@ def vector_scores(queries: DataFrame, corpus: DataFrame, k: int, exclude_same: b
     """
     corpus = corpus.select(F.col("chunk_id").cast("long"), "embedding").where(F.col("embedding").isNotNull())
     queries = queries.select(F.col("qid").cast("long"), "qvec").where(F.col("qvec").isNotNull())
-    head = queries.limit(QUERY_BLOCK + 1).agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("qvec")), F.lit(0)).alias("values")).first()
-    if head["n"] <= QUERY_BLOCK and head["values"] <= QUERY_BLOCK_VALUES:
-        return _broadcast_scores(queries, corpus, k, exclude_same)
-    return _cell_scores(queries, corpus, k, exclude_same)
+    head = queries.limit(QUERY_BLOCK + 1).toArrow()
+    if not head.num_rows:
+        return queries.sparkSession.createDataFrame([], HITS)
+    if head.num_rows > QUERY_BLOCK:
+        return _cell_scores(queries, corpus, k, exclude_same)
+    return _broadcast_scores(head, corpus, k, exclude_same)
 
 
-def _broadcast_scores(queries: DataFrame, corpus: DataFrame, k: int, exclude_same: bool) -> DataFrame:
-    # At most QUERY_BLOCK rows, checked by the caller.
-    table = queries.toArrow()
-    if not table.num_rows:
-        return queries.sparkSession.createDataFrame([], HITS)
-    block = queries.sparkSession.sparkContext.broadcast(
-        (table.column("qid").to_numpy(), _matrix(table.column("qvec"))))
+def _broadcast_scores(head: pa.Table, corpus: DataFrame, k: int, exclude_same: bool) -> DataFrame:
+    # At most QUERY_BLOCK vectors.
+    block = corpus.sparkSession.sparkContext.broadcast(
+        (head.column("qid").to_numpy(), _matrix(head.column("qvec"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _TopK(*block.value, k, exclude_same)

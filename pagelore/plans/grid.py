@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagelore.operators import evaluation, fusion, keywords, vectors
 from pagelore.plans.search import Corpus, SearchConfig
-from pagelore.session import broadcast_if_small, materialize
+from pagelore.session import materialize
 
 
 def _lists(cfg: SearchConfig) -> str:
@@ -42,10 +42,9 @@ def grid_hits(queries: DataFrame, corpus: Corpus, configs: Sequence[SearchConfig
     terms = materialize(keywords.parse_search_terms(queries, analyzer=corpus.analyzer), "terms")
 
     arms: dict[str, DataFrame] = {}
-    for match in ("all", "any"):
-        if any(c.mode != "vector" and c.keyword_match == match for c in configs):
-            arms[f"keyword-{match}"] = materialize(
-                keywords.keyword_topk(terms, corpus.index, depth, match), "arm")
+    if any(c.mode != "vector" for c in configs):
+        both = materialize(keywords.keyword_topk_both(terms, corpus.index, depth), "arm")
+        arms = {f"keyword-{m}": both.where(F.col("match") == m).drop("match") for m in ("all", "any")}
     if any(c.mode != "keyword" for c in configs):
         arms["vector"] = materialize(vectors.vector_topk(queries, corpus.chunks, depth), "arm")
 
@@ -66,7 +65,7 @@ def grid_hits(queries: DataFrame, corpus: Corpus, configs: Sequence[SearchConfig
     lists = materialize(rows, "lists")
     plain = lists.where(~F.col("rerank")).select("config_id", "qid", "chunk_id", "rank")
     pools = lists.where("rerank")
-    members = pools.select("qid", "chunk_id").distinct().withColumn("rank", F.lit(0))
+    members = materialize(pools.select("qid", "chunk_id").distinct().withColumn("rank", F.lit(0)), "pool")
     signals = fusion.pool_scores(members, terms, corpus.index, queries, corpus.chunks).drop("rank")
     scored = pools.join(signals, ["qid", "chunk_id"])
     return plain.unionByName(_rerank_all(scored))
@@ -87,7 +86,7 @@ def retrieval_grid(queries: DataFrame, questions: DataFrame, corpus: Corpus,
     answer_page_url``."""
     configs = list(configs or evaluation.config_grid())
     hits = materialize(grid_hits(queries, corpus, configs), "hits")
-    shown = broadcast_if_small(hits.select("chunk_id").distinct())
+    shown = hits.select("chunk_id").distinct()
     urls = corpus.chunks.select("chunk_id", "page_url").join(shown, "chunk_id", "left_semi")
     fanned = evaluation.fan_out(questions, configs).select("config_id", "qid", "source", "answer_page_url")
     ranks = evaluation.reciprocal_rank(hits.join(urls, "chunk_id"), fanned, ["config_id"])

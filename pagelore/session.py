@@ -66,7 +66,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._pagelore_stored = True
+    return stored
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """:func:`materialize`, unless ``df`` is such a table already.
+
+    The file sizes are then known to the planner, which broadcasts the table on
+    its own when it is below ``spark.sql.autoBroadcastJoinThreshold``."""
+    return df if getattr(df, "_pagelore_stored", False) else materialize(df, name)
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
