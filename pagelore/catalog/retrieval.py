@@ -131,7 +131,7 @@ def e1(t: Tables):
 dims AS (SELECT chunk_id, CAST('0x' || substr(md5(term), 1, 7) AS BIGINT) % 64 AS dim, count(*) AS n
   FROM words GROUP BY 1, 2)
 SELECT chunk_id, 64 AS n_dims, CAST(count(*) AS INT) AS n_used,
-  round(max(n) / sqrt(sum(CAST(n AS DOUBLE) * n)), 5) AS largest FROM dims GROUP BY chunk_id
+  round(CAST(CAST(max(n) / sqrt(sum(CAST(n AS DOUBLE) * n)) AS FLOAT) AS DOUBLE), 5) AS largest FROM dims GROUP BY chunk_id
 UNION ALL SELECT chunk_id, 64, CAST(len(list_filter(embedding, lambda x: x <> 0)) AS INT),
   round(CAST(list_max(embedding) AS DOUBLE), 5) FROM chunks_v WHERE embedding IS NOT NULL
 """))

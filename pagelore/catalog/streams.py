@@ -70,7 +70,7 @@ def t5(t: Tables):
 @query("t6_stream_embed", """
 WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(source || chr(10) || text), '[\\p{L}\\p{N}]+')) AS term FROM documents),
 dims AS (SELECT doc_id, CAST('0x' || substr(md5(term), 1, 7) AS BIGINT) % 64 AS dim, count(*) AS n FROM words GROUP BY 1, 2)
-SELECT doc_id, CAST(count(*) AS INT) AS n_used, round(max(n) / sqrt(sum(CAST(n AS DOUBLE) * n)), 5) AS largest
+SELECT doc_id, CAST(count(*) AS INT) AS n_used, round(CAST(CAST(max(n) / sqrt(sum(CAST(n AS DOUBLE) * n)) AS FLOAT) AS DOUBLE), 5) AS largest
 FROM dims GROUP BY doc_id""")
 def t6(t: Tables):
     arriving = stream_of(t, "documents").select(
