@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagelore.catalog.registry import Tables
 from pagelore.operators import linkindex, versioning
+from pagelore.session import materialize
 
 SQL: dict[str, str] = {}
 NEEDS: dict[str, tuple[str, ...]] = {}
@@ -122,7 +123,8 @@ def moment(text: str):
 def history(t: Tables, loads: int = 3) -> DataFrame:
     rows = versioning.first_load(load_1(t), moment(LOADS[0]), PAGE_COLS)
     for at, load in list(zip(LOADS[1:], (load_2, load_3)))[: loads - 1]:
-        rows = versioning.scd2_merge(rows, load(t), moment(at), PAGE_COLS)
+        # The history is a stored table between two loads.
+        rows = versioning.scd2_merge(materialize(rows, "history"), load(t), moment(at), PAGE_COLS)
     return rows
 
 

@@ -12,8 +12,14 @@ def parsed(reply: Column) -> Column:
 
 
 def kind(value: Column) -> Column:
-    """``OBJECT``, ``ARRAY``, ``STRING``, ``BOOLEAN``, ``BIGINT``, …; NULL when absent."""
-    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    """``OBJECT``, ``ARRAY``, ``STRING``, ``BOOLEAN``, ``VOID`` or ``NUMBER``, told by
+    the first letter of the JSON text; NULL when absent."""
+    first = F.left(F.to_json(value), F.lit(1))
+    return (
+        F.when(first == "{", "OBJECT").when(first == "[", "ARRAY").when(first == '"', "STRING")
+        .when(first.isin("t", "f"), "BOOLEAN").when(first == "n", "VOID")
+        .when(first.isNotNull(), "NUMBER")
+    )
 
 
 def member(value: Column, path: str) -> Column:
@@ -42,5 +48,5 @@ def whole_number(value: Column) -> Column:
     return (
         F.when(name == "STRING", of_text)
         .when(name == "BOOLEAN", F.when(as_text == "true", 1.0).otherwise(0.0))
-        .when(name.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), cut)
+        .when(name == "NUMBER", cut)
     )

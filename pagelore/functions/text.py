@@ -10,6 +10,7 @@ from pagelore import fixed_values as fx
 LINE_BREAK = r"\r\n|\r|\n"
 # What counts as white space at the ends of a text (Unicode, not only ASCII).
 SPACE = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
+NOT_SPACE = r"[^\s\x{1c}-\x{1f}\x{85}\p{Z}]"
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 

@@ -60,11 +60,13 @@ def split_sections(pages: DataFrame, key: str = "url", content: str = "content",
         F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"),
     )
     joined = text.strip(F.array_join(F.transform("lines", lambda r: r["line"]), "\n"))
-    return sections.select(
+    # Tested on the lines: a filter on the joined text would join twice.
+    filled = F.exists("lines", lambda r: r["line"].rlike(text.NOT_SPACE))
+    return sections.where(filled).select(
         key, *[F.col(f"meta.{c}").alias(c) for c in keep],
         F.col("section_id").cast("long").alias("section_id"), "heading_path",
         joined.alias("text"),
-    ).where(F.col("text") != "")
+    )
 
 
 def _trail() -> Column:

@@ -44,8 +44,9 @@ def _stem_all(terms: pd.Series) -> pd.Series:
 
 def term_weight(tf: Column) -> Column:
     """1 + 1/4 + … + 1/tf²: frequency counts less and less."""
-    return F.aggregate(F.sequence(F.lit(1), tf), F.lit(0.0),
-                       lambda acc, j: acc + F.lit(1.0) / (j * j).cast("double"))
+    total = F.aggregate(F.sequence(F.lit(1), tf), F.lit(0.0),
+                        lambda acc, j: acc + F.lit(1.0) / (j * j).cast("double"))
+    return F.when(tf == 1, 1.0).when(tf == 2, 1.25).otherwise(total)
 
 
 def exploded_terms(chunks: DataFrame, chunk_id: str, content: Column, analyzer: str) -> DataFrame:

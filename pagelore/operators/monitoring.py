@@ -199,12 +199,9 @@ def rated_answers(log: DataFrame, feedback: DataFrame, n: int = 25) -> DataFrame
 # two bounded parts: all earlier seconds of the day (86,400 rows at most) and the
 # distinct moments within the second.
 
-def _running_counts(moments: DataFrame) -> DataFrame:
-    """``ts, own, probe`` -> ``ts, upto`` (messages of the day at or before ``ts``),
-    ``before`` (strictly before) and ``day_total``."""
-    second = F.date_trunc("second", "ts")
-    day = F.to_date("ts")
-    keyed = moments.withColumns({"second": second, "day": day})
+def _counts_upto(moments: DataFrame) -> DataFrame:
+    """Adds ``upto``, the messages of the day at or before ``at``, and ``day_total``."""
+    keyed = moments.withColumns({"second": F.date_trunc("second", "at"), "day": F.to_date("at")})
     per_second = keyed.groupBy("day", "second").agg(F.sum("own").alias("n"))
     of_day = W.partitionBy("day")
     earlier = F.coalesce(
@@ -212,10 +209,9 @@ def _running_counts(moments: DataFrame) -> DataFrame:
     base = per_second.select(
         "second", earlier.alias("base"), F.sum("n").over(of_day).alias("day_total"))
     inside = F.sum("own").over(
-        W.partitionBy("second").orderBy("ts").rowsBetween(W.unboundedPreceding, 0))
-    return keyed.withColumn("inside", inside).join(base, "second").select(
-        "ts", "day", (F.col("base") + F.col("inside")).alias("upto"),
-        (F.col("base") + F.col("inside") - F.col("own")).alias("before"), "day_total")
+        W.partitionBy("second").orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow))
+    return keyed.withColumn("inside", inside).join(base, "second").withColumn(
+        "upto", F.col("base") + F.col("inside"))
 
 
 def load_counters(log: DataFrame, limit_day: int = fx.MAX_QUESTIONS_PER_DAY,
@@ -223,24 +219,22 @@ def load_counters(log: DataFrame, limit_day: int = fx.MAX_QUESTIONS_PER_DAY,
     """For each message, the earlier messages of its day (M14) and of the minute
     before it (M15), with the caps they would hit. Messages of the same moment
     count for each other."""
-    minute = F.expr("INTERVAL 60 SECOND")
     per_moment = log.groupBy(F.col("asked_at").alias("ts")).agg(F.count(F.lit(1)).alias("own"))
-    # A probe a minute earlier counts nothing itself.
-    with_probes = per_moment.select(F.explode(F.array(
-        F.struct(F.col("ts").alias("ts"), F.col("own").alias("own")),
-        F.struct((F.col("ts") - minute).alias("ts"), F.lit(0).cast("long").alias("own")),
-    )).alias("m")).select("m.*").groupBy("ts").agg(F.sum("own").alias("own"))
-    counts = _running_counts(with_probes)
-    now = per_moment.select("ts", (F.col("ts") - minute).alias("probe")).join(
-        counts.select("ts", "day", "upto"), "ts")
-    then = counts.select(
-        F.col("ts").alias("probe"), F.col("day").alias("probe_day"), "before",
-        F.col("day_total").alias("probe_total"))
-    joined = now.join(then, "probe")
-    carried = F.when(F.col("day") == F.col("probe_day"), 0).otherwise(F.col("probe_total"))
-    per_ts = joined.select(
-        "ts", (F.col("upto") - 1).alias("day_count"),
-        (F.col("upto") + carried - F.col("before") - 1).alias("minute_count"))
+    # Each moment also asks for the count just before the minute that ends with it.
+    just_before = F.col("ts") - F.expr("INTERVAL '60.000001' SECOND")
+    moments = per_moment.select("ts", F.explode(F.array(
+        F.struct(F.col("ts").alias("at"), F.col("own").alias("own"), F.lit(False).alias("probe")),
+        F.struct(just_before.alias("at"), F.lit(0).cast("long").alias("own"), F.lit(True).alias("probe")),
+    )).alias("m")).select("ts", "m.*")
+    counts = _counts_upto(moments)
+
+    def of(probe: bool, value: str) -> Column:
+        return F.max(F.when(F.col("probe") == probe, F.col(value)))
+
+    carried = F.when(of(False, "day") == of(True, "day"), 0).otherwise(of(True, "day_total"))
+    per_ts = counts.groupBy("ts").agg(
+        (of(False, "upto") - 1).alias("day_count"),
+        (of(False, "upto") + carried - of(True, "upto") - 1).alias("minute_count"))
     return log.join(per_ts.withColumnRenamed("ts", "asked_at"), "asked_at").select(
         "id", "asked_at", "day_count", (F.col("day_count") >= limit_day).alias("day_capped"),
         "minute_count", (F.col("minute_count") >= limit_minute).alias("minute_capped"))

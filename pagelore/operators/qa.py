@@ -36,7 +36,7 @@ def parse_route(replies: DataFrame, question: str = "question", raw: str = "raw"
     subs_kind = jv.kind(subs_value)
     listed = F.transform(
         F.filter(F.try_variant_get(reply, "$.sub_questions", "array<variant>"),
-                 lambda x: F.schema_of_variant(x) == "STRING"),
+                 lambda x: jv.kind(x) == "STRING"),
         lambda x: x.cast("string"))
     letters = F.split(F.try_variant_get(reply, "$.sub_questions", "string"), "")
     keys = F.map_keys(F.try_variant_get(reply, "$.sub_questions", "map<string,variant>"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 from math import ceil
 
 import numpy as np
@@ -52,7 +53,8 @@ def encode_batches(rows: DataFrame, encoder: Callable[[], Encoder], title: str =
 
 def embed_missing(chunks: DataFrame, encoder: Callable[[], Encoder], **names: str) -> DataFrame:
     """Fill NULL embeddings only; filled rows pass by untouched."""
-    missing = chunks.where(F.col("embedding").isNull())
+    # Missing rows sit together after a rebuild; encoding is dear, so spread them.
+    missing = chunks.where(F.col("embedding").isNull()).repartition("chunk_id")
     filled = chunks.where(F.col("embedding").isNotNull())
     return filled.unionByName(encode_batches(missing, encoder, **names))
 
@@ -66,11 +68,15 @@ def hashed_term_encoder(dims: int = 64) -> Callable[[], Encoder]:
 
         words = re.compile(r"[^\W_]+")
 
+        @lru_cache(maxsize=200_000)
+        def slot(term: str) -> int:
+            return int(hashlib.md5(term.encode()).hexdigest()[:7], 16) % dims
+
         def encode(texts: Sequence[str]) -> np.ndarray:
             out = np.zeros((len(texts), dims))
             for i, one in enumerate(texts):
                 for term in words.findall(one.lower()):
-                    out[i, int(hashlib.md5(term.encode()).hexdigest()[:7], 16) % dims] += 1
+                    out[i, slot(term)] += 1
             return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
         return encode

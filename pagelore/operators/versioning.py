@@ -33,15 +33,16 @@ def scd2_merge(history: DataFrame, incoming: DataFrame, at: Column,
     """
     ident = [key, "row_hash"]
     fresh = with_row_hash(incoming, cols)
-    open_keys = history.where(F.col("valid_to").isNull()).select(*ident)
+    still_open = history.where(F.col("valid_to").isNull())
+    open_keys = still_open.select(*ident)
     load_keys = fresh.select(*ident)
 
     closing = open_keys.join(load_keys, ident, "left_anti").withColumn("closed_at", at)
     opening = load_keys.join(open_keys, ident, "left_anti")
 
-    kept = history.join(closing, ident, "left").withColumn(
-        "valid_to", F.coalesce("valid_to", "closed_at")
-    ).select(*history.columns)
+    # Closed versions are final and pass by without a join.
+    kept = history.where(F.col("valid_to").isNotNull()).unionByName(
+        still_open.join(closing, ident, "left").withColumn("valid_to", F.col("closed_at")).select(*history.columns))
     added = fresh.join(opening, ident, "left_semi").withColumns(
         {"valid_from": at, "valid_to": F.lit(None).cast(history.schema["valid_to"].dataType)}
     )

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -200,8 +201,30 @@ def admission_stream(log: DataFrame, limits: Limits = Limits(), key: str = "conv
 def admission_batch(log: DataFrame, limits: Limits = Limits(), key: str = "conversation_id",
                     order: str = "id", at: str = "asked_at") -> DataFrame:
     """T3 over a stored log. Sorted rows flow through each task batch by batch;
-    a key's rows are never gathered, its state is a few numbers."""
-
+    a key's rows are never gathered, its state is a few numbers.
+
+    Among any two stretches with questions, each longer than a minute and the
+    cooldown, one question is accepted. So the session cap is spent after twice
+    that many stretches, and the rest of a busy key, however long, is refused
+    without a sequential pass.
+    """
+    timed = _timed(log, key, order, at)
+    if limits.session > limits.daily:   # a day may stop a key before its session does
+        return _admit_in_order(timed, limits)
+    stretch = F.floor(F.col("at") / F.lit((max(60, limits.cooldown) + 1) * SECOND))
+    timed = timed.withColumn("stretch", stretch)
+    used = timed.groupBy("key", "stretch").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(W.partitionBy("key").orderBy("stretch"))
+    ends = used.withColumn("place", place).where(F.col("place") <= 2 * limits.session).groupBy(
+        "key").agg(F.max("stretch").alias("end"))
+    rows = timed.join(ends, "key")
+    early = rows.where(F.col("stretch") <= F.col("end")).select("key", "id", "at")
+    late = rows.where(F.col("stretch") > F.col("end")).select(
+        "key", "id", "at", F.lit(DECISIONS[1]).alias("decision"))
+    return _admit_in_order(early, limits).unionByName(late)
+
+
+def _admit_in_order(timed: DataFrame, limits: Limits) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, Admission(limits)
         for frame in frames:
@@ -210,7 +233,7 @@ def admission_batch(log: DataFrame, limits: Limits = Limits(), key: str = "conve
                     current, state = group, Admission(limits)
                 yield _decided(rows, state)[["key", "id", "at", "decision"]]
 
-    ordered = _timed(log, key, order, at).repartition("key").sortWithinPartitions("key", "at", "id")
+    ordered = timed.repartition("key").sortWithinPartitions("key", "at", "id")
     return ordered.mapInPandas(run, ADMISSION_OUT)
 
 
