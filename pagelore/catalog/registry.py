@@ -7,12 +7,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagelore.session import ship_package
+
 
 class Tables:
     """The given Parquet tables of one directory, read on first use."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        ship_package(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
