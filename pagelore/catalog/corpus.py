@@ -307,6 +307,79 @@ def x8(t: Tables):
 
 # --- Chunking -------------------------------------------------------------------
 
+# Packing, one unit after the other: lines of long paragraphs, then pieces.
+_GAP = "chr(10) || chr(10)"
+
+
+def packed_ctes(source: str) -> str:
+    """``pieces(key, i, piece)`` of the ``(key, text)`` rows of ``source``."""
+    return rf"""
+paras AS (SELECT key, unnest(ps) AS par, unnest(range(len(ps))) AS p FROM (
+  SELECT key, regexp_split_to_array(text, '\n\n+') AS ps FROM {source} WHERE length(text) > 1200)),
+plines AS (SELECT key, p, unnest(ls) AS line, unnest(range(len(ls))) + 1 AS n, len(ls) AS total FROM (
+  SELECT key, p, regexp_split_to_array(par, '\r\n|\r|\n') AS ls FROM paras WHERE length(par) > 1200)),
+lfold AS (
+  SELECT DISTINCT key, p, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS held, CAST(0 AS BIGINT) AS used,
+    CAST(NULL AS VARCHAR) AS flushed FROM plines
+  UNION ALL
+  SELECT l.key, l.p, l.n,
+    CASE WHEN length(l.line) > 1200 THEN NULL WHEN f.held IS NULL OR f.used + length(l.line) > 1200 THEN l.line
+      ELSE f.held || chr(10) || l.line END,
+    CASE WHEN length(l.line) > 1200 THEN 0 WHEN f.held IS NULL OR f.used + length(l.line) > 1200
+      THEN length(l.line) + 1 ELSE f.used + length(l.line) + 1 END,
+    CASE WHEN length(l.line) > 1200 OR f.used + length(l.line) > 1200 THEN f.held END
+  FROM lfold f JOIN plines l ON l.key = f.key AND l.p = f.p AND l.n = f.n + 1),
+units AS (
+  SELECT key, p, 0 AS n, 0 AS o, 0 AS s, par AS unit FROM paras WHERE length(par) <= 1200
+  UNION ALL SELECT key, p, n, 0, 0, flushed FROM lfold WHERE flushed IS NOT NULL
+  UNION ALL SELECT key, p, n, 1, s, substr(line, 1200 * s + 1, 1200) FROM (
+    SELECT key, p, n, line, unnest(range(CAST(ceil(length(line) / 1200.0) AS BIGINT))) AS s
+    FROM plines WHERE length(line) > 1200)
+  UNION ALL SELECT f.key, f.p, f.n, 2, 0, f.held FROM lfold f
+    JOIN plines l ON l.key = f.key AND l.p = f.p AND l.n = f.n WHERE f.n = l.total AND f.held IS NOT NULL),
+numbered AS (SELECT key, unit, row_number() OVER (PARTITION BY key ORDER BY p, n, o, s) AS i,
+    count(*) OVER (PARTITION BY key) AS total FROM units),
+pfold AS (
+  SELECT DISTINCT key, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS body, '' AS prior, CAST(0 AS BIGINT) AS used,
+    CAST(NULL AS VARCHAR) AS emitted FROM numbered
+  UNION ALL
+  SELECT u.key, u.i,
+    CASE WHEN f.body IS NULL THEN u.unit
+      WHEN f.used + length(u.unit) > 1200 THEN CASE WHEN f.prior <> '' THEN right(f.prior, 200) || {_GAP} ELSE '' END || u.unit
+      ELSE f.body || {_GAP} || u.unit END,
+    u.unit,
+    CASE WHEN f.body IS NULL THEN length(u.unit)
+      WHEN f.used + length(u.unit) > 1200 THEN length(right(f.prior, 200)) + length(u.unit)
+      ELSE f.used + length(u.unit) END,
+    CASE WHEN f.body IS NOT NULL AND f.used + length(u.unit) > 1200 THEN f.body END
+  FROM pfold f JOIN numbered u ON u.key = f.key AND u.i = f.i + 1),
+pieces AS (
+  SELECT key, 0 AS i, text AS piece FROM {source} WHERE length(text) <= 1200
+  UNION ALL SELECT key, i, emitted FROM pfold WHERE emitted IS NOT NULL
+  UNION ALL SELECT f.key, f.i + 1, f.body FROM pfold f JOIN numbered u ON u.key = f.key AND u.i = f.i
+    WHERE f.i = u.total)"""
+
+
+def merged_ctes(source: str) -> str:
+    """``merged(key, i, path, body)`` of the ordered ``(key, n, total, path, piece)`` rows of ``source``."""
+    joined = v.STRIP_SQL.format(f"(f.pending || {_GAP} || t.piece)")
+    return f"""
+fold AS (
+  SELECT DISTINCT key, CAST(0 AS BIGINT) AS n, '' AS path, '' AS body, '' AS pending, false AS done FROM {source}
+  UNION ALL
+  SELECT key, n, path, body, CASE WHEN length(body) < 200 THEN body ELSE '' END, length(body) >= 200
+  FROM (SELECT t.key, t.n, t.path, CASE WHEN f.pending <> '' THEN {joined} ELSE t.piece END AS body
+    FROM fold f JOIN {source} t ON t.key = f.key AND t.n = f.n + 1)),
+kept AS (SELECT key, path, body, row_number() OVER (PARTITION BY key ORDER BY n) - 1 AS i,
+    count(*) OVER (PARTITION BY key) - 1 AS final FROM fold WHERE done),
+rest AS (SELECT f.key, f.pending FROM fold f JOIN {source} t ON t.key = f.key AND t.n = f.n
+  WHERE f.n = t.total AND f.pending <> ''),
+merged AS (SELECT key, CAST(i AS INT) AS i, path,
+    body || CASE WHEN i = final AND pending IS NOT NULL THEN {_GAP} || pending ELSE '' END AS body
+  FROM kept LEFT JOIN rest USING (key)
+  UNION ALL SELECT key, 0, '', pending FROM rest WHERE key NOT IN (SELECT key FROM kept))"""
+
+
 def _running(expr: str) -> str:
     return f"{expr} OVER (PARTITION BY url ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
@@ -334,12 +407,27 @@ SELECT url, section_id, any_value(heading_path) AS heading_path, {_JOINED} AS te
 FROM sections GROUP BY url, section_id HAVING {_JOINED} <> ''"""
 
 
-@query("c1_split_sections", v.with_views("markdown_v", body="").rstrip() + SECTIONS_SQL)
+C1_SQL = v.with_views("markdown_v", body="").rstrip() + SECTIONS_SQL
+CHUNKS_SQL = C1_SQL.replace("WITH ", "WITH RECURSIVE ", 1).replace(
+    "\nSELECT url, section_id, any_value", ",\ncut AS (SELECT url, section_id, any_value", 1) + f"""),
+keyed AS (SELECT url || '#' || CAST(section_id AS VARCHAR) AS key, url, section_id, heading_path, text FROM cut),
+{packed_ctes('keyed')},
+ordered AS (SELECT k.url AS key, k.heading_path AS path, p.piece,
+    row_number() OVER (PARTITION BY k.url ORDER BY k.section_id, p.i) AS n, count(*) OVER (PARTITION BY k.url) AS total
+  FROM pieces p JOIN keyed k ON k.key = p.key),
+{merged_ctes('ordered')}
+SELECT key AS url, i AS chunk_index, path AS heading_path, CAST(length(body) AS INT) AS n_chars,
+  sha256(body) AS content_hash FROM merged"""
+
+
+@query("c1_split_sections", C1_SQL)
 def c1(t: Tables):
     return chunking.split_sections(v.markdown(t))
 
 
-@query("c2_pack_section")
+@query("c2_pack_section", f"""WITH RECURSIVE docs AS (SELECT doc_id AS key, text FROM documents), {packed_ctes('docs')}
+SELECT key AS doc_id, CAST(row_number() OVER (PARTITION BY key ORDER BY i) - 1 AS INT) AS piece,
+  CAST(length(piece) AS INT) AS n_chars, sha256(piece) AS content_hash FROM pieces""")
 def c2(t: Tables):
     pieces = t.documents.select("doc_id", chunking.pack_section(F.col("text")).alias("pieces"))
     return pieces.select("doc_id", F.posexplode("pieces").alias("piece", "content")).select(
@@ -361,7 +449,10 @@ def c3(t: Tables):
     ).withColumn("slice", F.col("slice").cast("long"))
 
 
-@query("c4_merge_small")
+@query("c4_merge_small", f"""WITH RECURSIVE turns AS (SELECT conv_id AS key, role AS path, text AS piece,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS total
+  FROM conversations), {merged_ctes('turns')}
+SELECT key AS conv_id, i AS chunk_index, path AS heading_path, CAST(length(body) AS INT) AS n_chars FROM merged""")
 def c4(t: Tables):
     turns = t.conversations.select(
         "conv_id", "turn", F.col("role").alias("heading_path"), F.col("text").alias("content"))
@@ -369,7 +460,7 @@ def c4(t: Tables):
     return merged.select("conv_id", "chunk_index", "heading_path", F.length("content").alias("n_chars"))
 
 
-@query("c5_chunk_pages")
+@query("c5_chunk_pages", CHUNKS_SQL)
 def c5(t: Tables):
     return chunking.chunk_pages(v.markdown(t)).select(
         "url", "chunk_index", "heading_path", F.length("content").alias("n_chars"),

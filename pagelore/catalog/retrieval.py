@@ -10,6 +10,7 @@ from pagelore.functions import text
 from pagelore.functions import vectors as vec
 from pagelore.operators import evaluation, fusion, keywords, vectors
 from pagelore.plans.search import Corpus, SearchConfig, config_label, ranked_ids, search
+from pagelore.session import settle
 
 
 def index(t: Tables):
@@ -263,7 +264,7 @@ once AS (SELECT qid, chunk_id, min(rank * 10 + part) AS tier FROM parts GROUP BY
 SELECT qid, chunk_id, rank FROM (SELECT qid, chunk_id,
   row_number() OVER (PARTITION BY qid ORDER BY tier) AS rank FROM once) WHERE rank <= 8"""))
 def e12(t: Tables):
-    near = vectors.vector_topk(v.queries(t), vectors_of(t), 5)
+    near = settle(vectors.vector_topk(v.queries(t), vectors_of(t), 5), "hits")
     parts = near.withColumn("part", F.lit(0)).unionByName(
         near.where(F.col("qid") > 0).withColumns({"qid": F.col("qid") - 1, "part": F.lit(1)}))
     return fusion.merge_parts(parts, 8).withColumn("rank", F.col("rank").cast("long"))
@@ -273,7 +274,7 @@ def e12(t: Tables):
 SELECT q.qid, m.part FROM queries_v q, (VALUES (0), (1)) m(part) WHERE NOT EXISTS (
   SELECT 1 FROM kw_all k WHERE k.qid = q.qid + m.part)"""))
 def e12_skipped(t: Tables):
-    found = keywords.keyword_topk(terms(t), index(t), 5, "all")
+    found = settle(keywords.keyword_topk(terms(t), index(t), 5, "all"), "hits")
     hits = found.select("qid", F.lit(0).alias("part")).unionByName(
         found.select((F.col("qid") - 1).alias("qid"), F.lit(1).alias("part")))
     parts = v.queries(t).select("qid", F.explode(F.array(F.lit(0), F.lit(1))).alias("part"))

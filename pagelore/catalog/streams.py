@@ -39,12 +39,31 @@ def t2(t: Tables):
     return _ntz(live.drain(live.burst_windows(message_stream(t)), ["time"]))
 
 
-@query("t3_admission_control")
+# Follows each conversation's messages one by one, with the times accepted so far.
+ADMISSION_SQL = v.with_views("messages_v", body="").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """
+, asked AS (SELECT conversation_id AS key, id, epoch_us(asked_at) AS micros,
+    row_number() OVER (PARTITION BY conversation_id ORDER BY asked_at, id) AS n FROM messages_v),
+steps AS (
+  SELECT DISTINCT key, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS micros, CAST(0 AS BIGINT) AS n,
+    CAST(NULL AS VARCHAR) AS decision, CAST([] AS BIGINT[]) AS taken FROM asked
+  UNION ALL
+  SELECT key, id, micros, n, decision, CASE WHEN decision = 'accepted' THEN list_append(taken, micros) ELSE taken END
+  FROM (SELECT a.key, a.id, a.micros, a.n, s.taken, CASE
+      WHEN len(s.taken) >= 25 THEN 'session'
+      WHEN len(s.taken) > 0 AND a.micros - s.taken[-1] < 5000000 THEN 'cooldown'
+      WHEN len(list_filter(s.taken, lambda x: x // 86400000000 = a.micros // 86400000000)) >= 200 THEN 'daily'
+      WHEN len(list_filter(s.taken, lambda x: x >= a.micros - 60000000)) >= 10 THEN 'minute'
+      ELSE 'accepted' END AS decision
+    FROM steps s JOIN asked a ON a.key = s.key AND a.n = s.n + 1))
+SELECT key, id, micros AS "at", decision FROM steps WHERE n > 0"""
+
+
+@query("t3_admission_control", ADMISSION_SQL)
 def t3(t: Tables):
     return live.drain_append(live.admission_stream(message_stream(t)))
 
 
-@query("t3_admission_batch")
+@query("t3_admission_batch", ADMISSION_SQL)
 def t3_batch(t: Tables):
     return live.admission_batch(v.messages(t))
 

@@ -7,6 +7,9 @@ task sends at most k rows per query to the final ranking.
 
 from __future__ import annotations
 
+from functools import reduce
+from math import ceil
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,6 +21,7 @@ from pagelore.functions import text
 from pagelore.session import settle
 
 SCORE_DIGITS = 9
+TERM_BLOCK = 200_000    # query-term rows broadcast at once
 SEARCH_TOKEN = r'-?"[^"]*"|\S+'
 
 
@@ -151,7 +155,7 @@ def keyword_matches(terms: DataFrame, index: DataFrame) -> DataFrame:
     rank = (1/|Q|) · Σ over query terms of the term weight.
     """
     terms = settle(terms, "terms")
-    found = index.join(terms, "term")
+    found = index.join(F.broadcast(terms) if terms.count() <= TERM_BLOCK else terms, "term")
     weight = F.when(F.col("scored"), F.col("weight")).otherwise(F.lit(0.0))
     single = F.col("len") == 1
     facts = found.select(
@@ -186,8 +190,25 @@ def keyword_scores(terms: DataFrame, index: DataFrame, match: str = "all") -> Da
     return matches.select("qid", "chunk_id", "score")
 
 
+def query_blocks(terms: DataFrame) -> list[DataFrame]:
+    """Query terms in stored blocks small enough to broadcast, whole queries each.
+
+    A large question set then reads the index once per block, and no match leaves
+    its task before it is ranked; one join with all terms would shuffle them all."""
+    terms = settle(terms, "terms")
+    n = ceil(terms.count() / TERM_BLOCK)
+    if n <= 1:
+        return [terms]
+    block = F.pmod(F.xxhash64("qid"), F.lit(2 * n))
+    return [settle(terms.where(block == i), "terms") for i in range(2 * n)]
+
+
 def keyword_topk_both(terms: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """Both lists in one pass over the index: ``match, qid, chunk_id, score, rank``."""
+    return reduce(DataFrame.unionByName, [_topk_both(b, index, k) for b in query_blocks(terms)])
+
+
+def _topk_both(terms: DataFrame, index: DataFrame, k: int) -> DataFrame:
     matches = keyword_matches(terms, index)
     kinds = F.when(F.col("matches_all"), F.array(F.lit("all"), F.lit("any"))).otherwise(F.array(F.lit("any")))
     rows = matches.select("qid", "chunk_id", "score", F.explode(kinds).alias("match"))
@@ -205,4 +226,5 @@ def top_k(scores: DataFrame, k: int, *tie: str) -> DataFrame:
 
 def keyword_topk(terms: DataFrame, index: DataFrame, k: int, match: str = "all") -> DataFrame:
     """``qid, chunk_id, score, rank`` (K4)."""
-    return top_k(keyword_scores(terms, index, match), k)
+    return reduce(DataFrame.unionByName, [
+        top_k(keyword_scores(b, index, match), k) for b in query_blocks(terms)])

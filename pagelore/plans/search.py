@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelore.operators import fusion, keywords, vectors
+from pagelore.session import settle
 
 
 @dataclass(frozen=True)
@@ -85,6 +86,7 @@ def search(queries: DataFrame, corpus: Corpus, cfg: SearchConfig,
            columns: Sequence[str] = ("page_url", "page_title", "heading_path", "content")) -> DataFrame:
     """Hits with their chunk columns, best first by ``rank``. The chunk texts are
     joined last, for the hits alone."""
-    hits = ranked_ids(queries, corpus, cfg)
+    # Written first: the planner then sees how small the hits are next to the texts.
+    hits = settle(ranked_ids(queries, corpus, cfg), "hits")
     return hits.join(corpus.chunks.select("chunk_id", *columns), "chunk_id").select(
         "qid", "rank", "chunk_id", *columns, "score")

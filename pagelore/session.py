@@ -8,7 +8,6 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -20,10 +19,6 @@ SESSION_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
 }
 
-# Broadcast limits. A side is broadcast only after it was counted below both.
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 64 * 1024 * 1024
-
 _local_roots: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -93,20 +88,3 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     The file sizes are then known to the planner, which broadcasts the table on
     its own when it is below ``spark.sql.autoBroadcastJoinThreshold``."""
     return df if getattr(df, "_pagelore_stored", False) else materialize(df, name)
-
-
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """True when ``df`` has at most ``rows`` rows and ``size`` bytes of JSON text.
-
-    Reads no further than ``rows + 1`` rows, so the check is cheap on a large input.
-    """
-    head = df.limit(rows + 1).select(
-        F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("n")
-    )
-    seen = head.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("bytes")).first()
-    return seen["rows"] <= rows and (seen["bytes"] or 0) <= size
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after the size was checked; else leave it to AQE."""
-    return F.broadcast(df) if is_small(df, rows) else df
