@@ -80,14 +80,6 @@ def s5(t: Tables):
         t.pages.select(F.col("page_id").alias("id"), "url"))
 
 
-@query("s6_rebuild_chunks")
-def s6(t: Tables):
-    pages = versioning.read_current_pages(v.history(t, 2))
-    return landing.rebuild_chunks(pages).select(
-        "chunk_id", "url", "title", "section", "heading_path", "chunk_index",
-        F.length("content").alias("n_chars"))
-
-
 QUESTION_ROWS = """SELECT conv_id, turn, text AS question, role AS source,
     CASE WHEN turn > 0 THEN concat('https://docs.example.com/', CAST(conv_id AS STRING)) END AS answer_page_url
   FROM conversations"""
@@ -407,20 +399,24 @@ SELECT url, section_id, any_value(heading_path) AS heading_path, {_JOINED} AS te
 FROM sections GROUP BY url, section_id HAVING {_JOINED} <> ''"""
 
 
-C1_SQL = v.with_views("markdown_v", body="").rstrip() + SECTIONS_SQL
-CHUNKS_SQL = C1_SQL.replace("WITH ", "WITH RECURSIVE ", 1).replace(
-    "\nSELECT url, section_id, any_value", ",\ncut AS (SELECT url, section_id, any_value", 1) + f"""),
+def sections_sql(view: str) -> str:
+    return v.with_views(view, body="").rstrip() + SECTIONS_SQL.replace("markdown_v", view)
+
+
+def chunks_sql(view: str) -> str:
+    """Ends in ``merged(key, i, path, body)``: the chunks of ``view(url, content)``."""
+    cut = sections_sql(view).replace("WITH ", "WITH RECURSIVE ", 1).replace(
+        "\nSELECT url, section_id, any_value", ",\ncut AS (SELECT url, section_id, any_value", 1)
+    return cut + f"""),
 keyed AS (SELECT url || '#' || CAST(section_id AS VARCHAR) AS key, url, section_id, heading_path, text FROM cut),
 {packed_ctes('keyed')},
 ordered AS (SELECT k.url AS key, k.heading_path AS path, p.piece,
     row_number() OVER (PARTITION BY k.url ORDER BY k.section_id, p.i) AS n, count(*) OVER (PARTITION BY k.url) AS total
   FROM pieces p JOIN keyed k ON k.key = p.key),
-{merged_ctes('ordered')}
-SELECT key AS url, i AS chunk_index, path AS heading_path, CAST(length(body) AS INT) AS n_chars,
-  sha256(body) AS content_hash FROM merged"""
+{merged_ctes('ordered')}"""
 
 
-@query("c1_split_sections", C1_SQL)
+@query("c1_split_sections", sections_sql("markdown_v"))
 def c1(t: Tables):
     return chunking.split_sections(v.markdown(t))
 
@@ -460,7 +456,9 @@ def c4(t: Tables):
     return merged.select("conv_id", "chunk_index", "heading_path", F.length("content").alias("n_chars"))
 
 
-@query("c5_chunk_pages", CHUNKS_SQL)
+@query("c5_chunk_pages", chunks_sql("markdown_v") + """
+SELECT key AS url, i AS chunk_index, path AS heading_path, CAST(length(body) AS INT) AS n_chars,
+  sha256(body) AS content_hash FROM merged""")
 def c5(t: Tables):
     return chunking.chunk_pages(v.markdown(t)).select(
         "url", "chunk_index", "heading_path", F.length("content").alias("n_chars"),
@@ -471,3 +469,16 @@ def c5(t: Tables):
 FROM documents""")
 def c6(t: Tables):
     return chunking.chunk_stats(v.chunks(t)).withColumn("avg_chars", F.round("avg_chars", 6))
+
+
+v.define("current_2", "SELECT * FROM history_2 WHERE valid_to IS NULL", "history_2")
+
+
+@query("s6_rebuild_chunks", chunks_sql("current_2") + """
+SELECT row_number() OVER (ORDER BY key, i) AS chunk_id, key AS url, title, section, path AS heading_path,
+  i AS chunk_index, CAST(length(body) AS INT) AS n_chars FROM merged JOIN current_2 ON url = key""")
+def s6(t: Tables):
+    pages = versioning.read_current_pages(v.history(t, 2))
+    return landing.rebuild_chunks(pages).select(
+        "chunk_id", "url", "title", "section", "heading_path", "chunk_index",
+        F.length("content").alias("n_chars"))
