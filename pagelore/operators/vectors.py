@@ -96,6 +96,24 @@ def mean_pool_normalize(tokens: DataFrame, key: str, vector: str, weight: str |
     return mean.select(key, vectors.unit(F.col("mean")).alias("embedding"))
 
 
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """Mask of the best ``k`` columns per row; equal scores go to the first columns.
+
+    Copies of one vector may fill the block with ties, so ties are counted, not
+    collected."""
+    n = scores.shape[1]
+    if n <= k:
+        return np.ones_like(scores, dtype=bool)
+    bar = np.partition(scores, n - k, axis=1)[:, n - k, None]
+    mask = scores >= bar
+    tied = np.nonzero(mask.sum(axis=1) > k)[0]
+    if len(tied):
+        above, equal = scores[tied] > bar[tied], scores[tied] == bar[tied]
+        room = k - above.sum(axis=1, keepdims=True)
+        mask[tied] = above | (equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= room))
+    return mask
+
+
 class _TopK:
     """Running best ``k`` chunks per query: higher score first, then lower id."""
 
@@ -113,17 +131,15 @@ class _TopK:
 
     def _add(self, ids: np.ndarray, matrix: np.ndarray) -> None:
         length = np.linalg.norm(matrix, axis=1)
-        ids, matrix, length = ids[length > 0], matrix[length > 0], length[length > 0]
+        by_id = np.argsort(ids, kind="stable")
+        by_id = by_id[length[by_id] > 0]
+        ids, matrix, length = ids[by_id], matrix[by_id], length[by_id]
         if not len(ids):
             return
         scores = np.round(self.queries @ (matrix / length[:, None]).T, SCORE_DIGITS)
         if self.exclude_same:
             scores[self.qids[:, None] == ids[None, :]] = -np.inf
-        if len(ids) > self.k:
-            bar = np.partition(scores, len(ids) - self.k, axis=1)[:, len(ids) - self.k]
-            row, col = np.nonzero(scores >= bar[:, None])
-        else:
-            row, col = np.nonzero(np.ones_like(scores, dtype=bool))
+        row, col = np.nonzero(_best(scores, self.k))
         real = np.isfinite(scores[row, col])
         row, col = row[real], col[real]
         row = np.concatenate([self.row, row])
