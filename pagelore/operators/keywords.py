@@ -155,7 +155,8 @@ def keyword_matches(terms: DataFrame, index: DataFrame) -> DataFrame:
     rank = (1/|Q|) · Σ over query terms of the term weight.
     """
     terms = settle(terms, "terms")
-    found = index.join(F.broadcast(terms) if terms.count() <= TERM_BLOCK else terms, "term")
+    seen = terms.agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("len"), F.max("clause").alias("clause")).first()
+    found = index.join(F.broadcast(terms) if seen["n"] <= TERM_BLOCK else terms, "term")
     weight = F.when(F.col("scored"), F.col("weight")).otherwise(F.lit(0.0))
     single = F.col("len") == 1
     facts = found.select(
@@ -163,19 +164,24 @@ def keyword_matches(terms: DataFrame, index: DataFrame) -> DataFrame:
         (single & ~F.col("negated")).cast("int").alias("hit"),
         (single & F.col("negated")).cast("int").alias("bad"),
     )
-    if not terms.where(F.col("len") > 1).isEmpty():
+    if (seen["len"] or 0) > 1:
         facts = facts.unionByName(phrase_hits(found).select(
             "chunk_id", "qid", "clause", "n_items", "n_terms", F.lit(0.0).alias("w"),
             (~F.col("negated")).cast("int").alias("hit"), F.col("negated").cast("int").alias("bad"),
         ))
-    clauses = facts.groupBy("chunk_id", "qid", "clause").agg(
+    several = (seen["clause"] or 0) > 0
+    clauses = facts.groupBy("chunk_id", "qid", *(["clause"] if several else [])).agg(
         F.sum("w").alias("w"), F.sum("hit").alias("hits"), F.sum("bad").alias("bad"),
         F.max("n_items").alias("n_items"), F.max("n_terms").alias("n_terms"),
     )
     allowed = (F.col("bad") == 0) & (F.col("hits") > 0)
+    complete = allowed & (F.col("hits") >= F.col("n_items"))
+    if not several:
+        return clauses.where(allowed).select(
+            "qid", "chunk_id", F.round(F.col("w") / F.col("n_terms"), SCORE_DIGITS).alias("score"),
+            complete.alias("matches_all"))
     return clauses.groupBy("chunk_id", "qid").agg(
-        F.max(allowed).alias("matches_any"),
-        F.max(allowed & (F.col("hits") >= F.col("n_items"))).alias("matches_all"),
+        F.max(allowed).alias("matches_any"), F.max(complete).alias("matches_all"),
         F.round(F.sum("w") / F.max("n_terms"), SCORE_DIGITS).alias("score"),
     ).where("matches_any").select("qid", "chunk_id", "score", "matches_all")
 

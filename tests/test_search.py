@@ -79,7 +79,7 @@ def test_search_stays_inside_the_chunk_partitioning(spark, index):
     terms = keywords.parse_search_terms(spark.createDataFrame([(7, "refund payment")], "qid long, query string"))
     plan = keywords.keyword_topk(terms, index, 5, "any")._jdf.queryExecution().executedPlan().toString()
     # one placement by chunk, one final shuffle by query, limited before it
-    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("REPARTITION_BY_COL") == 1
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("REPARTITION_BY_COL") == 1
     assert plan.count("WindowGroupLimit") == 2 and "BroadcastHashJoin" in plan
 
 
