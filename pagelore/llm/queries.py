@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelore.llm import bpe
 from pagelore.llm.simhash import simhash_groups
 from pagelore.llm.tables import table
 from pagelore.session import ship_package
 
+#: Folder of the tokenizer files; the installed package unless set otherwise.
+TOKENIZERS = os.environ.get("PAGELORE_TOKENIZERS", "/opt/tokenizers")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def prepare(spark: SparkSession) -> None:
+    """Ships the package and bounds what one Arrow batch holds, however long its texts are."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def query(run: Callable[[SparkSession, str], DataFrame]):
     def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship_package(spark)
+        prepare(spark)
         return run(spark, sf_dir)
 
     QUERIES[run.__name__] = shipped
@@ -28,3 +40,12 @@ def query(run: Callable[[SparkSession, str], DataFrame]):
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path)
+    return coded.select(
+        "doc_id", bpe.token_count().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
