@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pagelore.llm import bpe
 from pagelore.llm.simhash import simhash_groups
+from pagelore.llm.substrings import remove_repeats
 from pagelore.llm.tables import table
 from pagelore.session import ship_package
 
@@ -24,7 +25,7 @@ def prepare(spark: SparkSession) -> None:
     """Ships the package and bounds what one Arrow batch holds, however long its texts are."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def query(run: Callable[[SparkSession, str], DataFrame]):
@@ -49,3 +50,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(
         "doc_id", bpe.token_count().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
