@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelore.llm import bpe
+from pagelore.llm.decontamination import contamination, hit_words
+from pagelore.llm.lines import remove_repeated_lines
 from pagelore.llm.simhash import simhash_groups
 from pagelore.llm.substrings import remove_repeats
 from pagelore.llm.tables import table
@@ -56,3 +58,69 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), to="kept_text")
+    gone = F.aggregate("removed_spans", F.lit(0), lambda n, s: n + s["stop"] - s["start"])
+    return cut.select(
+        "doc_id", F.col("n_lines").cast("long").alias("n_lines"), gone.cast("long").alias("n_removed"),
+        F.size("removed_spans").cast("long").alias("n_runs"),
+        F.sha2(F.encode(F.coalesce("kept_text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op1_line_dedup"] = r"""
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+p AS (SELECT doc_id, unnest(range(len(ls))) AS pos, ls FROM l),
+w AS (SELECT doc_id, pos, ls[pos + 1] AS a, ls[pos + 2] AS b FROM p WHERE pos + 1 < len(ls)),
+f AS (SELECT *, min({'d': doc_id, 'p': pos}) OVER (PARTITION BY a, b) AS first FROM w),
+g AS (SELECT DISTINCT doc_id, pos + o AS pos FROM f, (VALUES (0), (1)) t(o) WHERE {'d': doc_id, 'p': pos} > first),
+k AS (SELECT p.doc_id, p.pos, p.ls[p.pos + 1] AS line, g.pos IS NOT NULL AS gone,
+             g.pos IS NOT NULL AND lag(g.pos) OVER (PARTITION BY p.doc_id ORDER BY p.pos) IS NULL AS opens
+      FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.pos = g.pos)
+SELECT l.doc_id, coalesce(count(k.pos), 0)::BIGINT AS n_lines, coalesce(sum(k.gone::INT), 0)::BIGINT AS n_removed,
+       coalesce(sum(k.opens::INT), 0)::BIGINT AS n_runs,
+       sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.pos) FILTER (NOT k.gone), '')) AS kept_sha256
+FROM l LEFT JOIN k ON l.doc_id = k.doc_id GROUP BY l.doc_id
+"""
+
+
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", hit_words().alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("item_ids"), ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("hit_spans") > 0).alias("contaminated"))
+
+
+ORACLE_SQL["op3_decontamination"] = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+'), []) AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS ws FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT item_id, ws, least(10, len(ws)) AS n, unnest(range(len(ws) - least(10, len(ws)) + 1)) AS p FROM b WHERE len(ws) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(ws[p + 1:p + n], ' ') AS w FROM i),
+sizes AS (SELECT DISTINCT n FROM iw),
+dp AS (SELECT doc_id, ws, n, unnest(range(len(ws) - n + 1)) AS p FROM d, sizes WHERE len(ws) >= n),
+h AS (SELECT dp.doc_id, dp.p, dp.n, iw.item_id FROM dp JOIN iw ON iw.n = dp.n AND iw.w = array_to_string(dp.ws[p + 1:p + dp.n], ' ')),
+hit AS (SELECT doc_id, count(DISTINCT x)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS x FROM h) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(i, ',' ORDER BY i) AS s
+       FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
+"""
+
+
+ORACLE_SQL["op5_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, coalesce(list_filter(string_split_regex(text, '[\x{20}\x{09}-\x{0D}]+'), x -> x <> ''), []) AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(len(ws) - 49)) AS p FROM d WHERE len(ws) >= 50),
+w AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY array_to_string(ws[p + 1:p + 50], ' ')) AS low FROM p),
+g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS x FROM w WHERE low < doc_id),
+a AS (SELECT doc_id, ws, unnest(range(len(ws))) AS x FROM d),
+k AS (SELECT a.doc_id, count(g.x)::BIGINT AS n_removed,
+             string_agg(ws[a.x + 1], ' ' ORDER BY a.x) FILTER (g.x IS NULL) AS s
+      FROM a LEFT JOIN g ON a.doc_id = g.doc_id AND a.x = g.x GROUP BY a.doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
