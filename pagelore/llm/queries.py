@@ -8,12 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm import bpe
+from pagelore.llm import bpe, toxicity
 from pagelore.llm.decontamination import contamination, hit_words
 from pagelore.llm.lines import remove_repeated_lines
 from pagelore.llm.simhash import simhash_groups
 from pagelore.llm.substrings import remove_repeats
-from pagelore.llm.tables import table
+from pagelore.llm.tables import bucket_of, table
 from pagelore.session import ship_package
 
 #: Folder of the tokenizer files; the installed package unless set otherwise.
@@ -113,7 +113,7 @@ FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_
 
 
 ORACLE_SQL["op5_substring_dedup"] = r"""
-WITH d AS (SELECT doc_id, coalesce(list_filter(string_split_regex(text, '[\x{20}\x{09}-\x{0D}]+'), x -> x <> ''), []) AS ws FROM documents),
+WITH d AS (SELECT doc_id, coalesce(list_filter(string_split_regex(text, '[\x{20}\x{09}-\x{0D}]+'), lambda x: x <> ''), []) AS ws FROM documents),
 p AS (SELECT doc_id, ws, unnest(range(len(ws) - 49)) AS p FROM d WHERE len(ws) >= 50),
 w AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY array_to_string(ws[p + 1:p + 50], ' ')) AS low FROM p),
 g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS x FROM w WHERE low < doc_id),
@@ -124,3 +124,12 @@ k AS (SELECT a.doc_id, count(g.x)::BIGINT AS n_removed,
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", (bucket_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
