@@ -164,3 +164,10 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, vec_id)
        vec_id = coalesce(component_id, vec_id) AS kept
 FROM embeddings LEFT JOIN n ON vec_id = a LEFT JOIN c ON vec_id = x
 """
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run   # it imports this module
+
+    return run(spark, sf_dir)
