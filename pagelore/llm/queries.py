@@ -12,6 +12,7 @@ from pagelore.llm import bpe, quality, toxicity
 from pagelore.llm.decontamination import contamination, hit_words
 from pagelore.llm.embeddings import near_vectors
 from pagelore.llm.lines import remove_repeated_lines
+from pagelore.llm.ngrams import score_held_out
 from pagelore.llm.simhash import simhash_groups
 from pagelore.llm.substrings import remove_repeats
 from pagelore.llm.tables import bucket_of, table
@@ -166,6 +167,11 @@ FROM embeddings LEFT JOIN n ON vec_id = a LEFT JOIN c ON vec_id = x
 """
 
 
+@query
+def op9_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_held_out(table(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run   # it imports this module
