@@ -30,7 +30,7 @@ from pagelore.llm.words import SPACED_LOWER, mix, starts_of, word_groups
 FILTER_BYTES = 64 << 20
 ENTRY_BITS, PROBES = 8, 3
 FREQUENT = 1 << 20
-PRIOR = 50.0
+PRIOR = 200.0
 _END = np.uint64(0xE5D1A6C37F204B99)
 _PAIR_BYTES = 5
 _PAIR_MASK = np.uint64((1 << 8 * _PAIR_BYTES) - 1)
