@@ -16,7 +16,8 @@ from pagelore.llm.ngrams import score_held_out
 from pagelore.llm.simhash import simhash_groups
 from pagelore.llm.substrings import remove_repeats
 from pagelore.llm.tables import bucket_of, table
-from pagelore.session import ship_package
+from pagelore.llm.warc import fixity_check
+from pagelore.session import new_path, ship_package
 
 #: Folder of the tokenizer files; the installed package unless set otherwise.
 TOKENIZERS = os.environ.get("PAGELORE_TOKENIZERS", "/opt/tokenizers")
@@ -172,6 +173,30 @@ def op9_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_held_out(table(spark, sf_dir, "documents"))
 
 
+@query
+def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two replicas of all pages; in the second every 97th page is damaged."""
+    found = fixity_check(table(spark, sf_dir, "pages"), new_path(spark, "warc"), F.col("page_id") % 97 == 13)
+    return found.select(
+        F.regexp_extract("record_id", r"urn:page:(-?\d+)", 1).cast("long").alias("page_id"), "archive", "ordinal",
+        F.col("start").alias("first_byte"), F.col("stop").alias("end_byte"), "sha256", "intact")
+
+
+ORACLE_SQL["op10_warc_fixity"] = r"""
+WITH r AS (
+  SELECT page_id, page_id // 1024 AS archive, coalesce(html, '') AS html, concat(
+    'WARC/1.1', chr(13), chr(10), 'WARC-Type: resource', chr(13), chr(10), 'WARC-Record-ID: <urn:page:', page_id, '>', chr(13), chr(10),
+    'WARC-Date: 1970-01-01T00:00:00Z', chr(13), chr(10), 'WARC-Target-URI: ' || url || chr(13) || chr(10),
+    'Content-Type: text/html', chr(13), chr(10), 'Content-Length: ', strlen(coalesce(html, '')), chr(13), chr(10), chr(13), chr(10),
+    coalesce(html, ''), chr(13), chr(10), chr(13), chr(10)) AS rec
+  FROM pages),
+o AS (SELECT *, row_number() OVER w - 1 AS ordinal, sum(strlen(rec)) OVER w AS stop FROM r WINDOW w AS (PARTITION BY archive ORDER BY page_id))
+SELECT page_id, archive, ordinal, (stop - strlen(rec))::BIGINT AS first_byte, stop::BIGINT AS end_byte, sha256(rec) AS sha256,
+       NOT (page_id % 97 = 13 AND html <> '' AND left(html, 1) <> '#') AS intact
+FROM o
+"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run   # it imports this module
