@@ -3,8 +3,8 @@
 Every window of ``width`` words gets a rolling hash. Windows are dealt by the smallest
 hash among their runs of KEY_WORDS words: equal windows have the same one, and
 neighbouring windows mostly share it, so a row carries some twenty window hashes and the
-shuffle moves them once, in 6 bytes each. A batch sends an equal window once only, for
-its smallest document, however often a hot passage comes. Windows that also start in a
+shuffle moves them once, in 6 bytes each. A batch sends an equal window for its smallest
+document only, however often a hot passage comes. Windows that also start in a
 smaller document are marked, runs of marked windows are merged into maximal intervals,
 and the intervals meet the texts again.
 """
@@ -39,16 +39,15 @@ def _unpack(data: np.ndarray) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
-def _repeated(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each window: whether a smaller document has it, and whether it stands for its class here."""
+def _repeated(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each window, whether a smaller document has it."""
     order = np.lexsort((doc, key))
     ordered = key[order]
     first = np.append(True, ordered[1:] != ordered[:-1])
     low = doc[order][np.flatnonzero(first)][np.cumsum(first) - 1]
-    later, stands = np.empty(len(key), bool), np.empty(len(key), bool)
+    later = np.empty(len(key), bool)
     later[order] = doc[order] > low
-    stands[order] = first
-    return later, stands
+    return later
 
 
 def _runs(change: np.ndarray) -> np.ndarray:
@@ -65,12 +64,15 @@ def _rows(columns: list) -> pa.RecordBatch:
 def _hashed(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
     """Rows of windows to compare (with hashes) and of windows already known as later copies (without)."""
     short = min(KEY_WORDS, width)
-    docs, windows, keys, places, rows = [], [], [], [], []
+    windows, keys, places, rows = [], [], [], []
     ids = batch.column(0).to_numpy(zero_copy_only=False)
+    texts = batch.column(1).to_numpy(zero_copy_only=False)
+    once = np.zeros(len(ids), bool)   # rows that repeat id and text share their verdict
+    once[np.unique(np.stack([ids, texts]), axis=1, return_index=True)[1]] = True
     for row, counts, hashes in word_groups(batch.column(2), SPACED):
         whole, part = rolling(hashes, width), sliding_min(rolling(hashes, short, 1), width - short + 1)
         begins = starts_of(counts)
-        n = np.maximum(counts - width + 1, 0)
+        n = np.where(once[row:row + len(counts)], np.maximum(counts - width + 1, 0), 0)
         at = np.repeat(begins[:-1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         windows.append(whole[at])
         keys.append(part[at])
@@ -81,8 +83,8 @@ def _hashed(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
     window, key, row, place = map(np.concatenate, (windows, keys, rows, places))
     if not len(window):
         return
-    docs, texts = ids[row], batch.column(1).to_numpy(zero_copy_only=False)
-    later, stands = _repeated(window, docs)
+    docs = ids[row]
+    later = _repeated(window, docs)
     begins = np.append(True, (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1))
     marked = np.append(True, later[1:] != later[:-1])
     bounds = _runs(begins | marked)
@@ -91,7 +93,7 @@ def _hashed(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
     if len(mine):
         yield _rows([mix(docs[mine].astype(np.uint64)).view(np.int64), docs[mine], texts[row[mine]], place[mine], sizes,
                      [b""] * len(mine)])
-    sent = np.flatnonzero(stands & ~later)
+    sent = np.flatnonzero(~later)
     key, row, place, window = key[sent], row[sent], place[sent], window[sent]
     bounds = _runs(np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)))
     packed = _pack(window)
@@ -117,7 +119,7 @@ def _compared(batches: list[pa.RecordBatch]) -> pa.RecordBatch | None:
     firsts, lengths = first[rows], n[rows]
     if len(row):
         key = mix(_unpack(raw) ^ (deal.view(np.uint64)[row] << np.uint64(1)))
-        later, _ = _repeated(key, doc[row])
+        later = _repeated(key, doc[row])
         hit = np.flatnonzero(later)
         if len(hit):
             bounds = _runs(np.append(True, (row[hit][1:] != row[hit][:-1]) | (place[hit][1:] != place[hit][:-1] + 1)))
