@@ -27,10 +27,10 @@ from pagelore.llm.tables import spare
 from pagelore.llm.words import BASE
 
 PIECE_CHARS = 1 << 20
-OUT_ROWS = 256
+OUT_ROWS = 128
 #: Remembered words of a worker; beyond it the memory starts afresh.
-REMEMBERED = 250_000
-WORDS_AT_ONCE, BLOCK = 1 << 17, 1 << 15
+REMEMBERED = 80_000
+WORDS_AT_ONCE, BLOCK = 1 << 16, 1 << 14
 NO_RANK = np.iinfo(np.int32).max
 
 

@@ -30,7 +30,7 @@ def prepare(spark: SparkSession) -> None:
     """Ships the package and bounds what one Arrow batch holds, however long its texts are."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def query(run: Callable[[SparkSession, str], DataFrame]):

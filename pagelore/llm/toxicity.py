@@ -21,7 +21,7 @@ from pagelore.llm.words import PLAIN_LOWER, mix, starts_of, word_groups
 
 BITS = 20
 #: At most this many labelled rows are learnt from: those whose ids hash lowest.
-TRAINING_ROWS = 20_000
+TRAINING_ROWS = 12_000
 EPOCHS = 5
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 12.0, 0.1
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 BASE = 0x9E3779B97F4A7C13
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
