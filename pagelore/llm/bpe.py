@@ -28,9 +28,9 @@ from pagelore.llm.words import BASE
 
 PIECE_CHARS = 1 << 20
 OUT_ROWS = 128
-#: Remembered words of a worker; beyond it the memory starts afresh.
-REMEMBERED = 80_000
-WORDS_AT_ONCE, BLOCK = 1 << 16, 1 << 14
+#: Words that each of a worker's two memories holds.
+REMEMBERED = 60_000
+WORDS_AT_ONCE, BLOCK = 1 << 16, 1 << 15
 NO_RANK = np.iinfo(np.int32).max
 
 
@@ -96,6 +96,7 @@ class Vocabulary:
         self.tokens = {i: t for t, i in (ids | special).items()}
         self.joined = self._adjacent(ids, {s: b for b, s in enumerate(symbols)})
         self.encoded: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _adjacent(self, ids: dict[str, int], byte: dict[str, int]) -> np.ndarray:
         """Whether two bytes are next to each other inside some token."""
@@ -154,15 +155,18 @@ class Vocabulary:
         return [packed[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def lookup(self, words: list[str]) -> dict[str, bytes]:
-        """The memory of encoded words, filled for all of ``words``."""
-        new = list(set(words).difference(self.encoded))
-        if new:
-            if len(self.encoded) + len(new) > REMEMBERED:
-                self.encoded.clear()
-                new = list(set(words))
-            for i in range(0, len(new), BLOCK):
-                block = new[i:i + BLOCK]
-                self.encoded.update(zip(block, self.merge(block)))
+        """The memory of encoded words, filled for all of ``words``. A full memory becomes the
+        older one; what is met again moves on from there, so common words are never lost."""
+        distinct = set(words)
+        if len(self.encoded) + len(distinct) > REMEMBERED:
+            self.older, self.encoded = self.encoded, {}
+        new = distinct.difference(self.encoded)
+        known = new.intersection(self.older)
+        self.encoded.update((w, self.older[w]) for w in known)
+        new = list(new.difference(known))
+        for i in range(0, len(new), BLOCK):
+            block = new[i:i + BLOCK]
+            self.encoded.update(zip(block, self.merge(block)))
         return self.encoded
 
     def normal(self, text: str) -> str:
