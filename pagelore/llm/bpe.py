@@ -145,7 +145,9 @@ class Vocabulary:
             keep[left + 1] = False
             at, ids, rank, inner = at[keep], ids[keep], rank[keep], inner[keep]
             left -= np.arange(len(left))
-            fresh = np.unique(np.concatenate([left, left[left > 0] - 1]))
+            near = np.zeros(len(ids), bool)
+            near[left] = near[np.maximum(left - 1, 0)] = True
+            fresh = np.flatnonzero(near)
             rank[fresh] = NO_RANK
             fresh = fresh[inner[fresh]]
             rank[fresh] = self.ranks(ids[fresh], ids[fresh + 1])
