@@ -222,7 +222,7 @@ RULE = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
 
 
 def hits(t: Tables):
-    return search(v.queries(t), corpus(t), SearchConfig(mode="vector", top_k=5))
+    return search(v.queries(t), corpus(t), SearchConfig(None, top_k=5))
 
 
 @query("q11_context_block", HITS_5 + f"""
@@ -279,7 +279,7 @@ def router_and_answers():
 def q14(t: Tables):
     asked = t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
     out = answer_batch(
-        asked, corpus(t), SearchConfig(mode="hybrid", keyword_match="any", top_k=10),
+        asked, corpus(t), SearchConfig("any", top_k=10),
         Prompts(router="route", answer="answer from the excerpts"), empty_cache(t),
         router_and_answers, vectors.hashed_term_encoder(64))
     return out.select("qid", "question", "answer", "route", F.size("retrieved").alias("n_retrieved"),
@@ -305,7 +305,7 @@ SELECT qid, page_url, arg_min(page_title, rank) AS page_title,
   CASE WHEN count(DISTINCT heading_path) = 1 THEN min(heading_path) END AS heading
 FROM hits GROUP BY qid, page_url""")
 def q16(t: Tables):
-    found = search(v.queries(t), corpus(t), SearchConfig(mode="vector", top_k=20))
+    found = search(v.queries(t), corpus(t), SearchConfig(None, top_k=20))
     return qa.group_citations(found).withColumn("first_index", F.col("first_index").cast("long"))
 
 

@@ -259,7 +259,7 @@ SELECT doc_id, section AS name, nullif(description, '') AS description,
 FROM (SELECT doc_id, section_pos, any_value(section) AS section,
     string_agg(CASE WHEN NOT is_heading AND {_PROSE} <> '' AND NOT regexp_matches(line, {v.LINK_SQL})
       THEN {_PROSE} END, chr(10) ORDER BY pos) AS description
-  FROM index_lines WHERE NOT in_guidance AND section <> '' GROUP BY doc_id, section_pos)"""))
+  FROM index_lines WHERE NOT in_guidance AND section_pos IS NOT NULL GROUP BY doc_id, section_pos)"""))
 def x3(t: Tables):
     return linkindex.sections(v.index_lines(t))
 

@@ -183,7 +183,7 @@ def e7(t: Tables):
 
 @query("e8_hybrid_topk", v.with_views("fused_all", body=f"{RANKED} fused_all WHERE rank <= 10"))
 def e8(t: Tables):
-    return ranked(ranked_ids(v.queries(t), corpus(t), SearchConfig(mode="hybrid", top_k=10)))
+    return ranked(ranked_ids(v.queries(t), corpus(t), SearchConfig(top_k=10)))
 
 
 def rerank_sql(pool: str, depth: int, k: int) -> str:
@@ -219,13 +219,13 @@ def _hits(t: Tables, cfg: SearchConfig):
 @query("e10_search_vector", v.with_views("vec", "chunks_v", body=f"""
 SELECT {HIT_COLUMNS} FROM vec JOIN chunks_v USING (chunk_id) WHERE rank <= 10"""))
 def e10_vector(t: Tables):
-    return _hits(t, SearchConfig(mode="vector", top_k=10))
+    return _hits(t, SearchConfig(None, top_k=10))
 
 
 @query("e10_search_keyword", v.with_views("kw_any", "chunks_v", body=f"""
 SELECT {HIT_COLUMNS} FROM kw_any JOIN chunks_v USING (chunk_id) WHERE rank <= 5"""))
 def e10_keyword(t: Tables):
-    return _hits(t, SearchConfig(mode="keyword", keyword_match="any"))
+    return _hits(t, SearchConfig("any", vectors=False))
 
 
 @query("e10_search_hybrid", v.with_views("fused_all", "chunks_v", body=f"""
@@ -238,7 +238,7 @@ def e10_hybrid(t: Tables):
     "fused_any", "vec_scores", "kw_scores", "chunks_v", tail=rerank_sql("fused_any", 20, 5).replace(
         RANKED, f"SELECT {HIT_COLUMNS} FROM").replace("FROM reranked", "FROM reranked JOIN chunks_v USING (chunk_id)")))
 def e10_rerank(t: Tables):
-    return _hits(t, SearchConfig(mode="hybrid", keyword_match="any", rerank=True))
+    return _hits(t, SearchConfig("any", rerank=True))
 
 
 @query("e11_config_label", """

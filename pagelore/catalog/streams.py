@@ -29,14 +29,14 @@ def _ntz(rows: DataFrame) -> DataFrame:
 SELECT CAST(date_trunc('hour', asked_at) AS TIMESTAMP) AS time, CAST(count(*) AS BIGINT) AS questions
 FROM messages_v GROUP BY 1"""))
 def t1(t: Tables):
-    return _ntz(live.drain(live.questions_per_hour(message_stream(t)), ["time"]))
+    return _ntz(live.drain_sums(message_stream(t), live.questions_per_hour, ["time"]))
 
 
 @query("t2_stream_burst", v.with_views("messages_v", body="""
 SELECT CAST(time_bucket(INTERVAL 10 SECOND, asked_at) - INTERVAL 10 SECOND * back AS TIMESTAMP) AS time,
   CAST(count(*) AS BIGINT) AS messages FROM messages_v, range(6) r(back) GROUP BY 1"""))
 def t2(t: Tables):
-    return _ntz(live.drain(live.burst_windows(message_stream(t)), ["time"]))
+    return _ntz(live.drain_sums(message_stream(t), live.burst_windows, ["time"]))
 
 
 # Follows each conversation's messages one by one, with the times accepted so far.
@@ -82,7 +82,8 @@ def t5(t: Tables):
         load(t).withColumn("loaded_at", v.moment(at)).write.mode("append").parquet(path)
     schema = t.spark.read.parquet(path).schema
     history = v.history(t, 1).schema
-    merged = live.stream_scd2(live.read_stream(t.spark, path, schema), history, v.PAGE_COLS)
+    manifest = t.spark.read.schema(schema).parquet(path).groupBy("loaded_at").agg(F.count(F.lit(1)).alias("n_rows"))
+    merged = live.stream_scd2(live.read_stream(t.spark, path, schema), manifest, history, v.PAGE_COLS)
     return merged.select("url", "section", "title", "row_hash", "valid_from", "valid_to")
 
 
@@ -93,9 +94,9 @@ SELECT doc_id, CAST(count(*) AS INT) AS n_used, round(CAST(CAST(max(n) / sqrt(su
 FROM dims GROUP BY doc_id""")
 def t6(t: Tables):
     arriving = stream_of(t, "documents").select(
-        "doc_id", F.col("source").alias("page_title"), F.lit(None).cast("string").alias("heading_path"),
+        F.col("doc_id").alias("chunk_id"), F.col("source").alias("page_title"), F.lit(None).cast("string").alias("heading_path"),
         F.col("text").alias("content"))
-    done = live.drain_append(live.stream_embed(arriving, vectors.hashed_term_encoder(64)))
+    done = live.stream_embed(arriving, vectors.hashed_term_encoder(64))
     return done.select(
-        "doc_id", F.size(F.filter("embedding", lambda x: x != 0)).alias("n_used"),
+        F.col("chunk_id").alias("doc_id"), F.size(F.filter("embedding", lambda x: x != 0)).alias("n_used"),
         F.round(F.array_max("embedding").cast("double"), 5).alias("largest"))

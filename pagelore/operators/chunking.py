@@ -1,8 +1,4 @@
-"""Pages -> sections -> chunks.
-
-One shuffle by page carries the lines; every later step keeps that partitioning.
-A page is one row of the input, so a group is never larger than one text.
-"""
+"""Pages -> sections -> chunks (C1-C6). A page is one row and is cut inside it."""
 
 from __future__ import annotations
 
@@ -10,76 +6,25 @@ from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagelore.fixed_values import MAX_CHARS, MIN_CHARS, OVERLAP_CHARS
 from pagelore.functions import packing, text
 
-HEADING = r"^(#{1,4})\s+(.*)$"
-FENCE = r"^\s*```"
-LEVELS = (1, 2, 3, 4)
-
-
 def split_sections(pages: DataFrame, key: str = "url", content: str = "content",
                    keep: Sequence[str] = ()) -> DataFrame:
-    """Cut pages at ``#``..``####`` headings outside fences.
+    """Cut pages at ``#``..``####`` headings outside fences (C1), each page in its row.
 
     Returns ``key, section_id, heading_path, text`` and the columns in ``keep``.
     Heading lines are dropped, and so are sections without text.
     """
-    # Page columns ride on the first line only, not on every line.
-    meta = F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
-    rows = pages.select(
-        F.col(key), meta.alias("meta"), F.posexplode(text.lines(F.col(content))).alias("pos", "line")
-    ).select(key, "pos", "line", F.when(F.col("pos") == 0, F.col("meta")).alias("meta"))
-
-    so_far = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    fences = F.sum(F.col("line").rlike(FENCE).cast("int")).over(so_far)
-    rows = rows.withColumn("fences", fences)
-    mark = F.regexp_extract("line", HEADING, 1)
-    level = F.when((F.col("fences") % 2 == 0) & (mark != ""), F.length(mark))
-    rows = rows.withColumn("level", level)
-    title = text.strip(F.regexp_extract("line", HEADING, 2))
-
-    open_at = {
-        n: F.last(F.when(F.col("level") == n, F.struct("pos", title.alias("title"))),
-                  ignorenulls=True).over(so_far).alias(f"h{n}")
-        for n in LEVELS
-    }
-    rows = rows.select(
-        "*",
-        F.count("level").over(so_far).alias("section_id"),
-        F.first("meta", ignorenulls=True).over(so_far).alias("page_meta"),
-        *open_at.values(),
-    )
-    body = rows.where(F.col("level").isNull())
-    sections = body.groupBy(key, "section_id").agg(
-        F.first(_trail()).alias("heading_path"),
-        F.first("page_meta").alias("meta"),
-        F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"),
-    )
-    joined = text.strip(F.array_join(F.transform("lines", lambda r: r["line"]), "\n"))
-    # Tested on the lines: a filter on the joined text would join twice.
-    filled = F.exists("lines", lambda r: r["line"].rlike(text.NOT_SPACE))
-    return sections.where(filled).select(
-        key, *[F.col(f"meta.{c}").alias(c) for c in keep],
-        F.col("section_id").cast("long").alias("section_id"), "heading_path",
-        joined.alias("text"),
-    )
-
+    @F.pandas_udf("array<struct<section_id:long,heading_path:string,text:string>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [
+            {"section_id": n, "heading_path": path, "text": body} for n, path, body in packing.cut_sections(t)])
 
-def _trail() -> Column:
-    """Titles of the headings still open: a heading of level n is open while no
-    heading of a lower level came after it."""
-    parts = []
-    for n in LEVELS:
-        here = F.col(f"h{n}.pos")
-        above = [F.coalesce(F.col(f"h{m}.pos"), F.lit(-1)) for m in LEVELS if m < n]
-        closed = here < F.greatest(*above) if len(above) > 1 else (
-            here < above[0] if above else F.lit(False))
-        parts.append(F.when(here.isNotNull() & ~closed, F.col(f"h{n}.title")))
-    return F.concat_ws(" > ", *parts)
+    cuts = pages.where(F.col(content).isNotNull()).select(key, *keep, F.explode(cut(content)).alias("s"))
+    return cuts.select(key, *keep, "s.section_id", "s.heading_path", "s.text")
 
 
 def pack_section(col: Column, cap: int = MAX_CHARS, overlap: int = OVERLAP_CHARS) -> Column:
@@ -98,48 +43,58 @@ def slice_long_lines(col: Column, cap: int = MAX_CHARS) -> Column:
     return F.transform(starts, lambda at: F.substring(col, at + 1, F.lit(cap)))
 
 
-def _chunk_udf(cap: int, floor: int, overlap: int):
-    @F.pandas_udf("array<struct<heading_path:string,content:string>>")
-    def chunk(sections: pd.Series) -> pd.Series:
-        return sections.map(lambda rows: [
-            {"heading_path": path, "content": body}
-            for path, body in packing.chunk_sections(
-                ((r["heading_path"], r["text"]) for r in rows), cap, floor, overlap)
-        ])
+def merge_small(pieces: Column, floor: int = MIN_CHARS) -> Column:
+    """Short pieces of an ``array<struct<heading_path,content>>`` join what follows (C4).
+
+    A fold over the array: ``held`` is a short text that waits for the next piece. Only
+    when the pieces end does it join the last one kept, or stand alone without heading.
+    """
+    piece = "struct<heading_path:string,content:string>"
+    start = F.struct(F.array().cast(f"array<{piece}>").alias("kept"), F.lit("").alias("held"))
 
-    return chunk
+    def step(state: Column, p: Column) -> Column:
+        body = F.when(state["held"] == "", p["content"]).otherwise(
+            text.strip(F.concat(state["held"], F.lit("\n\n"), p["content"])))
+        whole = F.array(F.struct(p["heading_path"].alias("heading_path"), body.alias("content")))
+        return F.when(F.length(body) < floor, F.struct(state["kept"].alias("kept"), body.alias("held"))).otherwise(
+            F.struct(F.concat(state["kept"], whole).alias("kept"), F.lit("").alias("held")))
+
+    def finish(state: Column) -> Column:
+        kept, held = state["kept"], state["held"]
+        last = F.element_at(kept, -1)
+        ending = F.array(F.struct(last["heading_path"].alias("heading_path"),
+                                  F.concat_ws("\n\n", last["content"], held).alias("content")))
+        alone = F.array(F.struct(F.lit("").alias("heading_path"), held.alias("content")))
+        return F.when(held == "", kept).when(F.size(kept) == 0, alone).otherwise(
+            F.concat(F.slice(kept, 1, F.size(kept) - 1), ending))
+
+    return F.aggregate(pieces, start, step, finish)
 
 
 def chunk_pages(pages: DataFrame, key: str = "url", content: str = "content",
                 keep: Sequence[str] = (), cap: int = MAX_CHARS, floor: int = MIN_CHARS,
                 overlap: int = OVERLAP_CHARS) -> DataFrame:
-    """Size-bounded, heading-tagged chunks of every page, numbered per page."""
-    sections = split_sections(pages, key, content, keep)
-    per_page = sections.groupBy(key).agg(
-        *[F.first(c).alias(c) for c in keep],
-        F.array_sort(F.collect_list(F.struct("section_id", "heading_path", "text"))).alias("sections"),
-    )
-    chunks = _chunk_udf(cap, floor, overlap)(F.col("sections"))
-    return per_page.select(
-        key, *keep, F.posexplode(chunks).alias("chunk_index", "chunk")
+    """Size-bounded, heading-tagged chunks of every page, numbered per page.
+
+    A page stays in its row until its chunks are exploded; nothing is shuffled."""
+    @F.pandas_udf("array<struct<heading_path:string,content:string>>")
+    def pieces(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [
+            {"heading_path": path, "content": body} for path, body in packing.section_pieces(t, cap, overlap)])
+
+    packed = pages.where(F.col(content).isNotNull()).select(key, *keep, pieces(content).alias("pieces"))
+    return packed.select(
+        key, *keep, F.posexplode(merge_small(F.col("pieces"), floor)).alias("chunk_index", "chunk")
     ).select(key, *keep, "chunk.heading_path", "chunk_index", "chunk.content")
 
 
 def merge_small_pieces(pieces: DataFrame, key: str, order: str, floor: int = MIN_CHARS) -> DataFrame:
     """C4 on its own: ``key, order, heading_path, content`` rows -> merged chunks."""
-
-    @F.pandas_udf("array<struct<heading_path:string,content:string>>")
-    def merge(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda page: [
-            {"heading_path": path, "content": body}
-            for path, body in packing.merge_small(
-                ((r["heading_path"], r["content"]) for r in page), floor)
-        ])
-
     per_page = pieces.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(order, "heading_path", "content"))).alias("pieces"))
+        F.array_sort(F.collect_list(F.struct(order, "heading_path", "content"))).alias("rows"))
+    plain = F.transform("rows", lambda r: F.struct(r["heading_path"].alias("heading_path"), r["content"].alias("content")))
     return per_page.select(
-        key, F.posexplode(merge("pieces")).alias("chunk_index", "c")
+        key, F.posexplode(merge_small(plain, floor)).alias("chunk_index", "c")
     ).select(key, "chunk_index", "c.heading_path", "c.content")
 
 

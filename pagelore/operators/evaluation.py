@@ -50,11 +50,11 @@ def count_by_source(questions: DataFrame) -> DataFrame:
 
 def config_grid(top_k: Sequence[int] = fx.TOP_K_VALUES) -> list[SearchConfig]:
     """Every configuration of the sweep."""
-    plain = [SearchConfig(mode=mode, keyword_match=match, top_k=k)
-             for mode, match in fx.MODE_VARIANTS for k in top_k]
-    reranked = [SearchConfig(mode=mode, rerank=True, top_k=k)
-                for mode in fx.RERANKED_MODES for k in top_k]
-    return plain + reranked
+    def of(mode: str, match: str, k: int, rerank: bool) -> SearchConfig:
+        return SearchConfig(None if mode == "vector" else match, mode != "keyword", k, rerank)
+
+    return [of(mode, match, k, False) for mode, match in fx.MODE_VARIANTS for k in top_k] + [
+        of(mode, "all", k, True) for mode in fx.RERANKED_MODES for k in top_k]
 
 
 def config_rows(configs: Sequence[SearchConfig]) -> Column:
@@ -62,8 +62,8 @@ def config_rows(configs: Sequence[SearchConfig]) -> Column:
     return F.array(*[
         F.struct(
             F.lit(i).alias("config_id"), F.lit(c.mode).alias("mode"), F.lit(c.top_k).alias("top_k"),
-            F.lit(c.keyword_match).alias("keyword_match"), F.lit(c.rrf_k).alias("rrf_k"),
-            F.lit(c.rerank).alias("rerank"), F.lit(c.query_rewrite).alias("query_rewrite"),
+            F.lit(c.terms or "all").alias("keyword_match"), F.lit(c.damping).alias("rrf_k"),
+            F.lit(c.rerank).alias("rerank"), F.lit(False).alias("query_rewrite"),
         ) for i, c in enumerate(configs)])
 
 

@@ -1,4 +1,4 @@
-"""Link index parsing (X1-X6). Every step is partitioned by index document."""
+"""Link index parsing."""
 
 from __future__ import annotations
 
@@ -13,20 +13,28 @@ LINK = r"^- \[(.+?)\]\(([^)\s]+)\)(?::\s*(.*))?$"
 
 
 def index_lines(docs: DataFrame, prefix: str = fx.GUIDANCE_PREFIX) -> DataFrame:
-    """Lines of each index with the heading above them.
+    """Lines of each index with the heading above them (X2), each index within its row.
 
-    ``doc_id, pos, line, is_heading, section, section_pos, in_guidance``.
+    ``doc_id, pos, line, is_heading, section, section_pos, in_guidance``. The text is cut
+    before every heading first, so that a line's heading is the first line of its block.
     """
-    rows = docs.select("doc_id", F.posexplode(text.lines(F.col("text"))).alias("pos", "line"))
-    is_heading = F.col("line").startswith("## ")
-    name = text.strip(F.substring(F.col("line"), F.lit(4), F.length("line")))
-    so_far = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    head = F.last(F.when(is_heading, F.struct("pos", name.alias("name"))), ignorenulls=True)
-    return rows.withColumn("is_heading", is_heading).withColumn("head", head.over(so_far)).select(
-        "doc_id", "pos", "line", "is_heading",
-        F.coalesce("head.name", F.lit("")).alias("section"),
-        F.col("head.pos").alias("section_pos"),
-        F.coalesce(F.col("head.name").startswith(prefix), F.lit(False)).alias("in_guidance"),
+    blocks = F.split(F.col("text"), r"(?<=[\r\n])(?=## )")
+    # the line end before a heading closes the block above it
+    cut = F.transform(blocks, lambda block, i: F.split(
+        F.when(i < F.size(blocks) - 1, F.regexp_replace(block, r"(?:\r\n|\r|\n)\z", "")).otherwise(block), text.LINE_BREAK))
+    rows = docs.select("doc_id", cut.alias("blocks")).select("doc_id", F.posexplode(F.transform(
+        "blocks", lambda lines, i: F.struct(
+            F.aggregate(F.slice("blocks", 1, i), F.lit(0), lambda n, above: n + F.size(above)).alias("first"),
+            lines.alias("lines")))).alias("block", "b"))
+    head = F.col("b.lines")[0]
+    headed = head.startswith("## ")
+    name = F.when(headed, text.strip(F.substring(head, F.lit(4), F.length(head))))
+    return rows.select(
+        "doc_id", "b.first", headed.alias("headed"), name.alias("name"), F.posexplode("b.lines").alias("n", "line")
+    ).select(
+        "doc_id", (F.col("first") + F.col("n")).alias("pos"), "line", (F.col("headed") & (F.col("n") == 0)).alias("is_heading"),
+        F.coalesce("name", F.lit("")).alias("section"), F.when(F.col("headed"), F.col("first")).alias("section_pos"),
+        F.coalesce(F.col("name").startswith(prefix), F.lit(False)).alias("in_guidance"),
     )
 
 
@@ -68,7 +76,7 @@ def link_index(docs: DataFrame, host: str) -> DataFrame:
 
 def sections(lines: DataFrame) -> DataFrame:
     """Section names with their prose, NULL where there is none."""
-    own = lines.where(~F.col("in_guidance") & (F.col("section") != ""))
+    own = lines.where(~F.col("in_guidance") & F.col("section_pos").isNotNull())   # also a heading without a name
     body = text.strip(F.col("line"))
     is_prose = ~F.col("is_heading") & ~F.col("line").rlike(LINK) & (body != "")
     grouped = own.groupBy("doc_id", "section_pos").agg(

@@ -25,6 +25,11 @@ def prepare_questions(questions: DataFrame, question: str = "question",
         question, text.redact_secrets(F.col(question)))
 
 
+def refusal_reason(question: Column, cap: int = fx.MAX_QUESTION_CHARS) -> Column:
+    """Why a question is not asked at all, NULL if it is: missing, or over the length cap."""
+    return F.when(question.isNull(), "no question").when(F.length(question) > cap, "question too long")
+
+
 def parse_route(replies: DataFrame, question: str = "question", raw: str = "raw") -> DataFrame:
     """Router replies -> ``in_scope, sub_questions, reason, route_error`` (Q3).
 

@@ -14,13 +14,13 @@ from pagelore.session import materialize
 
 def _lists(cfg: SearchConfig) -> str:
     """Name of the ranked list a configuration reads."""
-    return cfg.mode if cfg.mode == "vector" else f"{cfg.mode}-{cfg.keyword_match}"
+    return f"{cfg.mode}-{cfg.terms}" if cfg.terms else cfg.mode
 
 
 def _uses(configs: Sequence[SearchConfig], name: str) -> Column:
     """Configurations reading one list, as an array literal."""
     rows = [
-        F.struct(F.lit(i).alias("config_id"), F.lit(c.pool_depth if c.rerank else c.top_k).alias("depth"),
+        F.struct(F.lit(i).alias("config_id"), F.lit(c.pool if c.rerank else c.top_k).alias("depth"),
                  F.lit(c.top_k).alias("top_k"), F.lit(c.rerank).alias("rerank"))
         for i, c in enumerate(configs) if _lists(c) == name
     ]
@@ -32,20 +32,18 @@ def grid_hits(queries: DataFrame, corpus: Corpus, configs: Sequence[SearchConfig
 
     Each arm is searched once at the greatest depth any configuration needs;
     every smaller k, fusion and re-ranking is cut from those lists."""
-    if any(c.query_rewrite for c in configs):
-        raise NotImplementedError("queries are rewritten by the router, before search")
-    if len({(c.rrf_k, c.candidates) for c in configs}) > 1:
-        raise ValueError("a grid shares one rrf_k and one candidate depth")
-    candidates, rrf_k = configs[0].candidates, configs[0].rrf_k
-    depth = max([candidates, *[c.pool_depth if c.rerank else c.top_k for c in configs]])
+    if len({(c.damping, c.depth) for c in configs}) > 1:
+        raise ValueError("a grid shares one fusion constant and one depth")
+    candidates, damping = configs[0].depth, configs[0].damping
+    depth = max([candidates, *[c.pool if c.rerank else c.top_k for c in configs]])
     names = sorted({_lists(c) for c in configs})
     terms = materialize(keywords.parse_search_terms(queries, analyzer=corpus.analyzer), "terms")
 
     arms: dict[str, DataFrame] = {}
-    if any(c.mode != "vector" for c in configs):
+    if any(c.terms for c in configs):
         both = materialize(keywords.keyword_topk_both(terms, corpus.index, depth), "arm")
         arms = {f"keyword-{m}": both.where(F.col("match") == m).drop("match") for m in ("all", "any")}
-    if any(c.mode != "keyword" for c in configs):
+    if any(c.vectors for c in configs):
         arms["vector"] = materialize(vectors.vector_topk(queries, corpus.chunks, depth), "arm")
 
     rows: DataFrame | None = None
@@ -53,7 +51,7 @@ def grid_hits(queries: DataFrame, corpus: Corpus, configs: Sequence[SearchConfig
         if name.startswith("hybrid-"):
             within = F.col("rank") <= candidates
             ranked = fusion.rrf_fuse(
-                arms["keyword-" + name.removeprefix("hybrid-")].where(within), arms["vector"].where(within), rrf_k)
+                arms["keyword-" + name.removeprefix("hybrid-")].where(within), arms["vector"].where(within), damping)
         else:
             ranked = arms[name]
         used = ranked.select("qid", "chunk_id", "rank", F.explode(_uses(configs, name)).alias("c"))

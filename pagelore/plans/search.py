@@ -3,38 +3,44 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelore import fixed_values as fx
 from pagelore.operators import fusion, keywords, vectors
 from pagelore.session import settle
 
 
 @dataclass(frozen=True)
 class SearchConfig:
-    mode: str = "hybrid"             # keyword | vector | hybrid
+    """Which lists are made for a question, and how they become one.
+
+    ``terms`` asks for a keyword list whose chunks hold ``all`` or ``any`` of the terms,
+    ``vectors`` for one by cosine. Two lists are cut at ``depth`` and fused by reciprocal
+    rank with the constant ``damping``.
+    """
+
+    terms: str | None = "all"
+    vectors: bool = True
     top_k: int = 5
-    keyword_match: str = "all"       # all | any
-    rrf_k: int = 60
-    candidates: int = 20             # depth of each arm before fusion
     rerank: bool = False
-    query_rewrite: bool = False
-    extra: dict = field(default_factory=dict)
+    depth: int = fx.CANDIDATES
+    damping: int = fx.RRF_K
+
+    def __post_init__(self):
+        if self.terms not in ("all", "any", None) or not (self.terms or self.vectors):
+            raise ValueError(f"no such search: {self}")
 
     @property
-    def pool_depth(self) -> int:
-        return max(self.candidates, 3 * self.top_k)
+    def mode(self) -> str:
+        return "hybrid" if self.terms and self.vectors else "keyword" if self.terms else "vector"
 
-    def label(self) -> str:
-        names = [self.mode]
-        if self.mode == "hybrid":
-            names.append(f"rrf{self.rrf_k}")
-        if self.mode != "vector" and self.keyword_match != "all":
-            names.append(f"kw-{self.keyword_match}")
-        names += ["rerank"] * self.rerank + ["rewrite"] * self.query_rewrite
-        return "+".join(names)
+    @property
+    def pool(self) -> int:
+        """How many hits a re-ranking looks at."""
+        return max(self.depth, fx.POOL_PER_HIT * self.top_k)
 
 
 @dataclass(frozen=True)
@@ -47,12 +53,12 @@ class Corpus:
     analyzer: str = "simple"
 
 
-def config_label(mode: Column, rrf_k: Column, match: Column, rerank: Column, rewrite: Column) -> Column:
-    """:meth:`SearchConfig.label` over config rows."""
+def config_label(mode: Column, damping: Column, terms: Column, rerank: Column, rewrite: Column) -> Column:
+    """The name of a configuration row, its unusual settings joined by ``+``."""
     return F.concat_ws(
         "+", mode,
-        F.when(mode == "hybrid", F.concat(F.lit("rrf"), rrf_k)),
-        F.when((mode != "vector") & (match != "all"), F.concat(F.lit("kw-"), match)),
+        F.when(mode == "hybrid", F.concat(F.lit("rrf"), damping)),
+        F.when((mode != "vector") & (terms != "all"), F.concat(F.lit("kw-"), terms)),
         F.when(rerank, "rerank"),
         F.when(rewrite, "rewrite"),
     )
@@ -60,26 +66,19 @@ def config_label(mode: Column, rrf_k: Column, match: Column, rerank: Column, rew
 
 def ranked_ids(queries: DataFrame, corpus: Corpus, cfg: SearchConfig) -> DataFrame:
     """``qid, chunk_id, score, rank`` for ``queries`` (``qid, query, qvec``)."""
-    if cfg.query_rewrite:
-        raise NotImplementedError("queries are rewritten by the router, before search")
-    if cfg.rerank:
-        pool = ranked_ids(queries, corpus, replace(cfg, rerank=False, top_k=cfg.pool_depth))
-        terms = keywords.parse_search_terms(queries, analyzer=corpus.analyzer)
-        signals = fusion.pool_scores(pool, terms, corpus.index, queries, corpus.chunks)
-        return fusion.rerank_scored(signals, cfg.top_k)
-
-    def keyword_arm(k: int) -> DataFrame:
+    wanted = cfg.pool if cfg.rerank else cfg.top_k
+    fused = cfg.mode == "hybrid"
+    lists, terms = [], None
+    if cfg.terms or cfg.rerank:
         terms = keywords.parse_search_terms(queries, analyzer=corpus.analyzer)
-        return keywords.keyword_topk(terms, corpus.index, k, cfg.keyword_match)
-
-    if cfg.mode == "keyword":
-        return keyword_arm(cfg.top_k)
-    if cfg.mode == "vector":
-        return vectors.vector_topk(queries, corpus.chunks, cfg.top_k)
-    if cfg.mode == "hybrid":
-        near = vectors.vector_topk(queries, corpus.chunks, cfg.candidates)
-        return fusion.rrf_fuse(keyword_arm(cfg.candidates), near, cfg.rrf_k, cfg.top_k)
-    raise NotImplementedError(f"unknown mode {cfg.mode!r}")
+    if cfg.terms:
+        lists.append(keywords.keyword_topk(terms, corpus.index, cfg.depth if fused else wanted, cfg.terms))
+    if cfg.vectors:
+        lists.append(vectors.vector_topk(queries, corpus.chunks, cfg.depth if fused else wanted))
+    found = fusion.rrf_fuse(*lists, cfg.damping, wanted) if fused else lists[0]
+    if not cfg.rerank:
+        return found
+    return fusion.rerank_scored(fusion.pool_scores(found, terms, corpus.index, queries, corpus.chunks), cfg.top_k)
 
 
 def search(queries: DataFrame, corpus: Corpus, cfg: SearchConfig,

@@ -88,3 +88,22 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     The file sizes are then known to the planner, which broadcasts the table on
     its own when it is below ``spark.sql.autoBroadcastJoinThreshold``."""
     return df if getattr(df, "_pagelore_stored", False) else materialize(df, name)
+
+
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the finished result folders in ``path``; none where it does not exist."""
+    place, files = _folder(spark, path)
+    if not files.exists(place):
+        return []
+    return [f.getPath().getName() for f in files.listStatus(place)
+            if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    place, files = _folder(spark, path)
+    files.delete(place, True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from datetime import timedelta
 
 import numpy as np
 import pandas as pd
@@ -15,81 +16,113 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagelore import fixed_values as fx
 from pagelore.operators import monitoring, vectors, versioning
-from pagelore.session import new_path
-
-WATERMARK = "1 hour"
-
+from pagelore.session import folder_names, new_path, remove_folder
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1_000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def event_time(log: DataFrame, at: str = "asked_at") -> DataFrame:
-    """A timestamp without a zone cannot carry a watermark; the session reads it
-    as UTC. Rows more than the watermark late are dropped."""
-    return log.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, WATERMARK)
+# --- Places and sinks -------------------------------------------------------
+
+@dataclass(frozen=True)
+class Place:
+    """Where a stream keeps its progress and its results; a run on the same place goes on
+    from the last one. Without one, a run starts afresh in the shared folder."""
+
+    checkpoint: str
+    results: str
 
+    @staticmethod
+    def of(spark: SparkSession, given: "Place | None", name: str) -> "Place":
+        return given or Place(new_path(spark, f"{name}-progress"), new_path(spark, name))
 
-# --- Sinks ------------------------------------------------------------------
 
-class UpsertLog:
-    """Keyed results of a stream as one folder per micro-batch.
+class BatchFolders:
+    """Results of a stream as one folder per micro-batch.
 
-    A batch overwrites its own folder, so a replayed batch changes nothing; the
-    reader keeps the newest row per key."""
+    A batch overwrites its own folder, so a replayed batch changes nothing. ``compact``
+    writes what a reader would see as the folder of the last batch so far."""
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
         self.spark, self.path, self.schema = spark, path, schema
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+        batch.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
 
     def rows(self) -> DataFrame:
-        schema = T.StructType(self.schema.fields + [T.StructField("batch_id", T.LongType())])
-        return self.spark.read.schema(schema).parquet(self.path)
+        kept = T.StructType(self.schema.fields + [T.StructField("batch_id", T.LongType())])
+        if not folder_names(self.spark, self.path):
+            return self.spark.createDataFrame([], kept)
+        return self.spark.read.schema(kept).parquet(self.path)
 
     def latest(self, *keys: str) -> DataFrame:
+        """The newest row of each key."""
         values = [f.name for f in self.schema.fields if f.name not in keys]
         last = self.rows().groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("v"))
         return last.select(*keys, "v.*")
 
-
-def run_now(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    def total(self, *keys: str) -> DataFrame:
+        """The sum of every other column per key: for results that add up over batches."""
+        values = [f.name for f in self.schema.fields if f.name not in keys]
+        return self.rows().groupBy(*keys).agg(*(F.sum(c).alias(c) for c in values))
+
+    def compact(self, seen: DataFrame) -> None:
+        """Keeps ``seen`` (what :meth:`latest` or :meth:`total` gives) in place of all folders.
+
+        Run between runs of the stream. The new folder is written beside the old ones and
+        takes the place of the last; the earlier ones go first, so a stop in between is
+        repaired by compacting again from the copy."""
+        names = sorted(folder_names(self.spark, self.path), key=lambda n: int(n.partition("=")[2]))
+        if len(names) < 2:
+            return
+        copy = f"{self.path}-compacted"
+        seen.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(copy)
+        for name in names[:-1]:
+            remove_folder(self.spark, f"{self.path}/{name}")
+        self.spark.read.schema(self.schema).parquet(copy).write.mode("overwrite").parquet(f"{self.path}/{names[-1]}")
+        remove_folder(self.spark, copy)
+
+
+def run_now(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Drain what is available through ``foreachBatch``, then stop."""
-    spark = stream.sparkSession
     stream.writeStream.outputMode(mode).foreachBatch(write).option(
-        "checkpointLocation", new_path(spark, "stream")
-    ).trigger(availableNow=True).start().awaitTermination()
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def drain(stream: DataFrame, keys: Sequence[str], mode: str = "update") -> DataFrame:
-    """Run a keyed stream over what is available and read its final result."""
-    log = UpsertLog(stream.sparkSession, new_path(stream.sparkSession, "upserts"), stream.schema)
-    run_now(stream, log.write, mode)
-    return log.latest(*keys)
+def drain_sums(stream: DataFrame, aggregate: Callable[[DataFrame], DataFrame], keys: Sequence[str],
+               place: Place | None = None) -> DataFrame:
+    """Aggregate each micro-batch on its own and add the results up.
+
+    Counts do not depend on the order in which rows arrive: no state is held, no row is
+    ever too late, and a backfill in any file order gives the batch result."""
+    spark = stream.sparkSession
+    place = Place.of(spark, place, "sums")
+    folders = BatchFolders(spark, place.results, aggregate(spark.createDataFrame([], stream.schema)).schema)
+    run_now(stream, lambda batch, n: folders.write(aggregate(batch), n), place.checkpoint)
+    return folders.total(*keys)
 
 
-def drain_append(stream: DataFrame) -> DataFrame:
+def drain_append(stream: DataFrame, place: Place | None = None) -> DataFrame:
     """Run an append-only stream into a Parquet sink and read it back."""
     spark = stream.sparkSession
-    path = new_path(spark, "appended")
+    place = Place.of(spark, place, "appended")
     stream.writeStream.format("parquet").outputMode("append").option(
-        "checkpointLocation", new_path(spark, "stream")
-    ).trigger(availableNow=True).start(path).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+        "checkpointLocation", place.checkpoint
+    ).trigger(availableNow=True).start(place.results).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(place.results)
 
 
 # --- Aggregates -------------------------------------------------------------
 
 def questions_per_hour(log: DataFrame) -> DataFrame:
     """``time, questions`` per hour that has any."""
-    counts = event_time(log).groupBy(F.window("asked_at", "1 hour")).agg(F.count(F.lit(1)).alias("questions"))
+    counts = log.groupBy(F.window(F.col("asked_at").cast("timestamp"), "1 hour")).agg(F.count(F.lit(1)).alias("questions"))
     return counts.select(F.col("window.start").alias("time"), "questions")
 
 
 def burst_windows(log: DataFrame, width: str = "1 minute", slide: str = "10 seconds") -> DataFrame:
     """Messages in each sliding window."""
-    counts = event_time(log).groupBy(F.window("asked_at", width, slide)).agg(
+    counts = log.groupBy(F.window(F.col("asked_at").cast("timestamp"), width, slide)).agg(
         F.count(F.lit(1)).alias("messages"))
     return counts.select(F.col("window.start").alias("time"), "messages")
 
@@ -148,6 +181,8 @@ class Admission:
                 reason, until = 2, np.searchsorted(at, ready, "left")
             elif self.day_count >= self.limits.daily:
                 reason, until = 3, np.searchsorted(at, (day + 1) * DAY, "left")
+            elif self.limits.minute < 1:   # nothing is ever accepted
+                reason, until = 4, len(at)
             elif len(self.recent) >= self.limits.minute:
                 leaves = self.recent[-self.limits.minute] + 60 * SECOND
                 reason, until = 4, np.searchsorted(at, leaves, "right")
@@ -180,12 +215,17 @@ ADMISSION_OUT = T.StructType([
 
 
 def admission_stream(log: DataFrame, limits: Limits = Limits(), key: str = "conversation_id",
-                     order: str = "id", at: str = "asked_at") -> DataFrame:
-    """T3 live: one state per key. The decision depends on every earlier one of
-    the key, so the key must be a session or tenant, and ``maxFilesPerTrigger``
-    bounds what one call sees."""
+                     order: str = "id", at: str = "asked_at", idle: timedelta | None = None) -> DataFrame:
+    """T3 live: one state per key; rows without a key share one. The decision depends on
+    every earlier one of the key, so the key must be a session or tenant, and
+    ``maxFilesPerTrigger`` bounds what one call sees. With ``idle``, a key that sends
+    nothing for so long is forgotten and begins anew if it comes back; that is for streams
+    that run on, as one waiting for such times does not end by itself."""
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         known = Admission(limits)
         if state.exists:
             asked, last, day, day_count, recent = state.get
@@ -193,9 +233,12 @@ def admission_stream(log: DataFrame, limits: Limits = Limits(), key: str = "conv
         rows = pd.concat(list(frames)).sort_values(["at", "id"], ignore_index=True)
         yield _decided(rows, known)[["key", "id", "at", "decision"]]
         state.update((known.asked, known.last, known.day, known.day_count, known.recent))
+        if idle is not None:
+            state.setTimeoutDuration(int(idle / timedelta(milliseconds=1)))
 
     return _timed(log, key, order, at).groupBy("key").applyInPandasWithState(
-        step, ADMISSION_OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+        step, ADMISSION_OUT, STATE, "append",
+        GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def admission_batch(log: DataFrame, limits: Limits = Limits(), key: str = "conversation_id",
@@ -209,7 +252,7 @@ def admission_batch(log: DataFrame, limits: Limits = Limits(), key: str = "conve
     without a sequential pass.
     """
     timed = _timed(log, key, order, at)
-    if limits.session > limits.daily:   # a day may stop a key before its session does
+    if limits.session > limits.daily or limits.session < 1 or limits.minute < 1:   # something else may stop a key first
         return _admit_in_order(timed, limits)
     stretch = F.floor(F.col("at") / F.lit((max(60, limits.cooldown) + 1) * SECOND))
     timed = timed.withColumn("stretch", stretch)
@@ -217,7 +260,8 @@ def admission_batch(log: DataFrame, limits: Limits = Limits(), key: str = "conve
     place = F.row_number().over(W.partitionBy("key").orderBy("stretch"))
     ends = used.withColumn("place", place).where(F.col("place") <= 2 * limits.session).groupBy(
         "key").agg(F.max("stretch").alias("end"))
-    rows = timed.join(ends, "key")
+    ends = ends.withColumnRenamed("key", "end_key")
+    rows = timed.join(ends, F.col("key").eqNullSafe(F.col("end_key")))
     early = rows.where(F.col("stretch") <= F.col("end")).select("key", "id", "at")
     late = rows.where(F.col("stretch") > F.col("end")).select(
         "key", "id", "at", F.lit(DECISIONS[1]).alias("decision"))
@@ -228,7 +272,8 @@ def _admit_in_order(timed: DataFrame, limits: Limits) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, Admission(limits)
         for frame in frames:
-            for group, rows in frame.groupby("key", sort=False):
+            named = frame["key"].notna()
+            for group, rows in frame.groupby([named, frame["key"].where(named, 0)], sort=False):
                 if group != current:
                     current, state = group, Admission(limits)
                 yield _decided(rows, state)[["key", "id", "at", "decision"]]
@@ -239,7 +284,7 @@ def _admit_in_order(timed: DataFrame, limits: Limits) -> DataFrame:
 
 # --- Upserts and loads ------------------------------------------------------
 
-def feedback_writer(log: UpsertLog) -> Callable[[DataFrame, int], None]:
+def feedback_writer(log: BatchFolders) -> Callable[[DataFrame, int], None]:
     """T4: each micro-batch leaves its last rating per message."""
     def write(batch: DataFrame, batch_id: int) -> None:
         moment = F.struct("given_at", *(["seq"] if "seq" in batch.columns else []))
@@ -250,44 +295,89 @@ def feedback_writer(log: UpsertLog) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def stream_feedback(feedback: DataFrame) -> DataFrame:
+def stream_feedback(feedback: DataFrame, place: Place | None = None) -> DataFrame:
     """Run T4 over what is available and read the current ratings."""
-    log = UpsertLog(feedback.sparkSession, new_path(feedback.sparkSession, "feedback"), feedback.schema)
-    run_now(feedback, feedback_writer(log))
+    place = Place.of(feedback.sparkSession, place, "feedback")
+    log = BatchFolders(feedback.sparkSession, place.results, feedback.schema)
+    run_now(feedback, feedback_writer(log), place.checkpoint)
     return monitoring.feedback_upsert(log.rows().drop("batch_id"))
 
 
 class HistoryVersions:
-    """T5: page history as one folder per micro-batch; batch n reads n-1."""
+    """T5: page history as one folder per merged load; version n has the first n loads.
+
+    ``manifest`` lists the loads (``loaded_at, n_rows``). What arrives is held in a folder
+    per micro-batch until a load is there in full, and loads are merged in the order of
+    the manifest. A load that is not complete, or comes after one that is not, waits: a
+    merge of a part of it would retire the pages of the rest."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, cols: Sequence[str],
+                 manifest: DataFrame, arriving: T.StructType):
+        self.spark, self.path, self.schema, self.cols, self.manifest = spark, path, schema, list(cols), manifest
+        self.held = BatchFolders(spark, f"{path}/held", arriving)
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, cols: Sequence[str]):
-        self.spark, self.path, self.schema, self.cols = spark, path, schema, list(cols)
-        self.last = -1
+    def last(self) -> int:
+        """The newest version on storage, 0 before the first."""
+        return max((int(n[1:]) for n in folder_names(self.spark, f"{self.path}/versions")), default=0)
 
-    def read(self, batch_id: int) -> DataFrame:
-        if batch_id < 0:
+    def read(self, version: int) -> DataFrame:
+        if not version:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{batch_id}")
-
-    def merge(self, batch: DataFrame, batch_id: int) -> None:
-        history = self.read(batch_id - 1)
-        # A handful of complete loads per micro-batch, applied in order.
-        for row in batch.select("loaded_at").distinct().orderBy("loaded_at").collect():
-            load = batch.where(F.col("loaded_at") == F.lit(row[0]))
-            at = F.lit(row[0]).cast("timestamp_ntz")
-            history = versioning.scd2_merge(history, load.drop("loaded_at"), at, self.cols)
-        history.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/v{batch_id}")
-        self.last = batch_id
-
-
-def stream_scd2(loads: DataFrame, schema: T.StructType, cols: Sequence[str]) -> DataFrame:
-    """Run T5 over the loads available (``loaded_at`` tells them apart)."""
-    spark = loads.sparkSession
-    versions = HistoryVersions(spark, new_path(spark, "history"), schema, cols)
-    run_now(loads, versions.merge)
-    return versions.read(versions.last)
-
-
-def stream_embed(chunks: DataFrame, encoder: Callable[[], vectors.Encoder], **names: str) -> DataFrame:
-    """Encode arriving chunks; stateless."""
-    return vectors.encode_batches(chunks, encoder, **names)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/versions/v{version}")
+
+    def arrive(self, batch: DataFrame, batch_id: int) -> None:
+        self.held.write(batch, batch_id)
+        while self.merge_next():
+            pass
+        self.forget()
+
+    def forget(self) -> None:
+        """Removes held batches all of whose loads are merged."""
+        merged = self.manifest.orderBy("loaded_at").limit(self.last()).agg(F.max("loaded_at").alias("until"))
+        over = self.held.rows().groupBy("batch_id").agg(F.max("loaded_at").alias("latest")).join(
+            merged, F.col("latest") <= F.col("until"))
+        for row in over.select("batch_id").collect():   # the few batches of the loads just merged
+            remove_folder(self.spark, f"{self.held.path}/batch_id={row['batch_id']}")
+
+    def merge_next(self) -> bool:
+        """Merges the next load of the manifest if all its rows are here."""
+        version = self.last()
+        due = self.manifest.orderBy("loaded_at").offset(version).limit(1).first()
+        if due is None:
+            return False
+        load = self.held.rows().where(F.col("loaded_at") == F.lit(due["loaded_at"])).drop("batch_id")
+        if load.count() < due["n_rows"]:
+            return False
+        merged = versioning.scd2_merge(
+            self.read(version), load.drop("loaded_at"), F.lit(due["loaded_at"]).cast("timestamp_ntz"), self.cols)
+        merged.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/versions/v{version + 1}")
+        if version > 1:   # the version just read stays for those who read it now
+            remove_folder(self.spark, f"{self.path}/versions/v{version - 1}")
+        return True
+
+
+def stream_scd2(loads: DataFrame, manifest: DataFrame, schema: T.StructType, cols: Sequence[str],
+                place: Place | None = None) -> DataFrame:
+    """Run T5 over what is available and read the history of the complete loads."""
+    place = Place.of(loads.sparkSession, place, "history")
+    versions = HistoryVersions(loads.sparkSession, place.results, schema, cols, manifest, loads.schema)
+    run_now(loads, versions.arrive, place.checkpoint)
+    return versions.read(versions.last())
+
+
+def stream_embed(chunks: DataFrame, encoder: Callable[[], vectors.Encoder], place: Place | None = None,
+                 **names: str) -> DataFrame:
+    """Encode arriving chunks that have no vector yet; the others pass as they are."""
+    spark = chunks.sparkSession
+    place = Place.of(spark, place, "embedded")
+    schema = T.StructType([f for f in chunks.schema.fields if f.name != "embedding"]
+                          + [T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    folders = BatchFolders(spark, place.results, schema)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if "embedding" not in batch.columns:
+            batch = batch.withColumn("embedding", F.lit(None).cast("array<float>"))
+        folders.write(vectors.embed_missing(batch, encoder, **names), batch_id)
+
+    run_now(chunks, write, place.checkpoint)
+    return folders.rows().drop("batch_id")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagelore import fixed_values as fx
 from pagelore.catalog.scoring import echo_generator
 from pagelore.operators import evaluation, keywords, qa, vectors
-from pagelore.plans.answering import ERROR_TEXT, Prompts, answer_batch
+from pagelore.plans.answering import Prompts, answer_batch
 from pagelore.plans.search import Corpus, SearchConfig
 from pagelore.schemas import COMPLETION_CACHE
 
@@ -185,7 +185,7 @@ def model():
     return call
 
 
-def test_answer_batch(spark):
+def test_answer_batch(spark, tmp_path):
     chunks = spark.createDataFrame(
         [(1, "u1", "T1", "H", "refund a payment"), (2, "u2", None, None, "capture a hold"), (3, "u3", "T3", "", "refund again")],
         "chunk_id long, page_url string, page_title string, heading_path string, content string"
@@ -193,14 +193,31 @@ def test_answer_batch(spark):
     corpus = Corpus(chunks, keywords.build_postings(chunks))
     asked = spark.createDataFrame([
         (1, "refund"), (2, "write a poem"), (3, "zebra"), (4, "refund AND zebra"), (5, "refund router down"),
-        (6, "refund answer down"), (7, "x" * 1501), (8, "refund sk_test_secret")], "qid long, question string")
+        (6, "refund answer down"), (7, "x" * 1501), (8, "refund sk_test_secret"), (9, None)], "qid long, question string")
+    cache = str(tmp_path / "cache")
     out = {r["qid"]: r for r in answer_batch(
-        asked, corpus, SearchConfig(mode="keyword", keyword_match="any", top_k=10), Prompts("route", "answer"),
-        spark.createDataFrame([], COMPLETION_CACHE), model, vectors.hashed_term_encoder(8)).collect()}
+        asked, corpus, SearchConfig("any", vectors=False, top_k=10), Prompts("route", "answer"),
+        spark.createDataFrame([], COMPLETION_CACHE), model, vectors.hashed_term_encoder(8), cache).collect()}
     assert {q: r["route"] for q, r in out.items()} == {
-        1: "docs", 2: "refused", 3: "refused", 4: "docs", 5: "docs", 6: "error", 8: "docs"}
+        1: "docs", 2: "refused", 3: "refused", 4: "docs", 5: "docs", 6: "error", 7: "refused", 8: "docs", 9: "refused"}
     assert [h["page_url"] for h in out[1]["retrieved"]] == ["u1", "u3"] and out[1]["sandbox_flow"] == "charge_card"
     assert "nothing for: zebra" in out[4]["answer"] and "nothing for" not in out[1]["answer"]
     assert out[5]["sandbox_flow"] == "payment_and_refund"       # the pattern, as the router failed
-    assert out[6]["answer"] == ERROR_TEXT and out[6]["error"] == "no provider" and out[6]["sandbox_flow"] is None
+    assert out[6]["answer"] == Prompts("", "").failure and out[6]["error"] == "no provider" and out[6]["sandbox_flow"] is None
     assert out[2]["retrieved"] is None and out[8]["question"] == "refund [redacted key]"
+    assert out[7]["error"] == "question too long" and out[9]["error"] == "no question" and out[9]["router"] is None
+    verdict = json.loads(out[4]["router"])
+    assert verdict["sub_questions"] == ["refund", "zebra"] and verdict["usage"]["cached"] is False
+    assert json.loads(out[5]["router"])["error"] == "timeout"
+    assert out[6]["latency_ms"] == 0 and out[1]["latency_ms"] is None and out[1]["retrieval_config"] == "keyword+kw-any@10"
+
+    def silent():
+        def call(frame):
+            raise AssertionError("a second batch makes no call")
+        return call
+
+    again = {r["qid"]: r for r in answer_batch(
+        asked.where("qid not in (5, 6)"), corpus, SearchConfig("any", vectors=False, top_k=10), Prompts("route", "answer"),
+        spark.read.parquet(cache), silent, vectors.hashed_term_encoder(8)).collect()}
+    assert {q: r["answer"] for q, r in again.items()} == {q: r["answer"] for q, r in out.items() if q not in (5, 6)}
+    assert again[1]["cached"] and json.loads(again[1]["router"])["usage"]["cached"]

@@ -102,24 +102,59 @@ def test_admission_stream_equals_batch(spark, tmp_path):
     assert got == {(r["id"], r["decision"]) for r in live.admission_batch(rows).collect()}
 
 
-def test_hourly_stream_equals_batch(spark, tmp_path):
-    log, rows = stream(spark, log_of(spark, busy(5, 500, 30_000)), tmp_path)
-    done = live.drain(live.questions_per_hour(log), ["time"])
-    batch = monitoring.questions_per_hour(rows).where("questions > 0")
-    assert {tuple(r) for r in done.withColumn("time", F.col("time").cast("timestamp_ntz")).collect()} == {
-        tuple(r) for r in batch.collect()}
+@pytest.mark.parametrize("aggregate, value", [(live.questions_per_hour, "questions"), (live.burst_windows, "messages")])
+def test_counts_do_not_depend_on_the_order_of_files(spark, tmp_path, aggregate, value):
+    rows = busy(5, 300, 30_000)
+    random.Random(2).shuffle(rows)
+    log, rows = stream(spark, log_of(spark, rows).withColumn("arrival", F.col("id")), tmp_path, files=5)
+    done = live.drain_sums(log, aggregate, ["time"])
+    assert set(map(tuple, done.collect())) == set(map(tuple, aggregate(rows).collect()))
+    assert done.agg(F.sum(value)).first()[0] == 310 * (1 if value == "questions" else 6)
 
 
-def test_rows_beyond_the_watermark_are_dropped(spark, tmp_path):
-    path = str(tmp_path / "in")
-    hour = 3600 * SECOND
-    # one file per micro-batch, in order: on time, 30 minutes late, 3 hours late
-    for at in (5 * hour, 5 * hour - hour // 2, 2 * hour):
-        log_of(spark, [(0, at)]).coalesce(1).write.mode("append").parquet(path)
-    log = live.read_stream(spark, path, spark.read.parquet(path).schema, 1)
-    done = live.drain(live.questions_per_hour(log), ["time"])
-    hours = sorted((r["time"] - EPOCH.replace(tzinfo=r["time"].tzinfo)).total_seconds() // 3600 for r in done.collect())
-    assert hours == [4, 5]
+def place(tmp_path, name="run"):
+    return live.Place(str(tmp_path / f"{name}-progress"), str(tmp_path / name))
+
+
+def add(spark, rows, tmp_path):
+    """One more file of the stream's folder, and the stream."""
+    rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    return live.read_stream(spark, str(tmp_path / "in"), rows.schema, files_per_batch=1)
+
+
+def test_counts_go_on_after_a_stop_and_a_compaction(spark, tmp_path):
+    parts = [log_of(spark, busy(i, 40, 9_000)) for i in range(4)]
+    for i, part in enumerate(parts):
+        done = live.drain_sums(add(spark, part, tmp_path), live.questions_per_hour, ["time"], place(tmp_path))
+        if i == 1:
+            folders = live.BatchFolders(spark, str(tmp_path / "run"), done.schema)
+            folders.compact(folders.total("time"))
+            assert len(live.folder_names(spark, str(tmp_path / "run"))) == 1
+    whole = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    assert set(map(tuple, done.collect())) == set(map(tuple, live.questions_per_hour(whole).collect()))
+
+
+def test_admission_goes_on_after_a_stop(spark, tmp_path):
+    rows = sorted(busy(4, 200, 5000), key=lambda r: r[1])
+    whole = log_of(spark, rows)
+    for low, high in ((0, 120), (120, len(rows))):
+        done = live.drain_append(live.admission_stream(add(spark, whole.where(f"id >= {low} and id < {high}"), tmp_path)), place(tmp_path))
+    assert {(r["id"], r["decision"]) for r in done.collect()} == {(r["id"], r["decision"]) for r in live.admission_batch(whole).collect()}
+
+
+def test_rows_without_a_key_are_decided_too(spark, tmp_path):
+    rows = log_of(spark, [(None, 0), (1, 0), (None, SECOND), (None, 9 * SECOND), (0, SECOND)])
+    expected = {0: "accepted", 1: "accepted", 2: "cooldown", 3: "accepted", 4: "accepted"}
+    assert {r["id"]: r["decision"] for r in live.admission_batch(rows).collect()} == expected
+    assert {r["id"]: r["decision"] for r in live.admission_batch(rows, Limits(session=1000)).collect()} == expected
+    log = add(spark, rows, tmp_path)
+    assert {r["id"]: r["decision"] for r in live.drain_append(live.admission_stream(log)).collect()} == expected
+
+
+@pytest.mark.parametrize("limits", [Limits(minute=0), Limits(session=0), Limits(daily=0)])
+def test_a_limit_of_zero_accepts_nothing(spark, limits):
+    got = {r["decision"] for r in live.admission_batch(log_of(spark, busy(1, 50, 900)), limits).collect()}
+    assert got == {"minute" if limits.minute == 0 else "session" if limits.session == 0 else "daily"}
 
 
 def test_feedback_stream_keeps_the_last_rating(spark, tmp_path):
@@ -127,13 +162,16 @@ def test_feedback_stream_keeps_the_last_rating(spark, tmp_path):
         [(i % 20, r, EPOCH + dt.timedelta(seconds=i)) for i, r in enumerate([1, -1, 0, 1, -1] * 40)],
         "message_id long, rating int, given_at timestamp_ntz")
     feedback, rows = stream(spark, rows, tmp_path)
-    live_rows = {tuple(r) for r in live.stream_feedback(feedback).collect()}
+    live_rows = {tuple(r) for r in live.stream_feedback(feedback, place(tmp_path)).collect()}
     assert live_rows == {tuple(r) for r in monitoring.feedback_upsert(rows).collect()}
+    more = rows.limit(1).withColumns({"rating": F.lit(1), "given_at": F.lit("2030-01-01 00:00:00").cast("timestamp_ntz")})
+    again = live.stream_feedback(add(spark, more, tmp_path), place(tmp_path))
+    assert {tuple(r) for r in again.collect()} == {tuple(r) for r in monitoring.feedback_upsert(rows.unionByName(more)).collect()}
 
 
 def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     rows = spark.createDataFrame([(1, 1, EPOCH)], "message_id long, rating int, given_at timestamp_ntz")
-    log = live.UpsertLog(spark, str(tmp_path / "log"), rows.schema)
+    log = live.BatchFolders(spark, str(tmp_path / "log"), rows.schema)
     write = live.feedback_writer(log)
     write(rows, 0)
     write(rows.withColumn("rating", F.lit(-1)), 1)
@@ -141,19 +179,33 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     assert log.rows().count() == 2 and log.latest("message_id").first()["rating"] == -1
 
 
-def test_history_stream_equals_batch(spark, tmp_path):
-    cols, path = ["content"], str(tmp_path / "loads")
-    loads = [[("a", "s", "1"), ("b", "s", "1")], [("a", "s", "2")], [("a", "s", "2"), ("b", "s", "1")]]
+def test_only_complete_loads_are_merged(spark, tmp_path):
+    """Loads of several files, one file per micro-batch, arriving mixed and over several runs."""
+    cols = ["content"]
+    loads = [[("a", "s", "1"), ("b", "s", "1"), ("c", "s", "1")], [("a", "s", "2"), ("b", "s", "1")], [("a", "s", "2"), ("b", "s", "1"), ("d", "s", "1")]]
     at = lambda i: F.lit(f"2024-01-0{i + 1} 00:00:00").cast("timestamp_ntz")
     frames = [spark.createDataFrame(rows, "url string, section string, content string") for rows in loads]
-    for i, frame in enumerate(frames):
-        frame.coalesce(1).withColumn("loaded_at", at(i)).write.mode("append").parquet(path)
     history = versioning.first_load(frames[0], at(0), cols)
-    arriving = live.read_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=2)
-    streamed = live.stream_scd2(arriving, history.schema, cols)
+    manifest = frames[0].limit(0).withColumns({"loaded_at": at(0), "n_rows": F.lit(0).cast("long")}).select("loaded_at", "n_rows")
+    for i, rows in enumerate(loads):
+        manifest = manifest.unionByName(spark.range(1).select(at(i).alias("loaded_at"), F.lit(len(rows)).cast("long").alias("n_rows")))
+    expected = [history]
     for i in (1, 2):
-        history = versioning.scd2_merge(history, frames[i], at(i), cols)
-    assert sorted(map(tuple, streamed.collect()), key=str) == sorted(map(tuple, history.collect()), key=str)
+        expected.append(versioning.scd2_merge(expected[-1], frames[i], at(i), cols))
+
+    def run(*files):
+        for load, row in files:
+            arriving = add(spark, frames[load].where(F.col("url") == row).withColumn("loaded_at", at(load)), tmp_path)
+        return sorted(map(tuple, live.stream_scd2(arriving, manifest, history.schema, cols, place(tmp_path)).collect()), key=str)
+
+    def same(got, i):
+        assert got == sorted(map(tuple, expected[i].collect()), key=str)
+
+    assert run((0, "a"), (1, "a"), (0, "b")) == []
+    same(run((0, "c"), (2, "a"), (2, "b")), 0)
+    same(run((2, "d")), 0)                     # complete, but the load before it is not
+    same(run((1, "b")), 2)
+    assert len(live.folder_names(spark, str(tmp_path / "run" / "versions"))) == 2
 
 
 def test_embedding_stream_equals_batch(spark, tmp_path):
@@ -161,7 +213,18 @@ def test_embedding_stream_equals_batch(spark, tmp_path):
         [("T", None, f"text {i} word", i) for i in range(30)], "page_title string, heading_path string, content string, chunk_id long")
     arriving, rows = stream(spark, rows, tmp_path)
     encoder = vectors.hashed_term_encoder(16)
-    live_rows = {(r["chunk_id"], tuple(r["embedding"])) for r in live.drain_append(live.stream_embed(arriving, encoder)).collect()}
+    live_rows = {(r["chunk_id"], tuple(r["embedding"])) for r in live.stream_embed(arriving, encoder).collect()}
     filled = vectors.embed_missing(rows.withColumn("embedding", F.lit(None).cast("array<float>")), encoder)
     assert live_rows == {(r["chunk_id"], tuple(r["embedding"])) for r in filled.collect()}
     assert filled.where(F.size("embedding") != 16).count() == 0
+
+
+def test_embedding_stream_keeps_vectors_and_goes_on(spark, tmp_path):
+    columns = "page_title string, heading_path string, content string, chunk_id long, embedding array<float>"
+    encoder = vectors.hashed_term_encoder(4)
+    first = spark.createDataFrame([("T", None, "a", 1, [9.0, 9.0, 9.0, 9.0]), ("T", None, "b", 2, None)], columns)
+    second = spark.createDataFrame([("T", None, "c", 3, None)], columns)
+    for part in (first, second):
+        done = live.stream_embed(add(spark, part, tmp_path), encoder, place(tmp_path))
+    got = {r["chunk_id"]: list(r["embedding"]) for r in done.collect()}
+    assert set(got) == {1, 2, 3} and got[1] == [9.0] * 4 and len(got[3]) == 4

@@ -166,10 +166,12 @@ def test_merge_parts_interleaves_and_caps(spark):
     assert [r["part"] for r in fusion.skipped_parts(parts, hits).collect()] == [2]
 
 
-def test_labels():
-    assert SearchConfig(mode="hybrid", keyword_match="any", rerank=True).label() == "hybrid+rrf60+kw-any+rerank"
-    assert SearchConfig(mode="vector", keyword_match="any").label() == "vector"
-    assert len(evaluation.config_grid()) == 21 and len({(c.label(), c.top_k) for c in evaluation.config_grid()}) == 21
+def test_labels(spark):
+    grid = evaluation.config_grid()
+    rows = evaluation.fan_out(spark.range(1), grid).select("top_k", config_label(
+        F.col("mode"), F.col("rrf_k"), F.col("keyword_match"), F.col("rerank"), F.col("query_rewrite")).alias("label")).collect()
+    assert len(grid) == 21 and len({(r["label"], r["top_k"]) for r in rows}) == 21
+    assert {"hybrid+rrf60", "hybrid+rrf60+kw-any", "keyword+kw-any", "vector", "vector+rerank"} <= {r["label"] for r in rows}
 
 
 @pytest.fixture(scope="module")
@@ -192,16 +194,17 @@ def test_grid_equals_one_search_per_configuration(spark, library):
                            F.concat(F.lit("p"), F.col("qid") % 11).alias("answer_page_url"))
     grid = {(r["config"], r["top_k"], r["source"]): (r["n"], r["hit_rate"], r["mrr"])
             for r in retrieval_grid(queries, truth, corpus).collect()}
-    for cfg in [SearchConfig(mode="keyword", keyword_match="any", top_k=10), SearchConfig(mode="hybrid", top_k=5),
-                SearchConfig(mode="vector", top_k=20, rerank=True), SearchConfig(mode="hybrid", top_k=10, rerank=True)]:
+    for label, cfg in {"keyword+kw-any": SearchConfig("any", vectors=False, top_k=10), "hybrid+rrf60": SearchConfig(top_k=5),
+                       "vector+rerank": SearchConfig(None, top_k=20, rerank=True),
+                       "hybrid+rrf60+rerank": SearchConfig(top_k=10, rerank=True)}.items():
         hits = search(queries, corpus, cfg, ["page_url"])
         for r in evaluation.score_by_source(evaluation.reciprocal_rank(hits, truth)).collect():
-            got = grid[(cfg.label(), cfg.top_k, r["source"])]
+            got = grid[(label, cfg.top_k, r["source"])]
             assert got[0] == r["n"] and all(
                 math.isclose(a, b, abs_tol=1e-9) for a, b in zip(got[1:], (r["hit_rate"], r["mrr"])))
 
 
-def test_rewrite_is_refused(library):
-    corpus, queries = library
-    with pytest.raises(NotImplementedError):
-        ranked_ids(queries, corpus, SearchConfig(query_rewrite=True))
+def test_a_search_needs_a_list():
+    for wrong in ({"terms": None, "vectors": False}, {"terms": "some"}):
+        with pytest.raises(ValueError):
+            SearchConfig(**wrong)

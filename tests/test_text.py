@@ -1,11 +1,14 @@
 """Pure helpers: packing, stemming, and text column expressions."""
 
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pagelore.functions import packing, text
 from pagelore.functions.stemming import stem
+from pagelore.operators import chunking
 
 
 def test_short_section_is_one_piece():
@@ -37,13 +40,20 @@ def test_lines_count_their_break():
     assert len(list(packing.split_lines("a" * 600 + "\n" + "b" * 600))) == 2
 
 
-def test_small_pieces_fold_forward_and_take_the_later_heading():
-    merged = packing.merge_small([("A", "x"), ("B", "y" * 200), ("C", "z")])
-    assert merged == [("B", "x\n\n" + "y" * 200 + "\n\nz")]
+def merged(spark, pages, floor=200):
+    """C4 over several pages of pieces at once."""
+    rows = spark.createDataFrame([(i, page) for i, page in enumerate(pages)],
+                                 "page int, pieces array<struct<heading_path:string,content:string>>")
+    out = rows.select("page", chunking.merge_small(F.col("pieces"), floor).alias("chunks")).orderBy("page").collect()
+    return [[(c["heading_path"], c["content"]) for c in r["chunks"]] for r in out]
 
 
-def test_lone_small_page_loses_its_heading():
-    assert packing.merge_small([("A", "x"), ("B", "y")]) == [("", "x\n\ny")]
+def test_small_pieces_join_their_neighbours(spark):
+    long = "y" * 200
+    assert merged(spark, [
+        [("A", "x"), ("B", long), ("C", "z")], [("A", "x"), ("B", "y")], [], [("A", ""), ("B", "")], [("A", long), ("B", long + "y")],
+        [("A", ""), ("B", " x ")], [("A", "x"), ("B", " "), ("C", long)],
+    ]) == [[("B", f"x\n\n{long}\n\nz")], [("", "x\n\ny")], [], [], [("A", long), ("B", long + "y")], [("", " x ")], [("C", f"x\n\n{long}")]]
 
 
 paragraph = st.text(alphabet="ab \n", min_size=1, max_size=400).map(str.strip).filter(bool)
@@ -58,11 +68,12 @@ def test_every_line_survives_in_order(paragraphs, cap):
     assert squeeze("".join(pieces)) == squeeze(source)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.tuples(st.just("h"), st.text(alphabet="ab", min_size=1, max_size=60)), min_size=1, max_size=12))
-def test_only_a_short_page_gives_a_short_chunk(pieces):
-    merged = packing.merge_small(pieces, floor=30)
-    assert len(merged) == 1 or all(len(body) >= 30 for _, body in merged)
+def test_only_a_short_page_gives_a_short_chunk(spark):
+    rng = random.Random(4)
+    pages = [[("h", "a" * rng.randint(1, 60)) for _ in range(rng.randint(1, 12))] for _ in range(300)]
+    for page, chunks in zip(pages, merged(spark, pages, 30)):
+        assert len(chunks) == 1 or all(len(body) >= 30 for _, body in chunks)
+        assert "".join(b for _, b in chunks).replace("\n", "") == "".join(b for _, b in page)
 
 
 def test_stems():
