@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pagelore.catalog import views as v
 from pagelore.catalog.registry import Tables, query
 from pagelore.operators import monitoring as m
+from pagelore.session import new_path
+from pagelore.sources import tables
 
 N = "CAST(count(*) AS BIGINT)"
 
@@ -35,6 +37,19 @@ def m2(t: Tables):
     return m.outcomes_per_day(v.messages(t))
 
 
+RANGE = ("2024-01-05 06:00:00", "2024-01-12 18:30:00")
+
+
+@query("m2_outcomes_in_range", filled_sql(
+    "CASE route WHEN 'docs' THEN 'Answered' WHEN 'refused' THEN 'Refused' WHEN 'error' THEN 'Failed' ELSE route END",
+    f"asked_at BETWEEN TIMESTAMP '{RANGE[0]}' AND TIMESTAMP '{RANGE[1]}'"))
+def m2_range(t: Tables):
+    path = new_path(t.spark, "messages")
+    tables.append_messages(v.messages(t), path, F.col("asked_at"))
+    start, end = (F.lit(x).cast("timestamp_ntz") for x in RANGE)
+    return m.outcomes_per_day(m.in_range(t.spark.read.parquet(path), start, end))
+
+
 @query("m3_recent_questions", v.with_views("messages_v", "rated_v", body="""
 SELECT asked_at AS asked, left(question, 70) AS question, route, coalesce(provider, '') AS provider,
   coalesce(model, '') AS model, coalesce(prompt_tokens, 0) + coalesce(completion_tokens, 0) AS tokens,

@@ -14,12 +14,17 @@ from pagelore import fixed_values as fx
 
 
 def in_range(log: DataFrame, start: Column | None = None, end: Column | None = None,
-             at: str = "asked_at") -> DataFrame:
-    """The dashboard's time filter; reaches the scan as a pushed filter."""
-    if start is not None:
-        log = log.where(F.col(at) >= start)
-    if end is not None:
-        log = log.where(F.col(at) <= end)
+             at: str = "asked_at", day: str = "asked_on") -> DataFrame:
+    """The dashboard's time filter, bounds included.
+
+    A stored log is partitioned by ``day``: the same bounds on it leave the folders of
+    other days unread. Bounds must be literals or foldable for that."""
+    for bound, inside in ((start, F.col(at).__ge__), (end, F.col(at).__le__)):
+        if bound is None:
+            continue
+        log = log.where(inside(bound))
+        if day in log.columns:
+            log = log.where(F.col(day) >= F.to_date(bound) if bound is start else F.col(day) <= F.to_date(bound))
     return log
 
 

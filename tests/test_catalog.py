@@ -50,3 +50,19 @@ def test_plans_hold_at_scale(spark, name):
 def test_scans_read_only_what_is_used(spark):
     plan = queries()["m10_latency_per_hour"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string,value:double>" in plan
+
+
+def test_a_time_range_leaves_the_folders_of_other_days_unread(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from pagelore.operators import monitoring
+
+    path = str(tmp_path / "log")
+    days = spark.range(10).selectExpr("id", "timestamp_ntz '2024-01-01 12:00:00' + make_dt_interval(id) as asked_at")
+    days.withColumn("asked_on", F.to_date("asked_at")).write.partitionBy("asked_on").parquet(path)
+    ends = [F.lit(f"2024-01-0{d} 12:00:00").cast("timestamp_ntz") for d in (3, 5)]
+    some = monitoring.in_range(spark.read.parquet(path), *ends)
+    assert sorted(r["id"] for r in some.collect()) == [2, 3, 4] and len(some.inputFiles()) >= 3
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    pruned = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "asked_on" in pruned and ">=" in pruned and "<=" in pruned
