@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagelore import fixed_values as fx
 from pagelore.functions import text
+from pagelore.session import materialize
 
 
 def with_row_hash(pages: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -27,9 +28,9 @@ def scd2_merge(history: DataFrame, incoming: DataFrame, at: Column,
     Open versions absent from the load are closed at ``at``; rows whose
     ``(key, row_hash)`` is not open become new versions; the rest is untouched.
 
-    Both decisions are made on keys and hashes alone. Page texts take part only
-    in the last step, against the rows that changed, which AQE broadcasts when
-    the change set is small.
+    Both decisions are made on keys and hashes alone and written first. The planner
+    then knows how large the change set is before it reads a page text, and texts
+    stay where they are whenever that set is small enough to broadcast.
     """
     ident = [key, "row_hash"]
     fresh = with_row_hash(incoming, cols)
@@ -37,8 +38,8 @@ def scd2_merge(history: DataFrame, incoming: DataFrame, at: Column,
     open_keys = still_open.select(*ident)
     load_keys = fresh.select(*ident)
 
-    closing = open_keys.join(load_keys, ident, "left_anti").withColumn("closed_at", at)
-    opening = load_keys.join(open_keys, ident, "left_anti")
+    closing = materialize(open_keys.join(load_keys, ident, "left_anti").withColumn("closed_at", at), "closing")
+    opening = materialize(load_keys.join(open_keys, ident, "left_anti"), "opening")
 
     # Closed versions are final and pass by without a join.
     kept = history.where(F.col("valid_to").isNotNull()).unionByName(

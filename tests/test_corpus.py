@@ -142,3 +142,19 @@ def test_raw_files_and_history_table(spark, tmp_path):
     current = tables.read_current(spark, str(tmp_path / "h"))
     assert [r["url"] for r in current.collect()] == ["a"]
     assert "PartitionFilters: [isnotnull(is_current" in current._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_stay_where_they_are_when_few_pages_change(spark):
+    pages = spark.range(3000).selectExpr("concat('u', id) as url", "'s' as section", "repeat(cast(id as string), 60) as content")
+    at = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
+    history = versioning.first_load(pages, at, ["content"])
+    load = pages.where("url <> 'u7'").withColumn("content", F.expr("if(url = 'u9', 'new', content)"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        merged = versioning.scd2_merge(history, load, at, ["content"])
+        assert merged.where("valid_to is not null").count() == 2 and merged.count() == 3001
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
