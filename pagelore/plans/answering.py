@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pagelore import fixed_values as fx
 from pagelore.functions import text
 from pagelore.operators import fusion, qa, vectors
-from pagelore.plans.search import Corpus, SearchConfig, config_label, ranked_ids
+from pagelore.plans.search import Corpus, SearchConfig, label_of, ranked_ids
 from pagelore.session import materialize
 
 
@@ -144,8 +144,7 @@ def answer_batch(questions: DataFrame, corpus: Corpus, cfg: SearchConfig, prompt
     out = answered.unionByName(turned_away, allowMissingColumns=True).unionByName(not_asked, allowMissingColumns=True)
     flow = qa.choose_flow(F.col("route"), F.col("answer"), F.col("sandbox_flow"),
                           F.col("route_error"), F.col("question"))
-    name = config_label(F.lit(cfg.mode), F.lit(cfg.damping), F.lit(cfg.terms or "all"), F.lit(cfg.rerank), F.lit(False))
     return out.withColumns({
-        "sandbox_flow": flow, "retrieval_config": F.concat(name, F.lit(f"@{cfg.top_k}")),
+        "sandbox_flow": flow, "retrieval_config": F.concat(label_of(cfg), F.lit(f"@{cfg.top_k}")),
         "latency_ms": F.when(F.col("route") == "error", F.lit(0)),
     }).drop("route_error")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelore.operators import evaluation, fusion, keywords, vectors
-from pagelore.plans.search import Corpus, SearchConfig
+from pagelore.plans.search import Corpus, SearchConfig, label_of
 from pagelore.session import materialize
 
 
@@ -89,7 +89,7 @@ def retrieval_grid(queries: DataFrame, questions: DataFrame, corpus: Corpus,
     fanned = evaluation.fan_out(questions, configs).select("config_id", "qid", "source", "answer_page_url")
     ranks = evaluation.reciprocal_rank(hits.join(urls, "chunk_id"), fanned, ["config_id"])
     scores = evaluation.score_by_source(ranks, ["config_id"])
-    labels = F.array(*[F.lit(c.label()) for c in configs])
+    labels = F.array(*[label_of(c) for c in configs])
     depths = F.array(*[F.lit(c.top_k) for c in configs])
     return scores.select(
         "config_id", labels[F.col("config_id")].alias("config"), depths[F.col("config_id")].alias("top_k"),

@@ -64,6 +64,10 @@ def config_label(mode: Column, damping: Column, terms: Column, rerank: Column, r
     )
 
 
+def label_of(cfg: SearchConfig) -> Column:
+    return config_label(F.lit(cfg.mode), F.lit(cfg.damping), F.lit(cfg.terms or "all"), F.lit(cfg.rerank), F.lit(False))
+
+
 def ranked_ids(queries: DataFrame, corpus: Corpus, cfg: SearchConfig) -> DataFrame:
     """``qid, chunk_id, score, rank`` for ``queries`` (``qid, query, qvec``)."""
     wanted = cfg.pool if cfg.rerank else cfg.top_k

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagelore.operators import evaluation, fusion, keywords, vectors
 from pagelore.plans.grid import retrieval_grid
-from pagelore.plans.search import Corpus, SearchConfig, ranked_ids, search
+from pagelore.plans.search import Corpus, SearchConfig, config_label, search
 
 CHUNKS = [
     (1, "refund a payment with the refunds api"),
