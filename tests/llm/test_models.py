@@ -1,5 +1,6 @@
 """Classifiers and the language model: held-out results, awkward rows, brute force."""
 
+import inspect
 import math
 import zlib
 from collections import Counter
@@ -101,6 +102,48 @@ def test_a_full_filter_falls_back_to_single_words(ready):
     assert ngrams.score_held_out(docs, filter_bytes=1).count() == 60
 
 
+def _brute_scores(rows):
+    """Scores by exact counts of all words, and pair counts rounded as the filter's levels are."""
+    words = [[*(r["text"] or "").encode().lower().split(), None] for r in rows]
+    one, two = Counter(), Counter()
+    for r, w in zip(rows, words):
+        if zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2:
+            one.update(w)
+            two.update(zip([None, *w], w))
+    size, out = sum(one.values()) + len(one) + 1, {}
+    for r, w in zip(rows, words):
+        out[r["doc_id"]] = 0.0
+        for a, b in zip([None, *w], w):
+            alone, level = (one[b] + 1) / size, two[a, b].bit_length()
+            pair = min(ngrams._DECODED[level], one[a])
+            out[r["doc_id"]] += math.log10((pair + ngrams.PRIOR * alone) / (one[a] + ngrams.PRIOR))
+    return out
+
+
+def test_scores_use_every_word_and_pair(ready, monkeypatch):
+    """Rare and unseen words count as they are, however few words are sent to the workers."""
+    rows = [(i, " ".join(["the quick brown fox"] * (i % 5)) + " " + prose(i % 40, 60) + f" only{i}") for i in range(120)]
+    docs = ready.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    wanted, got = _brute_scores(docs.collect()), []
+    for frequent in (1 << 20, 8):
+        monkeypatch.setattr(ngrams, "FREQUENT", frequent)
+        got.append({r["doc_id"]: round(r["score"], 6) for r in ngrams.score_held_out(docs).collect()})
+    assert got[0] == got[1] and got[0].keys() == wanted.keys()
+    assert all(abs(got[0][i] - wanted[i]) < 0.05 * abs(wanted[i]) for i in wanted)   # a probe errs now and then
+
+
+def test_the_filter_grows_with_its_entries(ready, monkeypatch):
+    """No size is the last: the bits follow the entries, and texts in many groups score the same."""
+    docs = ready.createDataFrame([(i, prose(i, 300)) for i in range(60)], "doc_id long, text string")
+    small, large = ngrams.fit(docs.where("doc_id < 6"), buckets=64), ngrams.fit(docs, buckets=64)
+    assert inspect.signature(ngrams.fit).parameters["filter_bytes"].default is None
+    assert len(large.bits) > 6 * len(small.bits) and small.trust > 0.95 and large.trust > 0.95
+    whole = sorted(map(tuple, ngrams.score(docs, large).collect()))
+    monkeypatch.setattr(ngrams, "GROUP_BYTES", 5000)
+    assert [(r[0], *r[1:4]) for r in whole] == [(r[0], *r[1:4]) for r in sorted(map(tuple, ngrams.score(docs, large).collect()))]
+    assert [round(r[-1], 6) for r in whole] == [round(r[-1], 6) for r in sorted(map(tuple, ngrams.score(docs, large).collect()))]
+
+
 def test_nothing_to_learn_from(empty, ready):
     assert ngrams.score_held_out(empty).count() == 0
     one = ready.createDataFrame([(9, "a b")], "doc_id long, text string")
