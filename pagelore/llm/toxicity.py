@@ -21,7 +21,7 @@ from pagelore.llm.words import PLAIN_LOWER, mix, starts_of, word_groups
 
 BITS = 20
 #: At most this many labelled rows are learnt from: those whose ids hash lowest.
-TRAINING_ROWS = 12_000
+TRAINING_ROWS = 20_000
 EPOCHS = 5
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 12.0, 0.1
 
@@ -74,6 +74,14 @@ class Learner:
         self.bias -= 0.1 * error / np.sqrt(self.seen)
 
 
+def packed(places: pa.BinaryArray, labels: pa.Int32Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, bounds, labels) of a batch: its places in one array of its own, so that the batch can go."""
+    bounds = np.frombuffer(places.buffers()[1], np.int32)[places.offset:places.offset + len(places) + 1] // 4
+    data = places.buffers()[2]
+    flat = np.frombuffer(data, "<u4", len(data) // 4) if data is not None else np.zeros(0, np.uint32)
+    return (flat[bounds[0]:bounds[-1]].copy(), bounds - bounds[0], labels.to_numpy().copy()) if len(places) else (flat[:0], bounds[:0], labels.to_numpy())
+
+
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
           rows: int = TRAINING_ROWS, epochs: int = EPOCHS, bits: int = BITS) -> Model:
     """A model from labelled documents whose id is not held out (crc32 modulo 5 is 0).
@@ -98,12 +106,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                     names=["place", "id", "label", "places"])
 
     def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [(np.frombuffer(p, "<u4"), y) for b in batches
-                for p, y in zip(b.column(3).to_pylist(), b.column(2).to_pylist())]
+        seen = [packed(b.column(3), b.column(2)) for b in batches]
         learner = Learner(bits)
         for _ in range(epochs):
-            for places, y in seen:
-                learner.learn(places, y)
+            for places, bounds, labels_ in seen:
+                for y, low, high in zip(labels_, bounds, bounds[1:]):
+                    learner.learn(places[low:high], y)
         weights = learner.weights(learner.z, learner.n)
         kept = np.flatnonzero(weights)
         yield pa.RecordBatch.from_arrays(

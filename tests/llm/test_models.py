@@ -5,6 +5,8 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagelore.llm import ngrams, quality, toxicity
@@ -55,6 +57,22 @@ def test_held_out_labels_are_never_learnt(tables, ready):
     assert one.places.tolist() == other.places.tolist() and one.weights.tolist() == other.weights.tolist()
 
 
+def test_the_sample_holds_20_000_labelled_rows(ready):
+    docs = ready.range(17_000).selectExpr("id as doc_id", "concat('w', id % 7, ' v', id % 11, if(id % 9 = 0, ' bad', '')) as text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 9 = 0) as toxic")
+    one, other = toxicity.train(docs, labels), toxicity.train(docs, labels, rows=1 << 30)
+    assert one.bias == other.bias and one.weights.tolist() == other.weights.tolist()
+
+
+def test_packed_batches_give_back_their_rows():
+    rows = [np.arange(n, dtype="<u4") + 7 * n for n in (3, 0, 5, 1)]
+    column, labels = pa.array([x.tobytes() for x in rows]), pa.array([0, 1, 1, 0], pa.int32())
+    for low, n in ((0, 4), (1, 3), (2, 1), (0, 0)):
+        places, bounds, wanted = toxicity.packed(column.slice(low, n), labels.slice(low, n))
+        assert [places[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [x.tolist() for x in rows[low:low + n]]
+        assert wanted.tolist() == labels.slice(low, n).to_pylist()
+
+
 def _brute(rows):
     words = [[*(r["text"] or "").encode().lower().split(), None] for r in rows]
     count = Counter()
