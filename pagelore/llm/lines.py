@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pagelore.llm.tables import dropped, saved, spare
 
 MIN_LINES = 2
+#: Words from which the pipeline takes a single line for a passage.
+LONG_WORDS = 50
 _PLACE = ["doc_id", "text_key", "pos"]
 
 
@@ -32,10 +34,13 @@ def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
     return ranked
 
 
-def line_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_key, pos, h1, h2): every line of every document with an id, by a 128-bit hash."""
+def line_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = 0) -> DataFrame:
+    """(doc_id, text_key, pos, h1, h2): every line of every document with an id, by a 128-bit hash;
+    or those of at least ``least_words`` words between white space."""
     named = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     lines = named.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")))
+    if least_words:
+        lines = lines.where((F.length("col") >= 2 * least_words - 1) & (F.regexp_count("col", F.lit(r"\S+")) >= least_words))
     first = F.xxhash64("col")
     return lines.select(*_PLACE, first.alias("h1"), F.xxhash64(F.lit(7), F.reverse("col"), first).alias("h2"))
 
@@ -55,30 +60,41 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     return now
 
 
-def later_copies(runs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_id, text_key, spans): the maximal line intervals made of runs that begin earlier too."""
+def long_later_copies(docs: DataFrame, doc_id: str, text: str, long_words: int) -> DataFrame:
+    """(doc_id, text_key, pos, stop): lines of ``long_words`` words and more that stand earlier too."""
+    place = F.struct(*_PLACE)
+    lines = line_places(docs, doc_id, text, long_words)
+    first = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return lines.join(first, ["h1", "h2"]).where(place > F.col("first")).select(*_PLACE, (F.col("pos") + 1).alias("stop"))
+
+
+def later_copies(runs: DataFrame, min_lines: int = MIN_LINES, more: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text_key, spans): the maximal line intervals made of runs that begin earlier too, and of ``more``."""
     place = F.struct(*_PLACE)
     first = runs.groupBy("rank").agg(F.min(place).alias("first"))
-    later = runs.join(first, "rank").where(place > F.col("first")).select(*_PLACE).distinct()
-    by_doc = Window.partitionBy("doc_id", "text_key").orderBy("pos")
-    fresh = F.col("pos") > F.coalesce(F.lag("pos").over(by_doc) + min_lines, F.lit(-1))
-    islands = later.withColumn("fresh", fresh.cast("int")).withColumn("island", F.sum("fresh").over(by_doc))
-    spans = islands.groupBy("doc_id", "text_key", "island").agg(
-        F.min("pos").alias("start"), (F.max("pos") + min_lines).alias("stop"))
+    later = runs.join(first, "rank").where(place > F.col("first")).select(*_PLACE, (F.col("pos") + min_lines).alias("stop"))
+    later = (later if more is None else later.unionByName(more)).distinct()
+    by_doc = Window.partitionBy("doc_id", "text_key").orderBy("pos", "stop")
+    before = F.max("stop").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    islands = later.withColumn("fresh", (F.col("pos") > F.coalesce(before, F.lit(-1))).cast("int")).withColumn("island", F.sum("fresh").over(by_doc))
+    spans = islands.groupBy("doc_id", "text_key", "island").agg(F.min("pos").alias("start"), F.max("stop").alias("stop"))
     return spans.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
 
 def remove_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES,
-                          to: str = "text", spans: str = "removed_spans", lines: str | None = "n_lines") -> DataFrame:
+                          to: str = "text", spans: str = "removed_spans", lines: str | None = "n_lines",
+                          long_words: int | None = None) -> DataFrame:
     """``docs`` with the text left in ``to``, its line count and the removed line intervals.
 
     Lines end at a line feed. A line goes when a run of ``min_lines`` lines over it begins
-    earlier too, in a smaller id or above in the same text; the first copy stays. An empty
+    earlier too, in a smaller id or above in the same text; the first copy stays. With
+    ``long_words``, a single line of that many words goes by itself in the same way. An empty
     text is one empty line; a null text stays null with no lines; rows without an id stay
     whole and count for no other; repeated rows get the same result.
     """
     id_, key = spare(docs, "doc_id_"), spare(docs, "text_key")
-    copies = later_copies(repeated_runs(docs, doc_id, text, min_lines), min_lines).select(
+    more = None if long_words is None else long_later_copies(docs, doc_id, text, long_words)
+    copies = later_copies(repeated_runs(docs, doc_id, text, min_lines), min_lines, more).select(
         F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.col("spans").alias(spare(docs, "found")))
     found = spare(docs, "found")
     met = docs.withColumns({id_: F.col(doc_id), key: F.xxhash64(F.col(text))}).join(copies, [id_, key], "left")

@@ -45,6 +45,17 @@ def test_line_runs(awkward, ready, least):
         assert spans == sorted(spans) and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
 
 
+def test_long_single_lines(ready):
+    """A passage that is one line goes between different neighbours too; a short line stays."""
+    long, other, short = prose(30, 50), prose(31, 60), prose(32, 49)
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd\n{short}"), (3, long), (4, f"{short}\n{other}\n{long}\n{other}\nz"), (5, f"y\n{other}\nz\nw"), (None, long)]
+    frame = ready.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["left_text"], [tuple(x) for x in r["removed_spans"]])
+           for r in remove_repeated_lines(frame, to="left_text", long_words=50).collect()}
+    assert got == {1: (rows[0][1], []), 2: (f"c\nd\n{short}", [(1, 2)]), 3: ("", [(0, 1)]), 4: (f"{short}\n{other}\nz", [(2, 4)]),
+                   5: ("y\nw", [(1, 3)]), None: (long, [])}
+
+
 def test_ranks_follow_equal_runs(ready):
     frame = ready.createDataFrame([(1, "a\nb\nc"), (2, "a\nb\nd"), (3, "b\nc")], "doc_id long, text string")
     ranks = {}
