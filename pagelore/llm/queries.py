@@ -5,22 +5,24 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm import bpe, quality, toxicity
+from pagelore.llm import alignment, bpe, licenses, quality, toxicity
 from pagelore.llm.decontamination import contamination, hit_words
 from pagelore.llm.embeddings import near_vectors
 from pagelore.llm.lines import remove_repeated_lines
 from pagelore.llm.ngrams import score_held_out
 from pagelore.llm.simhash import simhash_groups
 from pagelore.llm.substrings import remove_repeats
-from pagelore.llm.tables import bucket_of, table
+from pagelore.llm.tables import bucket_of, saved, table
+from pagelore.llm.trie import prefix_trie
 from pagelore.llm.warc import fixity_check
 from pagelore.session import new_path, ship_package
 
 #: Folder of the tokenizer files; the installed package unless set otherwise.
-TOKENIZERS = os.environ.get("PAGELORE_TOKENIZERS", "/opt/tokenizers")
+TOKENIZERS = os.environ.get("PAGELORE_TOKENIZERS") or os.path.dirname(public_tokenizers.path("word_bpe_49k.json"))
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -197,6 +199,88 @@ FROM o
 """
 
 
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
+    aligned = alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), *files).drop("text")
+    links = saved(aligned.select(
+        "doc_id", *(f"alignment.{c}" for c in ("n_a", "n_b", "n_groups")),
+        (F.octet_length("alignment.links") / 4).cast("long").alias("n_links"),
+        F.when(F.col("alignment.n_groups") > 0, F.sha2(F.encode("alignment.groups", "UTF-8"), 256)).otherwise("").alias("groups_sha256"),
+        F.col("alignment.links").alias("links")), "links")
+    return alignment.link_scores(links, "links", alignment.link_counts(links, "links", *files)).drop("links")
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLE_SQL["op12_prefix_trie"] = r"""
+WITH t AS (SELECT conv_id, {'r': coalesce(role, ''), 'x': coalesce(text, '')} AS v,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(v ORDER BY pos) AS own,
+        xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+          lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+            lambda u, z: CASE WHEN u % 2 = 1 THEN xor(u // 2, 3988292384::BIGINT) ELSE u // 2 END)), 4294967295::BIGINT) % 6 AS h
+      FROM t GROUP BY conv_id),
+r AS (SELECT c.conv_id, list_concat(list_slice(coalesce(b.own, []), 1, c.h), list_slice(c.own, c.h + 1, len(c.own))) AS s
+      FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 100),
+n AS (SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM r),
+k AS (SELECT list_slice(s, 1, d) AS p, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+        string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(s) = d) AS ends FROM n GROUP BY ALL),
+u AS (SELECT list_slice(p, 1, d - 1) AS up, count(*) AS n_children FROM k WHERE d > 0 GROUP BY ALL),
+m AS (SELECT k.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * length(p[d].x) ELSE 0 END AS own
+      FROM k LEFT JOIN u ON k.p = u.up),
+x AS (SELECT p, n_children, own, unnest(range(d + 1)) AS e FROM m),
+a AS (SELECT list_slice(p, 1, e) AS up, sum((n_children = 0)::INT) AS n_leaves, sum(own) AS saved FROM x GROUP BY ALL)
+SELECT m.conv_id, m.d::BIGINT AS depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, a.n_leaves::BIGINT AS n_leaves,
+       a.saved::BIGINT AS saved_tokens, sha256(coalesce(m.ends, '')) AS ends_sha256
+FROM m JOIN a ON a.up = m.p LEFT JOIN k q ON m.d > 0 AND q.p = list_slice(m.p, 1, m.d - 1)
+"""
+
+
+@query
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score is 1 where a template matches, 0.5 where only a phrase stands, else 0."""
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    phrases, templates = F.col("license_scan.phrases"), F.col("license_scan.templates")
+
+    def joined(labels):
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    return found.select(
+        "doc_id", "license_scan.n_words", F.size(phrases).cast("long").alias("n_base"),
+        F.array_min(phrases["start"]).alias("first_word"), F.array_max(phrases["start"]).alias("last_word"),
+        joined(phrases["label"]).alias("base_labels"), joined(F.concat(phrases["label"], templates["label"])).alias("labels"),
+        F.when(F.size(templates) > 0, 1.0).when(F.size(phrases) > 0, 0.5).otherwise(0.0).alias("score"))
+
+
+def _license_sql() -> str:
+    phrases = ", ".join(f"({list(licenses.words_of(p))}, '{label}')" for p, label in licenses.PHRASES.items())
+    templates = ", ".join(f"('{licenses.as_pattern(licenses.parse(t))}(?: |$)', '{label}')" for label, t in licenses.TEMPLATES.items())
+    return rf"""
+WITH ph(ws, label) AS (VALUES {phrases}), tm(pattern, label) AS (VALUES {templates}),
+d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x{{00}}-\x{{2F}}\x{{3A}}-\x{{60}}\x{{7B}}-\x{{7F}}]+'), []) AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(len(ws))) AS i FROM d),
+b AS (SELECT doc_id, i, label FROM p JOIN ph ON p.ws[i + 1:i + len(ph.ws)] = ph.ws),
+t AS (SELECT doc_id, label FROM d JOIN tm ON regexp_matches(' ' || array_to_string(ws, ' '), pattern)),
+l AS (SELECT doc_id, label, 1 AS base FROM b UNION SELECT doc_id, label, 0 FROM t),
+bb AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM b GROUP BY doc_id),
+ll AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base = 1) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels, min(base) = 0 AS whole FROM l GROUP BY doc_id)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN whole THEN 1.0::DOUBLE WHEN n_base > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
+FROM d LEFT JOIN bb ON d.doc_id = bb.doc_id LEFT JOIN ll ON d.doc_id = ll.doc_id
+"""
+
+
+ORACLE_SQL["op13_license_scan"] = _license_sql()
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run   # it imports this module
