@@ -222,7 +222,7 @@ RULE = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
 
 
 def hits(t: Tables):
-    return search(v.queries(t), corpus(t), SearchConfig(None, top_k=5))
+    return search(v.queries(t), corpus(t, SearchConfig(None)), SearchConfig(None, top_k=5))
 
 
 @query("q11_context_block", HITS_5 + f"""
@@ -305,7 +305,7 @@ SELECT qid, page_url, arg_min(page_title, rank) AS page_title,
   CASE WHEN count(DISTINCT heading_path) = 1 THEN min(heading_path) END AS heading
 FROM hits GROUP BY qid, page_url""")
 def q16(t: Tables):
-    found = search(v.queries(t), corpus(t), SearchConfig(None, top_k=20))
+    found = search(v.queries(t), corpus(t, SearchConfig(None)), SearchConfig(None, top_k=20))
     return qa.group_citations(found).withColumn("first_index", F.col("first_index").cast("long"))
 
 

@@ -13,16 +13,18 @@ from pagelore.plans.search import Corpus, SearchConfig, config_label, ranked_ids
 from pagelore.session import settle
 
 
-def index(t: Tables):
-    return keywords.build_postings(t.documents, "doc_id", "text")
+def postings(t: Tables, analyzer: str = "simple"):
+    return keywords.build_postings(v.chunks(t), content=v.chunk_text(), analyzer=analyzer)
 
 
 def terms(t: Tables):
     return keywords.parse_search_terms(v.queries(t))
 
 
-def corpus(t: Tables) -> Corpus:
-    return Corpus(v.chunks(t), index(t))
+def corpus(t: Tables, cfg: SearchConfig | None = None) -> Corpus:
+    """What searches of ``cfg`` read; those by vectors alone need no index."""
+    words = cfg is None or cfg.terms or cfg.rerank
+    return Corpus(v.chunks(t), v.stored_index(t) if words else None)
 
 
 def vectors_of(t: Tables):
@@ -54,7 +56,7 @@ def k1(t: Tables):
 @query("k2_build_postings", v.with_views("postings_v", body="""
 SELECT chunk_id, term, tf, first_pos, last_pos, round(weight, 9) AS weight FROM postings_v"""))
 def k2(t: Tables):
-    return index(t).select(
+    return postings(t).select(
         "chunk_id", "term", F.col("tf").cast("long").alias("tf"),
         F.element_at("positions", 1).cast("long").alias("first_pos"),
         F.element_at("positions", -1).cast("long").alias("last_pos"),
@@ -63,8 +65,7 @@ def k2(t: Tables):
 
 @query("k2_english_postings")
 def k2_english(t: Tables):
-    english = keywords.build_postings(t.documents, "doc_id", "text", "english")
-    return english.select("chunk_id", "term", "tf", F.round("weight", 9).alias("weight"))
+    return postings(t, "english").select("chunk_id", "term", "tf", F.round("weight", 9).alias("weight"))
 
 
 @query("k3_parse_search_terms", ctes("web_queries_v", tail="""
@@ -83,12 +84,12 @@ def k3(t: Tables):
 
 @query("k4_keyword_topk_any", v.with_views("kw_any", body=f"{RANKED} kw_any WHERE rank <= 20"))
 def k4_any(t: Tables):
-    return ranked(keywords.keyword_topk(terms(t), index(t), 20, "any"))
+    return ranked(keywords.keyword_topk(terms(t), v.stored_index(t), 20, "any"))
 
 
 @query("k4_keyword_topk_all", v.with_views("kw_all", body=f"{RANKED} kw_all WHERE rank <= 20"))
 def k4_all(t: Tables):
-    return ranked(keywords.keyword_topk(terms(t), index(t), 20, "all"))
+    return ranked(keywords.keyword_topk(terms(t), v.stored_index(t), 20, "all"))
 
 
 PHRASE_SQL = v.with_views("web_queries_v", "doc_terms", body="""
@@ -99,7 +100,7 @@ JOIN doc_terms a ON a.term = w[1] JOIN doc_terms b ON b.chunk_id = a.chunk_id AN
 @query("k5_phrase_filter", PHRASE_SQL)
 def k5(t: Tables):
     phrases = keywords.parse_search_terms(v.web_queries(t)).where(F.col("len") > 1)
-    return keywords.phrase_hits(index(t).join(F.broadcast(phrases), "term")).select("qid", "chunk_id")
+    return keywords.phrase_matches(phrases, v.stored_index(t)).select("qid", "chunk_id")
 
 
 @query("k6_negation_filter", ctes("web_queries_v", "doc_terms", "kw_scores", tail=f"""
@@ -111,7 +112,7 @@ WHERE s.hits = s.n_terms OR EXISTS (SELECT 1 FROM phrase p WHERE p.qid = s.qid A
 """))
 def k6(t: Tables):
     parsed = keywords.parse_search_terms(v.web_queries(t))
-    return keywords.keyword_scores(parsed, index(t), "all").select(
+    return keywords.keyword_scores(parsed, v.stored_index(t), "all").select(
         "qid", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -176,7 +177,7 @@ def e6(t: Tables):
 
 @query("e7_rrf_fuse", v.with_views("fused_any", body=f"{RANKED} fused_any WHERE rank <= 10"))
 def e7(t: Tables):
-    keyword = keywords.keyword_topk(terms(t), index(t), 20, "any")
+    keyword = keywords.keyword_topk(terms(t), v.stored_index(t), 20, "any")
     near = vectors.vector_topk(v.queries(t), vectors_of(t), 20)
     return ranked(fusion.rrf_fuse(keyword, near, 60, 10))
 
@@ -204,7 +205,7 @@ reranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC,
 @query("e9_rerank", ctes("vec", "kw_scores", tail=rerank_sql("vec", 30, 10)))
 def e9(t: Tables):
     pool = vectors.vector_topk(v.queries(t), vectors_of(t), 30)
-    signals = fusion.pool_scores(pool, terms(t), index(t), v.queries(t), vectors_of(t))
+    signals = fusion.pool_scores(pool, terms(t), v.stored_index(t), v.queries(t), vectors_of(t))
     return ranked(fusion.rerank_scored(signals, 10))
 
 
@@ -212,7 +213,7 @@ HIT_COLUMNS = "qid, CAST(rank AS BIGINT) AS rank, chunk_id, page_url, page_title
 
 
 def _hits(t: Tables, cfg: SearchConfig):
-    return search(v.queries(t), corpus(t), cfg).withColumns(
+    return search(v.queries(t), corpus(t, cfg), cfg).withColumns(
         {"rank": F.col("rank").cast("long"), "score": F.round("score", 6)})
 
 
@@ -274,7 +275,7 @@ def e12(t: Tables):
 SELECT q.qid, m.part FROM queries_v q, (VALUES (0), (1)) m(part) WHERE NOT EXISTS (
   SELECT 1 FROM kw_all k WHERE k.qid = q.qid + m.part)"""))
 def e12_skipped(t: Tables):
-    found = settle(keywords.keyword_topk(terms(t), index(t), 5, "all"), "hits")
+    found = settle(keywords.keyword_topk(terms(t), v.stored_index(t), 5, "all"), "hits")
     hits = found.select("qid", F.lit(0).alias("part")).unionByName(
         found.select((F.col("qid") - 1).alias("qid"), F.lit(1).alias("part")))
     parts = v.queries(t).select("qid", F.explode(F.array(F.lit(0), F.lit(1))).alias("part"))

@@ -6,12 +6,14 @@ same way are written once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelore.catalog.registry import Tables
+from pagelore.functions import text
 from pagelore.operators import linkindex, versioning
-from pagelore.session import materialize
+from pagelore.operators.inverted import StoredIndex, write_index
+from pagelore.session import fingerprint, materialize, workspace
 
 SQL: dict[str, str] = {}
 NEEDS: dict[str, tuple[str, ...]] = {}
@@ -234,6 +236,17 @@ def chunks(t: Tables) -> DataFrame:
     return t.documents.join(t.embeddings, F.col("doc_id") == F.col("vec_id"), "left").selectExpr(*CHUNK_COLUMNS)
 
 
+def chunk_text() -> Column:
+    return text.search_text(F.col("page_title"), F.col("heading_path"), F.col("content"))
+
+
+def stored_index(t: Tables, analyzer: str = "simple") -> StoredIndex:
+    """The inverted file of all chunks in the shared folder. It is written on first use and serves
+    every later search of the same files; changed files have a fingerprint and an index of their own."""
+    index = StoredIndex(t.spark, f"{workspace(t.spark)}/index-{analyzer}-{fingerprint(t.documents)}", analyzer)
+    return index if index.exists() else write_index(index, chunks(t), content=chunk_text())
+
+
 def queries(t: Tables) -> DataFrame:
     return t.benchmark.join(t.embeddings, F.col("item_id") == F.col("vec_id")).selectExpr(
         "item_id AS qid", "text AS query", "embedding AS qvec")
@@ -261,8 +274,8 @@ def web_queries(t: Tables) -> DataFrame:
                         F.lit(" or "), F.col("query")).alias("query"))
 
 
-define("doc_tokens", """SELECT doc_id AS chunk_id,
-    list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ts FROM documents""")
+define("doc_tokens", """SELECT chunk_id, list_filter(regexp_split_to_array(lower(coalesce(page_title, '') || ' '
+    || coalesce(heading_path, '') || ' ' || content), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ts FROM chunks_v""", "chunks_v")
 define("doc_terms", "SELECT chunk_id, unnest(ts) AS term, unnest(range(len(ts))) AS pos FROM doc_tokens", "doc_tokens")
 define("postings_v", """SELECT chunk_id, term, count(*) AS tf, min(pos) AS first_pos, max(pos) AS last_pos,
     list_sum(list_transform(range(1, count(*) + 1), lambda j: CAST(1 AS DOUBLE) / (j * j))) AS weight

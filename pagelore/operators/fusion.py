@@ -5,14 +5,20 @@ All groups here are result pools of one query: bounded by the configured depth.
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagelore.functions import vectors
+from pagelore.operators import inverted
 from pagelore.operators.keywords import SCORE_DIGITS, keyword_scores, top_k
 from pagelore.session import settle
 
+if TYPE_CHECKING:
+    from pagelore.operators.keywords import Index
+
 
 def rrf_fuse(keyword: DataFrame, vector: DataFrame, rrf_k: int = 60, k: int | None = None) -> DataFrame:
     """Σ 1/(rrf_k + rank) over the arms; ties go to the first seen: keyword arm
@@ -46,14 +52,17 @@ def rerank_scored(pool: DataFrame, k: int, w_vector: float = 0.7, w_keyword: flo
     return top_k(scored, k, "pool_rank").select("qid", "chunk_id", "score", "rank")
 
 
-def pool_scores(pool: DataFrame, terms: DataFrame, index: DataFrame, queries: DataFrame,
+def pool_scores(pool: DataFrame, terms: DataFrame, index: Index, queries: DataFrame,
                 corpus: DataFrame) -> DataFrame:
     """Both signals for pool members only: ``qid, chunk_id, rank, vec_score, kw_score``.
 
-    The pool restricts the index and the corpus before any scoring."""
+    The pool's pairs restrict the index, its chunks the corpus, before any scoring."""
     members = settle(pool.select("qid", "chunk_id", "rank"), "pool")
     wanted = members.select("chunk_id").distinct()
-    loose = keyword_scores(terms, index.join(wanted, "chunk_id", "left_semi"), "any")
+    if isinstance(index, DataFrame):
+        loose = keyword_scores(terms, index.join(wanted, "chunk_id", "left_semi"), "any", members.select("qid", "chunk_id").distinct())
+    else:
+        loose = inverted.pair_scores(index, terms, members.select("qid", "chunk_id").distinct())
     near = members.join(
         corpus.select("chunk_id", "embedding").join(wanted, "chunk_id", "left_semi"), "chunk_id", "left"
     ).join(queries.select("qid", "qvec"), "qid", "left")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 from math import ceil
+from typing import TYPE_CHECKING
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,13 @@ from pyspark.sql import types as T
 
 from pagelore import fixed_values as fx
 from pagelore.functions import text
-from pagelore.session import settle
+from pagelore.session import materialize, settle
+
+if TYPE_CHECKING:
+    from pagelore.operators.inverted import StoredIndex
+
+    #: Postings rows (:func:`build_postings`) or an inverted file.
+    Index = DataFrame | StoredIndex
 
 SCORE_DIGITS = 9
 TERM_BLOCK = 200_000    # query-term rows broadcast at once
@@ -65,25 +72,44 @@ def exploded_terms(chunks: DataFrame, chunk_id: str, content: Column, analyzer:
     return rows.where(F.col("term").isNotNull())
 
 
-def build_postings(chunks: DataFrame, chunk_id: str = "chunk_id",
-                   content: Column | str = "content", analyzer: str = "simple") -> DataFrame:
+def build_postings(chunks: DataFrame, chunk_id: str = "chunk_id", content: Column | str = "content",
+                   analyzer: str = "simple", place: Column | None = None) -> DataFrame:
     """``chunk_id, term, tf, positions, weight`` rows, partitioned by chunk (K2).
 
-    The texts are placed by chunk once; counting and every later sum per chunk
-    keep that placement. Positions are only collected for a reader that asks for
-    them. Store the index bucketed by ``chunk_id`` and a search starts without a
-    shuffle.
+    The texts are placed by chunk once (or by ``place``, of which each chunk has one value);
+    counting and every later sum per chunk keep that placement. Positions are only
+    collected for a reader that asks for them. English stems come from a dictionary of
+    the distinct terms, so the stemmer sees each term once.
     """
+    if analyzer not in ("simple", "english"):
+        raise ValueError(f"unknown analyzer {analyzer!r}")
     content = F.col(content) if isinstance(content, str) else content
-    placed = chunks.select(chunk_id, content.alias("__content")).repartition(F.col(chunk_id))
-    rows = exploded_terms(placed, chunk_id, F.col("__content"), analyzer)
-    counted = rows.groupBy("chunk_id", "term").agg(
+    placed = chunks.select(chunk_id, content.alias("__content")).repartition(F.col(chunk_id) if place is None else place)
+    counted = exploded_terms(placed, chunk_id, F.col("__content"), "simple").groupBy("chunk_id", "term").agg(
         F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    if analyzer == "english":
+        counted = _stemmed(materialize(counted, "postings"))
     return counted.withColumn("weight", term_weight(F.col("tf")))
 
 
-def write_postings(index: DataFrame, table: str, buckets: int) -> None:
-    index.write.bucketBy(buckets, "chunk_id").sortBy("term").mode("overwrite").saveAsTable(table)
+@F.pandas_udf(T.StringType())
+def _stem(terms: pd.Series) -> pd.Series:
+    from pagelore.functions.stemming import stem
+
+    return terms.map(stem)
+
+
+def stem_dictionary(terms: DataFrame) -> DataFrame:
+    """``term, stem`` of every distinct ``term`` that is no stop word."""
+    words = terms.select("term").distinct().where(~F.col("term").isin(*fx.STOP_WORDS))
+    return materialize(words.select("term", _stem("term").alias("stem")), "stems")
+
+
+def _stemmed(postings: DataFrame) -> DataFrame:
+    """Postings of stems: what terms of one stem have in a chunk is put together."""
+    met = postings.join(stem_dictionary(postings), "term")
+    return met.groupBy("chunk_id", F.col("stem").alias("term")).agg(
+        F.sum("tf").cast("int").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
 
 
 def parse_search_terms(queries: DataFrame, qid: str = "qid", query: str = "query",
@@ -133,6 +159,19 @@ def parse_search_terms(queries: DataFrame, qid: str = "qid", query: str = "query
     )
 
 
+def _names(terms: DataFrame) -> set[str]:
+    """The distinct terms of at most ``TERM_BLOCK`` rows."""
+    return {r[0] for r in terms.select("term").distinct().collect()}
+
+
+def phrase_matches(phrases: DataFrame, index: Index) -> DataFrame:
+    """:func:`phrase_hits` of parsed phrase rows; they are broadcast within ``TERM_BLOCK`` rows only."""
+    phrases = settle(phrases, "terms")
+    small = phrases.count() <= TERM_BLOCK
+    rows = index if isinstance(index, DataFrame) else index.postings(_names(phrases) if small else None)
+    return phrase_hits(rows.join(F.broadcast(phrases) if small else phrases, "term"))
+
+
 def phrase_hits(matched: DataFrame) -> DataFrame:
     """Phrases found in a chunk: one start position shared by all their terms (K5)."""
     starts = matched.where(F.col("len") > 1).select(
@@ -147,16 +186,21 @@ def phrase_hits(matched: DataFrame) -> DataFrame:
         "chunk_id", "qid", "clause", "item", "negated", "n_items", "n_terms").distinct()
 
 
-def keyword_matches(terms: DataFrame, index: DataFrame) -> DataFrame:
+def keyword_matches(terms: DataFrame, index: Index, pairs: DataFrame | None = None) -> DataFrame:
     """``qid, chunk_id, score, matches_all`` for every chunk a query matches.
 
     ``all``: every positive item of some clause is present. ``any``: at least one
     is. Chunks holding a negated item of the clause never match (K6).
-    rank = (1/|Q|) · Σ over query terms of the term weight.
+    rank = (1/|Q|) · Σ over query terms of the term weight. With ``pairs`` (qid, chunk_id)
+    nothing else is scored.
     """
     terms = settle(terms, "terms")
     seen = terms.agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("len"), F.max("clause").alias("clause")).first()
+    if not isinstance(index, DataFrame):
+        index = index.postings(_names(terms) if seen["n"] <= TERM_BLOCK else None)
     found = index.join(F.broadcast(terms) if seen["n"] <= TERM_BLOCK else terms, "term")
+    if pairs is not None:
+        found = found.join(pairs, ["qid", "chunk_id"], "left_semi")
     weight = F.when(F.col("scored"), F.col("weight")).otherwise(F.lit(0.0))
     single = F.col("len") == 1
     facts = found.select(
@@ -186,11 +230,11 @@ def keyword_matches(terms: DataFrame, index: DataFrame) -> DataFrame:
     ).where("matches_any").select("qid", "chunk_id", "score", "matches_all")
 
 
-def keyword_scores(terms: DataFrame, index: DataFrame, match: str = "all") -> DataFrame:
+def keyword_scores(terms: DataFrame, index: Index, match: str = "all", pairs: DataFrame | None = None) -> DataFrame:
     """``qid, chunk_id, score`` of the matching chunks."""
     if match not in ("all", "any"):
         raise ValueError(f"unknown match {match!r}")
-    matches = keyword_matches(terms, index)
+    matches = keyword_matches(terms, index, pairs)
     if match == "all":
         matches = matches.where("matches_all")
     return matches.select("qid", "chunk_id", "score")
@@ -209,8 +253,12 @@ def query_blocks(terms: DataFrame) -> list[DataFrame]:
     return [settle(terms.where(block == i), "terms") for i in range(2 * n)]
 
 
-def keyword_topk_both(terms: DataFrame, index: DataFrame, k: int) -> DataFrame:
+def keyword_topk_both(terms: DataFrame, index: Index, k: int) -> DataFrame:
     """Both lists in one pass over the index: ``match, qid, chunk_id, score, rank``."""
+    if not isinstance(index, DataFrame):
+        from pagelore.operators import inverted
+
+        return inverted.topk(index, terms, k)
     return reduce(DataFrame.unionByName, [_topk_both(b, index, k) for b in query_blocks(terms)])
 
 
@@ -230,7 +278,13 @@ def top_k(scores: DataFrame, k: int, *tie: str) -> DataFrame:
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def keyword_topk(terms: DataFrame, index: DataFrame, k: int, match: str = "all") -> DataFrame:
-    """``qid, chunk_id, score, rank`` (K4)."""
+def keyword_topk(terms: DataFrame, index: Index, k: int, match: str = "all") -> DataFrame:
+    """``qid, chunk_id, score, rank`` (K4), from postings rows or from a stored index."""
+    if not isinstance(index, DataFrame):
+        from pagelore.operators import inverted
+
+        if match not in ("all", "any"):
+            raise ValueError(f"unknown match {match!r}")
+        return inverted.topk(index, terms, k, (match,)).drop("match")
     return reduce(DataFrame.unionByName, [
         top_k(keyword_scores(b, index, match), k) for b in query_blocks(terms)])

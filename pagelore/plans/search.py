@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pagelore import fixed_values as fx
 from pagelore.operators import fusion, keywords, vectors
+from pagelore.operators.inverted import StoredIndex
 from pagelore.session import settle
 
 
@@ -45,11 +46,11 @@ class SearchConfig:
 
 @dataclass(frozen=True)
 class Corpus:
-    """What a search reads: vectors (``chunk_id, embedding``), the postings index,
-    and the chunk columns shown with a hit."""
+    """What a search reads: vectors (``chunk_id, embedding``), the index (postings rows or an
+    inverted file; none for searches by vectors alone), and the chunk columns shown with a hit."""
 
     chunks: DataFrame
-    index: DataFrame
+    index: DataFrame | StoredIndex | None
     analyzer: str = "simple"
 
 

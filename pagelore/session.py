@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -104,6 +105,17 @@ def folder_names(spark: SparkSession, path: str) -> list[str]:
             if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
 
 
+def fingerprint(df: DataFrame) -> str:
+    """Changes with the files ``df`` is read from: their paths, sizes and times."""
+    spark = df.sparkSession
+    seen = []
+    for file in sorted(df.inputFiles()):
+        place, files = _folder(spark, file)
+        status = files.getFileStatus(place)
+        seen.append(f"{file} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(seen).encode()).hexdigest()[:24]
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     place, files = _folder(spark, path)
     files.delete(place, True)
