@@ -105,6 +105,33 @@ def folder_names(spark: SparkSession, path: str) -> list[str]:
             if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
 
 
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in the folder ``path``; none where it does not exist."""
+    place, files = _folder(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    place, files = _folder(spark, path)
+    stream = files.open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A new small file that is there whole or not at all: written beside its place, then renamed."""
+    place, files = _folder(spark, path)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(place.getParent(), f".{place.getName()}-{uuid.uuid4().hex}")
+    stream = files.create(beside, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if files.exists(place) or not files.rename(beside, place):
+        files.delete(beside, False)
+        raise FileExistsError(path)
+
+
 def fingerprint(df: DataFrame) -> str:
     """Changes with the files ``df`` is read from: their paths, sizes and times."""
     spark = df.sparkSession

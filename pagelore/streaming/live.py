@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from datetime import timedelta
@@ -16,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagelore import fixed_values as fx
 from pagelore.operators import monitoring, vectors, versioning
-from pagelore.session import folder_names, new_path, remove_folder
+from pagelore.session import file_names, folder_names, new_path, read_text, remove_folder, write_text
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1_000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
@@ -38,49 +40,99 @@ class Place:
 
 
 class BatchFolders:
-    """Results of a stream as one folder per micro-batch.
+    """Results of a stream as one folder per micro-batch, named by a manifest.
 
-    A batch overwrites its own folder, so a replayed batch changes nothing. ``compact``
-    writes what a reader would see as the folder of the last batch so far."""
+    The newest file in ``manifest`` lists the folder of each batch; what it does not list is not
+    there for a reader. A batch writes its folder, then a manifest that has it in place of an
+    earlier try, so a replayed batch changes nothing. Every change of the results is one
+    rename of a small file: a stop at any step leaves the results as they were or as they
+    become, and at worst folders that nobody reads, which the next compaction removes."""
+
+    KEPT = 5    # manifests; a reader of an older one has had its time
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
         self.spark, self.path, self.schema = spark, path, schema
+        self.stored = T.StructType(schema.fields + [T.StructField("batch_id", T.LongType())])
+
+    def _versions(self) -> list[int]:
+        return sorted(int(n) for n in file_names(self.spark, f"{self.path}/manifest") if n.isdigit())
+
+    def live(self) -> dict[int, str]:
+        """Folder of every batch that counts, by batch id."""
+        versions = self._versions()
+        if not versions:
+            return {}
+        return {int(k): v for k, v in json.loads(read_text(self.spark, f"{self.path}/manifest/{versions[-1]}")).items()}
+
+    def _switch(self, live: dict[int, str]) -> None:
+        versions = self._versions()
+        write_text(self.spark, f"{self.path}/manifest/{max(versions, default=0) + 1}", json.dumps(live))
+        for old in versions[:-self.KEPT]:
+            remove_folder(self.spark, f"{self.path}/manifest/{old}")
+
+    def _store(self, rows: DataFrame, batch_id: int) -> str:
+        name = f"{batch_id}-{uuid.uuid4().hex}"
+        rows.select(*self.schema.fieldNames(), F.lit(batch_id).cast("long").alias("batch_id")).write.parquet(f"{self.path}/batches/{name}")
+        return name
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
-        batch.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+        name = self._store(batch, batch_id)
+        live = self.live()
+        before = live.get(batch_id)
+        self._switch({**live, batch_id: name})
+        if before:
+            remove_folder(self.spark, f"{self.path}/batches/{before}")
+
+    def _read(self, folders: Sequence[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self.stored)
+        return self.spark.read.schema(self.stored).parquet(*[f"{self.path}/batches/{f}" for f in folders])
 
     def rows(self) -> DataFrame:
-        kept = T.StructType(self.schema.fields + [T.StructField("batch_id", T.LongType())])
-        if not folder_names(self.spark, self.path):
-            return self.spark.createDataFrame([], kept)
-        return self.spark.read.schema(kept).parquet(self.path)
+        return self._read(list(self.live().values()))
+
+    def _values(self, keys: Sequence[str]) -> list[str]:
+        return [f.name for f in self.schema.fields if f.name not in keys]
+
+    def _latest(self, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*self._values(keys)), "batch_id").alias("v"))
+        return last.select(*keys, "v.*")
+
+    def _total(self, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in self._values(keys)))
 
     def latest(self, *keys: str) -> DataFrame:
         """The newest row of each key."""
-        values = [f.name for f in self.schema.fields if f.name not in keys]
-        last = self.rows().groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("v"))
-        return last.select(*keys, "v.*")
+        return self._latest(self.rows(), keys)
 
     def total(self, *keys: str) -> DataFrame:
         """The sum of every other column per key: for results that add up over batches."""
-        values = [f.name for f in self.schema.fields if f.name not in keys]
-        return self.rows().groupBy(*keys).agg(*(F.sum(c).alias(c) for c in values))
-
-    def compact(self, seen: DataFrame) -> None:
-        """Keeps ``seen`` (what :meth:`latest` or :meth:`total` gives) in place of all folders.
-
-        Run between runs of the stream. The new folder is written beside the old ones and
-        takes the place of the last; the earlier ones go first, so a stop in between is
-        repaired by compacting again from the copy."""
-        names = sorted(folder_names(self.spark, self.path), key=lambda n: int(n.partition("=")[2]))
-        if len(names) < 2:
-            return
-        copy = f"{self.path}-compacted"
-        seen.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(copy)
-        for name in names[:-1]:
-            remove_folder(self.spark, f"{self.path}/{name}")
-        self.spark.read.schema(self.schema).parquet(copy).write.mode("overwrite").parquet(f"{self.path}/{names[-1]}")
-        remove_folder(self.spark, copy)
+        return self._total(self.rows(), keys)
+
+    def forget(self, batch_ids: Sequence[int]) -> None:
+        """Leaves batches out from now on."""
+        live = self.live()
+        gone = [live.pop(b) for b in batch_ids if b in live]
+        if gone:
+            self._switch(live)
+            for name in gone:
+                remove_folder(self.spark, f"{self.path}/batches/{name}")
+
+    def compact(self, *keys: str, latest: bool = False) -> None:
+        """Puts what :meth:`total` (or :meth:`latest`) gives for all batches but the last in place of them.
+
+        The last batch stays by itself, as a stream that was stopped may write it once more. The
+        new folder is written, the manifest switches to it, and then the old ones go. Run it
+        between runs of the stream, when nobody reads the old folders."""
+        live = self.live()
+        early = sorted(live)[:-1]
+        if len(early) > 1:
+            rows = self._read([live[b] for b in early])
+            name = self._store((self._latest if latest else self._total)(rows, keys), early[-1])
+            live = {early[-1]: name, max(live): live[max(live)]}
+            self._switch(live)
+        for name in set(file_names(self.spark, f"{self.path}/batches")) - set(live.values()):
+            remove_folder(self.spark, f"{self.path}/batches/{name}")
 
 
 def run_now(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
@@ -336,8 +388,7 @@ class HistoryVersions:
         merged = self.manifest.orderBy("loaded_at").limit(self.last()).agg(F.max("loaded_at").alias("until"))
         over = self.held.rows().groupBy("batch_id").agg(F.max("loaded_at").alias("latest")).join(
             merged, F.col("latest") <= F.col("until"))
-        for row in over.select("batch_id").collect():   # the few batches of the loads just merged
-            remove_folder(self.spark, f"{self.held.path}/batch_id={row['batch_id']}")
+        self.held.forget([row[0] for row in over.select("batch_id").collect()])   # the few batches of the loads just merged
 
     def merge_next(self) -> bool:
         """Merges the next load of the manifest if all its rows are here."""
