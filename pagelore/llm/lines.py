@@ -8,8 +8,13 @@ is a suffix that is unique already. The order is needed to the depth of ``min_li
 only: suffixes whose longest common prefix is at least that form one interval there,
 and every longer common prefix is a row of such intervals at successive lines.
 
-Ranks never meet in one task: hot lines are counted where they are read, and joins are
-between many positions and one row per distinct pair.
+Hot lines are counted where they are read, and joins are between many positions and one row
+per distinct pair or place. All positions of a hot line meet the line's one row in the same
+shuffle partition unless the rows with ranks are few enough to be broadcast; beyond that the
+adaptive join splits the partition.
+
+A passage kept as one long line has no second line to pair with; lines of ``long_words``
+words and more are therefore taken for runs by themselves.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from pyspark.sql import functions as F
 from pagelore.llm.tables import dropped, saved, spare
 
 MIN_LINES = 2
-#: Words from which the pipeline takes a single line for a passage.
+#: Words from which the query and the pipeline take a single line for a passage.
 LONG_WORDS = 50
 _PLACE = ["doc_id", "text_key", "pos"]
 
@@ -53,7 +58,8 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     now, span = _ranked(line_places(docs, doc_id, text), ["h1", "h2"]), 1
     while span < min_lines:
         step = min(span, min_lines - span)
-        after = now.select("doc_id", "text_key", (F.col("pos") - step).alias("pos"), F.col("rank").alias("next"))
+        # repeated rows have the same places, each of which must be met once only
+        after = now.select("doc_id", "text_key", (F.col("pos") - step).alias("pos"), F.col("rank").alias("next")).dropDuplicates(_PLACE)
         longer = _ranked(now.join(after, _PLACE), ["rank", "next"])
         dropped(now)
         now, span = longer, span + step

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pagelore.llm import alignment, bpe, licenses, quality, toxicity
 from pagelore.llm.decontamination import contamination, hit_words
 from pagelore.llm.embeddings import near_vectors
-from pagelore.llm.lines import remove_repeated_lines
+from pagelore.llm.lines import LONG_WORDS, remove_repeated_lines
 from pagelore.llm.ngrams import score_held_out
 from pagelore.llm.simhash import simhash_groups
 from pagelore.llm.substrings import remove_repeats
@@ -67,7 +67,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), to="kept_text")
+    cut = remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), to="kept_text", long_words=LONG_WORDS)
     gone = F.aggregate("removed_spans", F.lit(0), lambda n, s: n + s["stop"] - s["start"])
     return cut.select(
         "doc_id", F.col("n_lines").cast("long").alias("n_lines"), gone.cast("long").alias("n_removed"),
@@ -80,7 +80,10 @@ WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
 p AS (SELECT doc_id, unnest(range(len(ls))) AS pos, ls FROM l),
 w AS (SELECT doc_id, pos, ls[pos + 1] AS a, ls[pos + 2] AS b FROM p WHERE pos + 1 < len(ls)),
 f AS (SELECT *, min({'d': doc_id, 'p': pos}) OVER (PARTITION BY a, b) AS first FROM w),
-g AS (SELECT DISTINCT doc_id, pos + o AS pos FROM f, (VALUES (0), (1)) t(o) WHERE {'d': doc_id, 'p': pos} > first),
+o AS (SELECT doc_id, pos, min({'d': doc_id, 'p': pos}) OVER (PARTITION BY ls[pos + 1]) AS first FROM p
+      WHERE len(regexp_extract_all(ls[pos + 1], '[^\x{20}\x{09}-\x{0D}]+')) >= 50),
+g AS (SELECT DISTINCT doc_id, pos + o AS pos FROM f, (VALUES (0), (1)) t(o) WHERE {'d': doc_id, 'p': pos} > first
+      UNION SELECT doc_id, pos FROM o WHERE {'d': doc_id, 'p': pos} > first),
 k AS (SELECT p.doc_id, p.pos, p.ls[p.pos + 1] AS line, g.pos IS NOT NULL AS gone,
              g.pos IS NOT NULL AND lag(g.pos) OVER (PARTITION BY p.doc_id ORDER BY p.pos) IS NULL AS opens
       FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.pos = g.pos)

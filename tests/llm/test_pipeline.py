@@ -32,9 +32,9 @@ def test_planted_documents(ready, folder):
     library = Tokenizer.from_file(f"{TOKENIZERS}/word_bpe_49k.json")
     got = {r["doc_id"]: r for r in cp.run(ready, path).collect()}
     # toxic ones, near copies, the benchmark passage and all but one empty text are gone; 200
-    # is the first empty one, as both its lines are a later copy of 3
-    assert set(got) == set(range(60)) | {200, 206, 207}
-    left = dict(texts) | {200: ""}
+    # is the first empty one, as both its lines are a later copy of 3; 201 keeps the line of its own
+    assert set(got) == set(range(60)) | {200, 201, 206, 207}
+    left = dict(texts) | {200: "", 201: texts[201].split("\n")[1]}
     left[207] = texts[207].split("\n")[0]   # the run of two lines stays in 206 only
     for doc, row in got.items():
         wanted = library.encode(left[doc] or "", add_special_tokens=False).ids

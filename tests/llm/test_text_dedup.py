@@ -100,6 +100,11 @@ def test_substrings(awkward, ready, width):
     assert all(sum(x["stop"] - x["start"] for x in r["spans"]) == r["n_removed"] for r in got)
 
 
+def test_repeated_rows_give_no_more_places_than_rows(ready):
+    rows = [(1, "a\nb\nc", "", "", 0)] * 60 + [(2, "a\nb\nc", "", "", 0)]
+    assert repeated_runs(ready.createDataFrame(rows, DOCS), min_lines=2).count() == 61 * 2
+
+
 def test_substrings_of_nothing_and_of_clashing_columns(empty, awkward):
     assert s.remove_repeats(empty).count() == 0
     frame = awkward.selectExpr("doc_id", "text", "1 as text_key", "2 as runs", "3 as runsn")
