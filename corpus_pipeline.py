@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pagelore.llm import bpe, toxicity
 from pagelore.llm.decontamination import drop_contaminated
-from pagelore.llm.lines import remove_repeated_lines
+from pagelore.llm.lines import LONG_WORDS, remove_repeated_lines
 from pagelore.llm.queries import TOKENIZERS, prepare
 from pagelore.llm.simhash import drop_near_copies
 from pagelore.llm.tables import saved, table
@@ -32,11 +32,11 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without later copies of line runs; n_chars follows the text."""
+    """All documents, without later copies of line runs and of long lines; n_chars follows the text."""
     prepare(spark)
     inner, names = _plain(docs)
     text = names["text"]
-    cut = remove_repeated_lines(inner, names["doc_id"], text, to=text, lines=None)
+    cut = remove_repeated_lines(inner, names["doc_id"], text, to=text, lines=None, long_words=LONG_WORDS)
     changed = F.size("removed_spans") > 0
     out = cut.withColumn(names["n_chars"], F.when(changed, F.length(text).cast("long")).otherwise(F.col(names["n_chars"]))) \
         if "n_chars" in names else cut
