@@ -15,19 +15,22 @@ LINK = r"^- \[(.+?)\]\(([^)\s]+)\)(?::\s*(.*))?$"
 def index_lines(docs: DataFrame, prefix: str = fx.GUIDANCE_PREFIX) -> DataFrame:
     """Lines of each index with the heading above them (X2), each index within its row.
 
-    ``doc_id, pos, line, is_heading, section, section_pos, in_guidance``. The text is cut
-    before every heading first, so that a line's heading is the first line of its block.
+    ``doc_id, pos, line, is_heading, section, section_pos, in_guidance``. The places of the
+    headings are found first; each block is the slice of lines from one to the next, so the
+    work grows with the lines whatever the number of headings.
     """
-    blocks = F.split(F.col("text"), r"(?<=[\r\n])(?=## )")
-    # the line end before a heading closes the block above it
-    cut = F.transform(blocks, lambda block, i: F.split(
-        F.when(i < F.size(blocks) - 1, F.regexp_replace(block, r"(?:\r\n|\r|\n)\z", "")).otherwise(block), text.LINE_BREAK))
-    rows = docs.select("doc_id", cut.alias("blocks")).select("doc_id", F.posexplode(F.transform(
-        "blocks", lambda lines, i: F.struct(
-            F.aggregate(F.slice("blocks", 1, i), F.lit(0), lambda n, above: n + F.size(above)).alias("first"),
-            lines.alias("lines")))).alias("block", "b"))
-    head = F.col("b.lines")[0]
-    headed = head.startswith("## ")
+    lines = docs.select("doc_id", F.split(F.col("text"), text.LINE_BREAK).alias("lines"))
+    heads = F.filter(F.transform("lines", lambda line, i: F.when(line.startswith("## "), i)), lambda i: i.isNotNull())
+    placed = lines.select("doc_id", "lines", heads.alias("heads"))
+
+    def block(b: Column) -> Column:
+        first = F.coalesce(F.get("heads", b - 1), F.lit(0))
+        stop = F.coalesce(F.get("heads", b), F.size("lines"))
+        return F.struct(first.alias("first"), (b > 0).alias("headed"), F.slice("lines", first + 1, stop - first).alias("lines"))
+
+    rows = placed.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("heads")), block)).alias("b"))
+    headed = F.col("b.headed")
+    head = F.get("b.lines", F.lit(0))
     name = F.when(headed, text.strip(F.substring(head, F.lit(4), F.length(head))))
     return rows.select(
         "doc_id", "b.first", headed.alias("headed"), name.alias("name"), F.posexplode("b.lines").alias("n", "line")

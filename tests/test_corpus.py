@@ -158,3 +158,17 @@ def test_texts_stay_where_they_are_when_few_pages_change(spark):
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_many_headings_in_one_index_take_linear_time(spark):
+    import time
+
+    text = "\n".join(f"## h{i}\n- [t{i}](https://h/{i}.md): d" for i in range(10_000))
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "intro\r\n## a\rx\n##  \n## b")], "doc_id long, text string")
+    linkindex.index_lines(docs.where("doc_id > 1")).count()
+    start = time.time()
+    rows = linkindex.index_lines(docs).where("doc_id = 1").agg({"section_pos": "max", "pos": "max"}).first()
+    assert time.time() - start < 5 and sorted(rows) == [19_998, 19_999]
+    got = [(r["pos"], r["line"], r["is_heading"], r["section"], r["section_pos"])
+           for r in linkindex.index_lines(docs).where("doc_id = 4").orderBy("pos").collect()]
+    assert got == [(0, "intro", False, "", None), (1, "## a", True, "a", 1), (2, "x", False, "a", 1), (3, "##  ", True, "", 3), (4, "## b", True, "b", 4)]
