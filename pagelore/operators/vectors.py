@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from pagelore.functions import text, vectors
 from pagelore.operators.keywords import SCORE_DIGITS, top_k
+from pagelore.session import materialize
 
 Encoder = Callable[[Sequence[str]], np.ndarray]
 
@@ -224,24 +225,69 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_same: boo
     return top_k(vector_scores(queries, corpus, k, exclude_same), k)
 
 
-def vector_topk_lsh(queries: DataFrame, corpus: DataFrame, k: int, bucket: float = 0.5,
-                    tables: int = 8, radius: float = 1.2, seed: int = 7) -> DataFrame:
-    """Approximate top-k on unit vectors (E6, off by default): LSH buckets pick
-    the pairs, exact cosine ranks them."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def features(df: DataFrame, key: str, vector: str) -> DataFrame:
-        return df.where(F.col(vector).isNotNull()).select(
-            F.col(key).cast("long").alias(key), array_to_vector(vectors.unit(F.col(vector))).alias("features"))
-
-    base = features(corpus, "chunk_id", "embedding")
-    model = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed,
-    ).fit(base)
-    near = model.approxSimilarityJoin(features(queries, "qid", "qvec"), base, radius, "distance")
-    # On unit vectors cosine = 1 - d²/2.
-    scores = near.select(
-        F.col("datasetA.qid").alias("qid"), F.col("datasetB.chunk_id").alias("chunk_id"),
-        F.round(1 - F.col("distance") * F.col("distance") / 2, SCORE_DIGITS).alias("score"))
-    return top_k(scores, k)
+def _codes(matrix: np.ndarray, planes: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, table, code): which sides of a table's planes a vector lies on, as bits. Further probes
+    flip one bit each, those of the nearest planes first."""
+    margins = np.einsum("nd,tbd->ntb", matrix, planes)
+    tables, bits = planes.shape[:2]
+    code = ((margins > 0) << np.arange(bits)).sum(axis=2)
+    probes = min(probes, bits + 1)
+    flips = np.argsort(np.abs(margins), axis=2, kind="stable")[:, :, :probes - 1]
+    codes = np.concatenate([code[:, :, None], code[:, :, None] ^ (1 << flips)], axis=2)
+    rows, table = np.repeat(np.arange(len(matrix)), tables * probes), np.tile(np.repeat(np.arange(tables), probes), len(matrix))
+    return rows, table, codes.ravel()
+
+
+def _in_buckets(rows: DataFrame, planes: np.ndarray, probes: int) -> DataFrame:
+    """``(id, vector)`` rows once per probed bucket, as ``t, code, id, vector``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1_024):
+                part = b.slice(at, 1_024)
+                row, table, code = _codes(_matrix(part.column(1)), planes, probes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(table, pa.int32()), pa.array(code, pa.int64()), part.column(0).take(pa.array(row)),
+                     part.column(1).take(pa.array(row))], names=["t", "code", "id", "v"])
+
+    return rows.mapInArrow(run, T.StructType([
+        T.StructField("t", T.IntegerType()), T.StructField("code", T.LongType()), T.StructField("id", T.LongType()),
+        T.StructField("v", rows.schema.fields[1].dataType)]))
+
+
+def vector_topk_lsh(queries: DataFrame, corpus: DataFrame, k: int, tables: int = 8, probes: int = 4,
+                    bucket_rows: int = 256, seed: int = 7) -> DataFrame:
+    """Approximate top-k (E6, off by default): a query is compared by exact cosine with the chunks of
+    its bucket and of the nearest other buckets in each of ``tables`` hash tables.
+
+    Buckets come from the signs of random projections, as many as give about ``bucket_rows`` chunks
+    each. A bucket that holds more than ``CORPUS_BLOCK`` (copies) is cut into cells, which a query
+    visits all. Queries that find fewer than ``k`` chunks are answered by the exact search."""
+    corpus = corpus.select(F.col("chunk_id").cast("long"), "embedding").where(F.col("embedding").isNotNull())
+    queries = queries.select(F.col("qid").cast("long"), "qvec").where(F.col("qvec").isNotNull())
+    one, total = corpus.first(), corpus.count()
+    if one is None:
+        return vector_topk(queries, corpus, k)
+    bits = int(np.clip(ceil(np.log2(max(2, total / bucket_rows))), 1, 40))
+    planes = np.random.default_rng(seed).normal(size=(tables, bits, len(one["embedding"])))
+    right, left = _in_buckets(corpus, planes, 1), _in_buckets(queries, planes, probes)
+    cells = right.groupBy("t", "code").agg(F.ceil(F.count(F.lit(1)) / CORPUS_BLOCK).alias("cells"))
+    cut = materialize(cells.where("cells > 1"), "cells")
+    right = right.join(cut, ["t", "code"], "left").withColumn("cell", F.pmod(F.xxhash64("id"), F.coalesce("cells", F.lit(1)))).drop("cells")
+    left = left.join(cut, ["t", "code"], "left").withColumn(
+        "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("cells", F.lit(1)) - 1))).drop("cells")
+
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        if not q.num_rows or not c.num_rows:
+            return pa.Table.from_batches([], pa.schema([("qid", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())]))
+        best = _TopK(q.column("id").to_numpy(), _matrix(q.column("v")), k, False)
+        best.add(c.column("id").to_numpy(), _matrix(c.column("v")))
+        return pa.Table.from_batches([best.batch()])
+
+    key = ("t", "code", "cell")
+    near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, HITS)
+    found = materialize(top_k(near.dropDuplicates(["qid", "chunk_id"]), k), "hits")
+    full = found.where(F.col("rank") == k).select("qid")
+    rest = materialize(queries.join(full, "qid", "left_anti"), "rest")
+    if not rest.limit(1).count():
+        return found
+    return found.join(full, "qid", "left_semi").unionByName(vector_topk(rest, corpus, k))

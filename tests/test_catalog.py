@@ -31,6 +31,11 @@ def test_query_agrees_with_sql(spark, duck, name):
     assert compare(spark, duck, SF, name) == ""
 
 
+def test_registered_approximate_search_is_whole_and_near_the_exact_one(spark):
+    exact, near = ({(r["qid"], r["chunk_id"]) for r in queries()[name](spark, SF).collect()} for name in ("e5_vector_topk", "e6_vector_topk_lsh"))
+    assert len(near) == len(exact) and len(near & exact) >= 0.9 * len(exact)
+
+
 def test_flagship_runs(spark):
     rows = entry(spark)
     assert rows.columns == ["source", "n", "hit_rate", "mrr"] and rows.count() == 2

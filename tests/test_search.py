@@ -130,12 +130,20 @@ def test_missing_and_zero_vectors_are_left_out(spark, space):
     assert set(sum(lists(vectors.vector_topk(queries, rows, 5)).values(), [])) == {1}
 
 
-def test_lsh_finds_most_neighbours(space):
+@pytest.mark.parametrize("block", [50_000, 20])
+def test_lsh_finds_most_neighbours_and_fills_every_query(space, monkeypatch, block):
     frame, queries, corpus, asked = space
-    near = lists(vectors.vector_topk_lsh(queries, frame, 10, bucket=2.0, tables=12, radius=2.1))
+    monkeypatch.setattr(vectors, "CORPUS_BLOCK", block)
+    near = lists(vectors.vector_topk_lsh(queries, frame, 10, bucket_rows=20))
     truth = exact(corpus, asked, 10)
-    found = sum(len(set(near.get(q, [])) & set(truth[q])) for q in truth)
-    assert found >= 0.7 * sum(map(len, truth.values()))
+    assert {q: len(x) for q, x in near.items()} == {q: 10 for q in truth}
+    assert sum(len(set(near[q]) & set(truth[q])) for q in truth) >= 0.9 * sum(map(len, truth.values()))
+
+
+def test_lsh_answers_lonely_queries_exactly(space):
+    frame, queries, corpus, asked = space
+    assert lists(vectors.vector_topk_lsh(queries, frame, 290, tables=1, probes=1, bucket_rows=2)) == exact(corpus, asked, 290)
+    assert vectors.vector_topk_lsh(queries, frame.limit(0), 5).count() == 0
 
 
 def ranked(spark, rows):
