@@ -327,9 +327,12 @@ TRAIL = ["event_id",
          "concat('pi_', CAST(floor(event_id / 4) AS BIGINT)) AS payment_intent",
          "CASE WHEN event_type = 'view' THEN concat('sub_', CAST(user_id AS STRING)) END AS subscription",
          "CASE WHEN event_type <> 'error' THEN concat('cus_', CAST(user_id AS STRING)) END AS customer",
-         "CAST(NULL AS STRING) AS setup_intent"]
+         "CASE WHEN event_type = 'purchase' THEN concat('seti_', CAST(floor(event_id / 8) AS BIGINT)) END AS setup_intent"]
+REFS = {"obj": "concat('evt_', CAST(event_id + 3 AS STRING))", "pi": "concat('pi_', CAST(floor(event_id / 4) AS BIGINT))",
+        "sub": "concat('sub_', CAST(user_id AS STRING))", "cus": "concat('cus_', CAST(user_id AS STRING))",
+        "seti": "concat('seti_', CAST(floor(event_id / 8) AS BIGINT))"}
 TOUCHED = ["event_id AS run_id", "CAST(floor(event_id / 10) AS BIGINT) AS window_start",
-           "concat('cus_', CAST(user_id AS STRING)) AS cus", "concat('pi_', CAST(floor(event_id / 4) AS BIGINT)) AS pi"]
+           "CAST(floor(event_id / 10) + 250 AS BIGINT) AS window_end", *(f"{e} AS {n}" for n, e in REFS.items())]
 STEPS_SQL = "[" + ", ".join(f"'{s}'" for s in fx.EVENT_LIFECYCLE) + "]"
 
 
@@ -338,11 +341,12 @@ WITH trail AS (SELECT {', '.join(TRAIL)} FROM events),
 runs AS (SELECT {', '.join(TOUCHED)} FROM events WHERE event_type = 'signup')
 SELECT run_id, event_id, type, created,
   CAST(coalesce(list_position({STEPS_SQL}, type) - 1, {len(fx.EVENT_LIFECYCLE)}) AS BIGINT) AS lifecycle_pos
-FROM runs JOIN trail ON created >= window_start AND (customer = cus OR payment_intent = pi)""")
+FROM runs JOIN trail ON created BETWEEN window_start AND window_end
+  AND (object_id = obj OR payment_intent = pi OR subscription = sub OR customer = cus OR setup_intent = seti)""")
 def q18(t: Tables):
     runs = t.events.where("event_type = 'signup'").selectExpr(*TOUCHED)
-    touched = runs.select("run_id", "window_start", F.explode(F.array("cus", "pi")).alias("ref_id"))
-    return qa.correlate_events(t.events.selectExpr(*TRAIL), touched)
+    touched = runs.select("run_id", "window_start", "window_end", F.explode(F.array(*REFS)).alias("ref_id"))
+    return qa.correlate_events(t.events.selectExpr(*TRAIL), touched, bin_width=100)
 
 
 @query("q19_drop_null_fields", v.with_views("messages_v", body="""

@@ -264,22 +264,32 @@ def group_citations(hits: DataFrame) -> DataFrame:
     )
 
 
+#: Events of one id in one time bin that meet windows in one task.
+HOT_EVENTS = 100_000
 LINK_COLUMNS = ("object_id", "payment_intent", "subscription", "customer", "setup_intent")
 
 
-def correlate_events(events: DataFrame, touched: DataFrame,
-                     lifecycle: Sequence[str] = fx.EVENT_LIFECYCLE) -> DataFrame:
-    """Events of a run: any of five ids was touched, since the run began (Q18).
+def correlate_events(events: DataFrame, touched: DataFrame, lifecycle: Sequence[str] = fx.EVENT_LIFECYCLE,
+                     bin_width: int = 3_600) -> DataFrame:
+    """Events of a run: any of five ids was touched, within the run's window (Q18).
 
     ``events``: ``event_id, type, created`` and the five ids; ``touched``:
-    ``run_id, ref_id, window_start``. Adds ``step`` and ``lifecycle_pos``; order
-    by ``run_id, created, lifecycle_pos, event_id`` to read a run.
+    ``run_id, ref_id, window_start`` and, if windows end, ``window_end`` (included; a run
+    without an end then has no events). Adds ``step`` and ``lifecycle_pos``; order by
+    ``run_id, created, lifecycle_pos, event_id`` to read a run.
+
+    Windows with an end meet events by id and time bin, so what is joined is bounded by the
+    windows and not by an id's whole past; a bin that holds more than ``HOT_EVENTS`` events of
+    one id is cut into cells.
     """
     refs = events.select(
         "event_id", "type", "created",
         F.explode(F.array_distinct(F.array(*[F.col(c).cast("string") for c in LINK_COLUMNS]))).alias("ref_id"),
     ).where(F.col("ref_id").isNotNull())
-    mine = refs.join(touched, "ref_id").where(F.col("created") >= F.col("window_start"))
+    if "window_end" in touched.columns:
+        mine = _within_windows(refs, touched, bin_width)
+    else:
+        mine = refs.join(touched, "ref_id").where(F.col("created") >= F.col("window_start"))
     once = mine.groupBy("run_id", "event_id").agg(
         F.first("type").alias("type"), F.first("created").alias("created"))
     steps = F.array(*[F.lit(t) for t in lifecycle])
@@ -288,6 +298,19 @@ def correlate_events(events: DataFrame, touched: DataFrame,
     return once.withColumn("lifecycle_pos", place)
 
 
+def _within_windows(refs: DataFrame, touched: DataFrame, bin_width: int) -> DataFrame:
+    bins = [F.floor(F.col(c) / bin_width).cast("long") for c in ("window_start", "window_end")]
+    asked = touched.where(F.col("window_start") <= F.col("window_end")).withColumn("bin", F.explode(F.sequence(*bins)))
+    placed = refs.withColumn("bin", F.floor(F.col("created") / bin_width).cast("long"))
+    cells = F.ceil(F.count(F.lit(1)) / HOT_EVENTS).alias("cells")
+    hot = materialize(placed.groupBy("ref_id", "bin").agg(cells).where("cells > 1"), "cells")
+    key = ["ref_id", "bin", "cell"]
+    n = F.coalesce("cells", F.lit(1))
+    placed = placed.join(hot, key[:2], "left").withColumn("cell", F.pmod(F.xxhash64("event_id"), n)).drop("cells")
+    asked = asked.join(hot, key[:2], "left").withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).drop("cells")
+    return placed.join(asked, key).where(F.col("created").between(F.col("window_start"), F.col("window_end")))
+
+
 def drop_null_fields(value: Column) -> Column:
     """JSON text of a struct without its NULL fields; NULLs inside lists stay (Q19)."""
     return F.to_json(value, {"ignoreNullFields": "true"})

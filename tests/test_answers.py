@@ -1,6 +1,7 @@
 """Batch Q&A and evaluation steps."""
 
 import json
+import random
 import sys
 
 import pytest
@@ -127,6 +128,25 @@ def test_events_of_a_run(spark):
     assert [r["event_id"] for r in rows] == ["e2", "e1", "e3", "e5"]   # e4 is before the window
 
 
+@pytest.mark.parametrize("hot", [100_000, 3])
+def test_windows_with_an_end_equal_a_nested_loop(spark, monkeypatch, hot):
+    monkeypatch.setattr(qa, "HOT_EVENTS", hot)
+    rng = random.Random(6)
+    some = lambda kind: rng.choice([None, f"{kind}{rng.randint(0, 3)}"])
+    events = [(f"e{i}", "charge.succeeded", rng.choice([None, rng.randint(-60, 400)]), f"o{i}", some("pi"), some("s"), "c0", some("seti"))
+              for i in range(120)]
+    touched = [(r, ref, start, rng.choice([None, start - 1, start, start + rng.randint(0, 300)]))
+               for r in range(12) for start in [rng.randint(-80, 300)] for ref in ("c0", f"o{r}", f"s{r % 4}", None)]
+    got = qa.correlate_events(
+        spark.createDataFrame(events, "event_id string, type string, created long, object_id string, payment_intent string, "
+                                      "subscription string, customer string, setup_intent string"),
+        spark.createDataFrame(touched, "run_id long, ref_id string, window_start long, window_end long"), bin_width=50)
+    wanted = {(r, e[0]) for r, ref, low, high in touched for e in events
+              if ref is not None and ref in e[3:] and e[2] is not None and high is not None and low <= e[2] <= high}
+    rows = [(r["run_id"], r["event_id"]) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == wanted and wanted
+
+
 def test_null_fields_drop_but_list_items_stay(spark):
     value = F.struct(F.lit(None).cast("string").alias("a"), F.array(F.lit(None).cast("int"), F.lit(1)).alias("b"))
     assert spark.range(1).select(qa.drop_null_fields(value)).first()[0] == '{"b":[null,1]}'
