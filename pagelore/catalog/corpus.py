@@ -167,7 +167,7 @@ def v3(t: Tables):
 SELECT url, row_hash FROM history_3 WHERE valid_from <= TIMESTAMP '2024-02-10 00:00:00'
   AND (valid_to > TIMESTAMP '2024-02-10 00:00:00' OR valid_to IS NULL)"""))
 def v4(t: Tables):
-    return versioning.as_of(v.history(t), ntz("2024-02-10 00:00:00")).select("url", "row_hash")
+    return v.stored_history(t).as_of("2024-02-10 00:00:00.000000").select("url", "row_hash")
 
 
 _SIDE = """SELECT url, section, row_hash FROM history_3 WHERE valid_from <= TIMESTAMP '{0}'

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from pagelore.catalog.registry import Tables
 from pagelore.functions import text
-from pagelore.operators import linkindex, versioning
+from pagelore.operators import linkindex
 from pagelore.operators.inverted import StoredIndex, write_index
-from pagelore.session import fingerprint, materialize, workspace
+from pagelore.session import fingerprint, new_path, workspace
+from pagelore.sources.history import StoredHistory
 
 SQL: dict[str, str] = {}
 NEEDS: dict[str, tuple[str, ...]] = {}
@@ -122,12 +123,16 @@ def moment(text: str):
     return F.lit(text).cast("timestamp_ntz")
 
 
+def stored_history(t: Tables, loads: int = 3) -> StoredHistory:
+    """The first loads merged into a history of their own in the shared folder."""
+    kept = StoredHistory(t.spark, new_path(t.spark, "history"), PAGE_COLS, buckets=16)
+    for at, load in list(zip(LOADS, (load_1, load_2, load_3)))[:loads]:
+        kept.merge(load(t), f"{at}.000000")
+    return kept
+
+
 def history(t: Tables, loads: int = 3) -> DataFrame:
-    rows = versioning.first_load(load_1(t), moment(LOADS[0]), PAGE_COLS)
-    for at, load in list(zip(LOADS[1:], (load_2, load_3)))[: loads - 1]:
-        # The history is a stored table between two loads.
-        rows = versioning.scd2_merge(materialize(rows, "history"), load(t), moment(at), PAGE_COLS)
-    return rows
+    return stored_history(t, loads).read()
 
 
 _HASH = ("sha256(concat_ws(';', " + ", ".join(

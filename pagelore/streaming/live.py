@@ -17,8 +17,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagelore import fixed_values as fx
-from pagelore.operators import monitoring, vectors, versioning
-from pagelore.session import file_names, folder_names, new_path, read_text, remove_folder, write_text
+from pagelore.operators import monitoring, vectors
+from pagelore.session import file_names, new_path, read_text, remove_folder, write_text
+from pagelore.sources.history import StoredHistory
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1_000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
@@ -356,27 +357,18 @@ def stream_feedback(feedback: DataFrame, place: Place | None = None) -> DataFram
 
 
 class HistoryVersions:
-    """T5: page history as one folder per merged load; version n has the first n loads.
+    """T5: page history kept by :class:`StoredHistory`, of which each load changes what it must.
 
     ``manifest`` lists the loads (``loaded_at, n_rows``). What arrives is held in a folder
     per micro-batch until a load is there in full, and loads are merged in the order of
     the manifest. A load that is not complete, or comes after one that is not, waits: a
     merge of a part of it would retire the pages of the rest."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, cols: Sequence[str],
-                 manifest: DataFrame, arriving: T.StructType):
-        self.spark, self.path, self.schema, self.cols, self.manifest = spark, path, schema, list(cols), manifest
+    def __init__(self, spark: SparkSession, path: str, cols: Sequence[str], manifest: DataFrame, arriving: T.StructType):
+        self.spark, self.manifest = spark, manifest
+        self.history = StoredHistory(spark, f"{path}/history", cols, buckets=16)
         self.held = BatchFolders(spark, f"{path}/held", arriving)
 
-    def last(self) -> int:
-        """The newest version on storage, 0 before the first."""
-        return max((int(n[1:]) for n in folder_names(self.spark, f"{self.path}/versions")), default=0)
-
-    def read(self, version: int) -> DataFrame:
-        if not version:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/versions/v{version}")
-
     def arrive(self, batch: DataFrame, batch_id: int) -> None:
         self.held.write(batch, batch_id)
         while self.merge_next():
@@ -385,25 +377,20 @@ class HistoryVersions:
 
     def forget(self) -> None:
         """Removes held batches all of whose loads are merged."""
-        merged = self.manifest.orderBy("loaded_at").limit(self.last()).agg(F.max("loaded_at").alias("until"))
+        merged = self.manifest.orderBy("loaded_at").limit(self.history.loads()).agg(F.max("loaded_at").alias("until"))
         over = self.held.rows().groupBy("batch_id").agg(F.max("loaded_at").alias("latest")).join(
             merged, F.col("latest") <= F.col("until"))
         self.held.forget([row[0] for row in over.select("batch_id").collect()])   # the few batches of the loads just merged
 
     def merge_next(self) -> bool:
         """Merges the next load of the manifest if all its rows are here."""
-        version = self.last()
-        due = self.manifest.orderBy("loaded_at").offset(version).limit(1).first()
+        due = self.manifest.orderBy("loaded_at").offset(self.history.loads()).limit(1).first()
         if due is None:
             return False
         load = self.held.rows().where(F.col("loaded_at") == F.lit(due["loaded_at"])).drop("batch_id")
         if load.count() < due["n_rows"]:
             return False
-        merged = versioning.scd2_merge(
-            self.read(version), load.drop("loaded_at"), F.lit(due["loaded_at"]).cast("timestamp_ntz"), self.cols)
-        merged.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/versions/v{version + 1}")
-        if version > 1:   # the version just read stays for those who read it now
-            remove_folder(self.spark, f"{self.path}/versions/v{version - 1}")
+        self.history.merge(load.drop("loaded_at"), due["loaded_at"])
         return True
 
 
@@ -411,9 +398,11 @@ def stream_scd2(loads: DataFrame, manifest: DataFrame, schema: T.StructType, col
                 place: Place | None = None) -> DataFrame:
     """Run T5 over what is available and read the history of the complete loads."""
     place = Place.of(loads.sparkSession, place, "history")
-    versions = HistoryVersions(loads.sparkSession, place.results, schema, cols, manifest, loads.schema)
+    versions = HistoryVersions(loads.sparkSession, place.results, cols, manifest, loads.schema)
     run_now(loads, versions.arrive, place.checkpoint)
-    return versions.read(versions.last())
+    if not versions.history.loads():
+        return loads.sparkSession.createDataFrame([], schema)
+    return versions.history.read().select(*schema.fieldNames())
 
 
 def stream_embed(chunks: DataFrame, encoder: Callable[[], vectors.Encoder], place: Place | None = None,

@@ -245,7 +245,7 @@ def test_only_complete_loads_are_merged(spark, tmp_path):
     same(run((0, "c"), (2, "a"), (2, "b")), 0)
     same(run((2, "d")), 0)                     # complete, but the load before it is not
     same(run((1, "b")), 2)
-    assert len(live.folder_names(spark, str(tmp_path / "run" / "versions"))) == 2
+    assert len(live.file_names(spark, str(tmp_path / "run" / "history" / "manifest"))) == 2
 
 
 def test_embedding_stream_equals_batch(spark, tmp_path):
