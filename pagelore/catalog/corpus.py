@@ -465,10 +465,10 @@ def c5(t: Tables):
         text.content_hash(F.col("content")).alias("content_hash"))
 
 
-@query("c6_chunk_stats", """SELECT CAST(count(*) AS BIGINT) AS n_chunks, round(avg(length(text)), 6) AS avg_chars
-FROM documents""")
+@query("c6_chunk_stats", chunks_sql("markdown_v") + """
+SELECT CAST(count(*) AS BIGINT) AS n_chunks, round(avg(length(body)), 6) AS avg_chars FROM merged""")
 def c6(t: Tables):
-    return chunking.chunk_stats(v.chunks(t)).withColumn("avg_chars", F.round("avg_chars", 6))
+    return chunking.chunk_stats(chunking.chunk_pages(v.markdown(t))).withColumn("avg_chars", F.round("avg_chars", 6))
 
 
 v.define("current_2", "SELECT * FROM history_2 WHERE valid_to IS NULL", "history_2")

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagelore.catalog import views as v
-from pagelore.catalog.registry import Tables, query
+from pagelore.catalog.registry import QUERIES, Tables, query
 from pagelore.operators import monitoring as m
-from pagelore.session import new_path
-from pagelore.sources import tables
 
 N = "CAST(count(*) AS BIGINT)"
 
@@ -37,19 +35,6 @@ def m2(t: Tables):
     return m.outcomes_per_day(v.messages(t))
 
 
-RANGE = ("2024-01-05 06:00:00", "2024-01-12 18:30:00")
-
-
-@query("m2_outcomes_in_range", filled_sql(
-    "CASE route WHEN 'docs' THEN 'Answered' WHEN 'refused' THEN 'Refused' WHEN 'error' THEN 'Failed' ELSE route END",
-    f"asked_at BETWEEN TIMESTAMP '{RANGE[0]}' AND TIMESTAMP '{RANGE[1]}'"))
-def m2_range(t: Tables):
-    path = new_path(t.spark, "messages")
-    tables.append_messages(v.messages(t), path, F.col("asked_at"))
-    start, end = (F.lit(x).cast("timestamp_ntz") for x in RANGE)
-    return m.outcomes_per_day(m.in_range(t.spark.read.parquet(path), start, end))
-
-
 @query("m3_recent_questions", v.with_views("messages_v", "rated_v", body="""
 SELECT asked_at AS asked, left(question, 70) AS question, route, coalesce(provider, '') AS provider,
   coalesce(model, '') AS model, coalesce(prompt_tokens, 0) + coalesce(completion_tokens, 0) AS tokens,
@@ -149,6 +134,37 @@ def m12(t: Tables):
     return m.rated_answers(v.messages(t), v.feedback(t))
 
 
+# --- The same panels over a time range of the stored log -------------------------------
+
+RANGE = ("2024-01-05 06:00:00", "2024-01-12 18:30:00")
+PANELS = {
+    "m1_questions_per_hour": m.questions_per_hour, "m2_outcomes_per_day": m.outcomes_per_day,
+    "m4_demo_share": m.demo_share, "m5_demo_vs_answer_only": m.demo_vs_answer_only, "m6_flow_demand": m.flow_demand,
+    "m7_api_calls_per_day": m.api_calls_per_day, "m8_token_spend_per_day": m.token_spend_per_day,
+    "m9_provider_per_day": m.provider_per_day, "m10_latency_per_hour": lambda log: _latency(m.latency_per_hour(log)),
+    "m11_top_score_per_hour": lambda log: m.top_score_per_hour(log).withColumn("top_score", F.round("top_score", 6)),
+}
+RATED_PANELS = {"m3_recent_questions": m.recent_questions, "m12_rated_answers": m.rated_answers}
+
+RANGED_NAMES = {"m2_outcomes_per_day": "m2_outcomes_in_range"}
+
+
+def in_stored_range(t: Tables):
+    return m.in_range(v.stored_log(t), *(F.lit(x).cast("timestamp_ntz") for x in RANGE))
+
+
+def _ranged(name: str) -> None:
+    inside = f"{v.SQL['messages_v']} WHERE ts BETWEEN TIMESTAMP '{RANGE[0]}' AND TIMESTAMP '{RANGE[1]}'"
+
+    @query(RANGED_NAMES.get(name, f"{name}_in_range"), QUERIES[name].sql.replace(v.SQL["messages_v"], inside))
+    def run(t: Tables):
+        return PANELS[name](in_stored_range(t)) if name in PANELS else RATED_PANELS[name](in_stored_range(t), v.feedback(t))
+
+
+for _name in (*PANELS, *RATED_PANELS):
+    _ranged(_name)
+
+
 @query("m13_feedback_upsert", v.with_views("rated_v", body="SELECT message_id, rating, given_at FROM rated_v"))
 def m13(t: Tables):
     return m.feedback_upsert(v.feedback(t))

@@ -13,7 +13,7 @@ from pagelore.catalog.registry import Tables
 from pagelore.functions import text
 from pagelore.operators import linkindex
 from pagelore.operators.inverted import StoredIndex, write_index
-from pagelore.session import fingerprint, new_path, workspace
+from pagelore.session import file_names, fingerprint, new_path, workspace
 from pagelore.sources.history import StoredHistory
 
 SQL: dict[str, str] = {}
@@ -71,6 +71,16 @@ def messages(t: Tables) -> DataFrame:
     return t.events.selectExpr(*MESSAGE_COLUMNS)
 
 
+def stored_log(t: Tables) -> DataFrame:
+    """The message log as it is kept, in folders by day; written on first use of these files."""
+    path = f"{workspace(t.spark)}/log-{fingerprint(t.events)}"
+    if "_SUCCESS" not in file_names(t.spark, path):
+        messages(t).withColumn("asked_on", F.to_date("asked_at")).repartition("asked_on").write.partitionBy(
+            "asked_on").mode("overwrite").parquet(path)
+    schema = messages(t).schema.add("asked_on", "date")
+    return t.spark.read.schema(schema).parquet(path)
+
+
 FEEDBACK_COLUMNS = [
     "CAST(floor(event_id / 3) AS BIGINT) AS message_id", "event_id AS seq",
     "CASE WHEN value > 20 THEN 1 WHEN value > 2 THEN -1 ELSE 0 END AS rating", "ts AS given_at",

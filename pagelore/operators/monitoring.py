@@ -19,12 +19,13 @@ def in_range(log: DataFrame, start: Column | None = None, end: Column | None = N
 
     A stored log is partitioned by ``day``: the same bounds on it leave the folders of
     other days unread. Bounds must be literals or foldable for that."""
-    for bound, inside in ((start, F.col(at).__ge__), (end, F.col(at).__le__)):
-        if bound is None:
-            continue
-        log = log.where(inside(bound))
-        if day in log.columns:
-            log = log.where(F.col(day) >= F.to_date(bound) if bound is start else F.col(day) <= F.to_date(bound))
+    by_day = day in log.columns
+    if start is not None:
+        log = log.where(F.col(at) >= start)
+        log = log.where(F.col(day) >= F.to_date(start)) if by_day else log
+    if end is not None:
+        log = log.where(F.col(at) <= end)
+        log = log.where(F.col(day) <= F.to_date(end)) if by_day else log
     return log
 
 

@@ -71,3 +71,31 @@ def test_a_time_range_leaves_the_folders_of_other_days_unread(spark, tmp_path):
     plan = some._jdf.queryExecution().executedPlan().toString()
     pruned = plan.split("PartitionFilters: [")[1].split("]")[0]
     assert "asked_on" in pruned and ">=" in pruned and "<=" in pruned
+
+
+@pytest.mark.parametrize("name", [n for n in queries() if n.startswith("m") and n.endswith("_in_range")])
+def test_panels_over_a_range_read_the_folders_of_their_days(spark, name):
+    plan = queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    pruned = [p.split("]")[0] for p in plan.split("PartitionFilters: [")[1:]]
+    assert any("asked_on" in p and ">=" in p and "<=" in p for p in pruned)
+
+
+def test_the_last_days_prune_folders_and_equal_bounds_prune_on_both_sides(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    from pagelore.operators import monitoring
+
+    now = datetime.now()
+    rows = [(i, now - timedelta(days=i)) for i in range(20)]
+    path = str(tmp_path / "log")
+    spark.createDataFrame(rows, "id long, asked_at timestamp").withColumn("asked_on", F.to_date("asked_at")).write.partitionBy("asked_on").parquet(path)
+    last = monitoring.last_days(spark.read.parquet(path), 7)
+    assert sorted(r["id"] for r in last.collect()) in ([*range(7)], [*range(8)])
+    plan = last._jdf.queryExecution().executedPlan().toString()
+    assert "asked_on" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    same = F.lit(rows[3][1])
+    once = monitoring.in_range(spark.read.parquet(path), same, same)
+    pruned = once._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert [r["id"] for r in once.collect()] == [3] and ">=" in pruned and "<=" in pruned
