@@ -8,8 +8,8 @@ from pagelore.catalog import views as v
 from pagelore.catalog.registry import Tables, query
 from pagelore.functions import text
 from pagelore.functions import vectors as vec
-from pagelore.operators import evaluation, fusion, keywords, vectors
-from pagelore.plans.search import Corpus, SearchConfig, config_label, ranked_ids, search
+from pagelore.operators import fusion, keywords, vectors
+from pagelore.plans.search import Corpus, SearchConfig, ranked_ids, search, stored_config_label
 from pagelore.session import settle
 
 
@@ -24,11 +24,11 @@ def terms(t: Tables):
 def corpus(t: Tables, cfg: SearchConfig | None = None) -> Corpus:
     """What searches of ``cfg`` read; those by vectors alone need no index."""
     words = cfg is None or cfg.terms or cfg.rerank
-    return Corpus(v.chunks(t), v.stored_index(t) if words else None)
+    return Corpus(v.filled_chunks(t), v.stored_index(t) if words else None)
 
 
 def vectors_of(t: Tables):
-    return v.chunks(t).select("chunk_id", "embedding")
+    return v.stored_vectors(t)
 
 
 def ranked(hits):
@@ -242,19 +242,24 @@ def e10_rerank(t: Tables):
     return _hits(t, SearchConfig("any", rerank=True))
 
 
-@query("e11_config_label", """
-WITH grid AS (
-  SELECT mode, match, false AS rerank, k FROM (VALUES ('keyword','all'), ('keyword','any'), ('vector','all'),
-    ('hybrid','all'), ('hybrid','any')) m(mode, match), (VALUES (5), (10), (20)) ks(k)
-  UNION ALL SELECT mode, 'all', true, k FROM (VALUES ('vector'), ('hybrid')) m(mode), (VALUES (5), (10), (20)) ks(k))
-SELECT item_id, k AS top_k, mode || CASE WHEN mode = 'hybrid' THEN '+rrf60' ELSE '' END
-  || CASE WHEN mode <> 'vector' AND match <> 'all' THEN '+kw-' || match ELSE '' END
+# Experiments of the log, their configuration as the table keeps it; some settings are not named.
+EXPERIMENT = {
+    "mode": "CASE event_id % 4 WHEN 0 THEN 'vector' WHEN 1 THEN 'keyword' ELSE 'hybrid' END",
+    "match": "CASE WHEN user_id % 2 = 0 THEN 'any' ELSE 'all' END", "rrf": "CAST(20 + 20 * (user_id % 4) AS INT)",
+    "rerank": "value > 10", "named": "event_type <> 'click'"}
+EXPERIMENT_SQL = ", ".join(f"{e} AS {n}" for n, e in EXPERIMENT.items())
+
+
+@query("e11_config_label", f"""
+SELECT event_id, mode || CASE WHEN mode = 'hybrid' THEN '+rrf' || CASE WHEN named THEN rrf ELSE 60 END ELSE '' END
+  || CASE WHEN mode <> 'vector' AND match = 'any' AND named THEN '+kw-any' ELSE '' END
   || CASE WHEN rerank THEN '+rerank' ELSE '' END AS label
-FROM benchmark, grid""")
+FROM (SELECT event_id, {EXPERIMENT_SQL} FROM events)""")
 def e11(t: Tables):
-    rows = evaluation.fan_out(t.benchmark.select("item_id"), evaluation.config_grid())
-    return rows.select("item_id", "top_k", config_label(
-        F.col("mode"), F.col("rrf_k"), F.col("keyword_match"), F.col("rerank"), F.col("query_rewrite")).alias("label"))
+    rows = t.events.selectExpr("event_id", *(f"{e} AS {n}" for n, e in EXPERIMENT.items()))
+    named = lambda c: F.when(F.col("named"), F.col(c))
+    config = F.to_json(F.struct("mode", named("match").alias("keyword_match"), named("rrf").alias("rrf_k"), "rerank"))
+    return rows.select("event_id", stored_config_label(config).alias("label"))
 
 
 # Parts of a question: its own vector search, and that of its neighbour.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagelore.catalog.registry import Tables
 from pagelore.functions import text
-from pagelore.operators import linkindex
+from pagelore.operators import linkindex, vectors
 from pagelore.operators.inverted import StoredIndex, write_index
 from pagelore.session import file_names, fingerprint, new_path, workspace
 from pagelore.sources.history import StoredHistory
@@ -251,6 +251,32 @@ def chunks(t: Tables) -> DataFrame:
     return t.documents.join(t.embeddings, F.col("doc_id") == F.col("vec_id"), "left").selectExpr(*CHUNK_COLUMNS)
 
 
+# Vectors of all chunks: those given, and where there is none that of the stand-in encoder.
+ENCODED_DIMS = 64
+define("filled_v", f"""SELECT chunk_id, CAST(embedding AS FLOAT[]) AS embedding FROM chunks_v WHERE embedding IS NOT NULL
+  UNION ALL SELECT chunk_id, list_transform(range({ENCODED_DIMS}), lambda d: CAST(coalesce(counts[d], 0) / norm AS FLOAT))
+  FROM (SELECT chunk_id, map_from_entries(list((dim, n))) AS counts, sqrt(sum(CAST(n AS DOUBLE) * n)) AS norm FROM (
+    SELECT chunk_id, CAST('0x' || substr(md5(term), 1, 7) AS BIGINT) % {ENCODED_DIMS} AS dim, count(*) AS n FROM (
+      SELECT chunk_id, unnest(regexp_extract_all(lower(concat_ws(' — ', page_title, heading_path) || ' ' || content),
+        '[\\p{{L}}\\p{{N}}]+')) AS term FROM chunks_v WHERE embedding IS NULL) GROUP BY 1, 2) GROUP BY chunk_id)""", "chunks_v")
+
+
+def stored_vectors(t: Tables) -> DataFrame:
+    """``chunk_id, embedding`` of every chunk in the shared folder; missing vectors are encoded once
+    for these files, on first use."""
+    path = f"{workspace(t.spark)}/vectors-{fingerprint(t.documents)}-{fingerprint(t.embeddings)}"
+    if "_SUCCESS" not in file_names(t.spark, path):
+        filled = vectors.embed_missing(chunks(t), vectors.hashed_term_encoder(ENCODED_DIMS))
+        filled.select("chunk_id", "embedding").write.mode("overwrite").parquet(path)
+    return t.spark.read.schema("chunk_id long, embedding array<float>").parquet(path)
+
+
+def filled_chunks(t: Tables) -> DataFrame:
+    """All chunks, each with a vector."""
+    plain = t.documents.selectExpr(*[c for c in CHUNK_COLUMNS if c != "embedding"])
+    return plain.join(stored_vectors(t), "chunk_id", "left")
+
+
 def chunk_text() -> Column:
     return text.search_text(F.col("page_title"), F.col("heading_path"), F.col("content"))
 
@@ -306,9 +332,9 @@ define("kw_any", """SELECT qid, chunk_id, score,
 define("kw_all", """SELECT qid, chunk_id, score,
     row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank
   FROM kw_scores WHERE hits = n_terms""", "kw_scores")
-define("vec_scores", """SELECT qid, vec_id AS chunk_id,
+define("vec_scores", """SELECT qid, chunk_id,
     round(list_cosine_similarity(CAST(qvec AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 9) AS score
-  FROM queries_v, embeddings JOIN documents ON vec_id = doc_id""", "queries_v")
+  FROM queries_v, filled_v""", "queries_v", "filled_v")
 define("vec", """SELECT qid, chunk_id, score,
     row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM vec_scores""", "vec_scores")
 for _match in ("all", "any"):

@@ -254,7 +254,7 @@ def _in_buckets(rows: DataFrame, planes: np.ndarray, probes: int) -> DataFrame:
         T.StructField("v", rows.schema.fields[1].dataType)]))
 
 
-def vector_topk_lsh(queries: DataFrame, corpus: DataFrame, k: int, tables: int = 8, probes: int = 4,
+def vector_topk_lsh(queries: DataFrame, corpus: DataFrame, k: int, tables: int = 12, probes: int = 8,
                     bucket_rows: int = 256, seed: int = 7) -> DataFrame:
     """Approximate top-k (E6, off by default): a query is compared by exact cosine with the chunks of
     its bucket and of the nearest other buckets in each of ``tables`` hash tables.

@@ -65,6 +65,19 @@ def config_label(mode: Column, damping: Column, terms: Column, rerank: Column, r
     )
 
 
+CONFIG_JSON = "mode string, keyword_match string, rrf_k int, rerank boolean, query_rewrite boolean"
+
+
+def stored_config_label(config: Column) -> Column:
+    """:func:`config_label` of a configuration kept as JSON; settings it does not name have their defaults.
+    A text that is no configuration has no label."""
+    c = F.from_json(config, CONFIG_JSON)
+    label = config_label(
+        c["mode"], F.coalesce(c["rrf_k"], F.lit(fx.RRF_K)).cast("string"), F.coalesce(c["keyword_match"], F.lit("all")),
+        F.coalesce(c["rerank"], F.lit(False)), F.coalesce(c["query_rewrite"], F.lit(False)))
+    return F.when(c["mode"].isin("vector", "keyword", "hybrid"), label)
+
+
 def label_of(cfg: SearchConfig) -> Column:
     return config_label(F.lit(cfg.mode), F.lit(cfg.damping), F.lit(cfg.terms or "all"), F.lit(cfg.rerank), F.lit(False))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagelore.operators import evaluation, fusion, keywords, vectors
 from pagelore.plans.grid import retrieval_grid
-from pagelore.plans.search import Corpus, SearchConfig, config_label, search
+from pagelore.plans.search import Corpus, SearchConfig, config_label, search, stored_config_label
 
 CHUNKS = [
     (1, "refund a payment with the refunds api"),
@@ -182,6 +182,13 @@ def test_labels(spark):
     assert {"hybrid+rrf60", "hybrid+rrf60+kw-any", "keyword+kw-any", "vector", "vector+rerank"} <= {r["label"] for r in rows}
 
 
+def test_labels_of_stored_configurations(spark):
+    rows = ['{"mode":"hybrid"}', '{"mode":"hybrid","rrf_k":20,"keyword_match":"any","rerank":true,"query_rewrite":true}',
+            '{"mode":"vector","keyword_match":"any"}', '{"mode":"other"}', "{}", "nope", None]
+    got = spark.createDataFrame(list(enumerate(rows)), "i int, c string").select("i", stored_config_label(F.col("c"))).orderBy("i").collect()
+    assert [r[1] for r in got] == ["hybrid+rrf60", "hybrid+rrf20+kw-any+rerank+rewrite", "vector", None, None, None, None]
+
+
 @pytest.fixture(scope="module")
 def library(spark, space):
     frame, queries, _, _ = space
