@@ -247,7 +247,10 @@ def load_counters(log: DataFrame, limit_day: int = fx.MAX_QUESTIONS_PER_DAY,
 
 
 def daily_count(log: DataFrame, limit: int = fx.MAX_QUESTIONS_PER_DAY) -> DataFrame:
-    return load_counters(log, limit_day=limit).select("id", "asked_at", "day_count", "day_capped")
+    """M14 alone: nobody asks for the counts of a minute ago."""
+    moments = log.groupBy(F.col("asked_at").alias("at")).agg(F.count(F.lit(1)).alias("own"))
+    counts = _counts_upto(moments).select(F.col("at").alias("asked_at"), (F.col("upto") - 1).alias("day_count"))
+    return log.join(counts, "asked_at").select("id", "asked_at", "day_count", (F.col("day_count") >= limit).alias("day_capped"))
 
 
 def burst_count(log: DataFrame, limit: int = fx.MAX_QUESTIONS_PER_MINUTE) -> DataFrame:
