@@ -11,10 +11,10 @@ def parsed(reply: Column) -> Column:
     return F.try_parse_json(reply)
 
 
-def kind(value: Column) -> Column:
+def kind_of_text(raw: Column) -> Column:
     """``OBJECT``, ``ARRAY``, ``STRING``, ``BOOLEAN``, ``VOID`` or ``NUMBER``, told by
-    the first letter of the JSON text; NULL when absent."""
-    first = F.left(F.to_json(value), F.lit(1))
+    the first letter of a JSON text; NULL when absent."""
+    first = F.left(raw, F.lit(1))
     return (
         F.when(first == "{", "OBJECT").when(first == "[", "ARRAY").when(first == '"', "STRING")
         .when(first.isin("t", "f"), "BOOLEAN").when(first == "n", "VOID")
@@ -22,15 +22,19 @@ def kind(value: Column) -> Column:
     )
 
 
+def kind(value: Column) -> Column:
+    """:func:`kind_of_text` of a value."""
+    return kind_of_text(F.to_json(value))
+
+
 def member(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "variant")
 
 
-def truthy(value: Column) -> Column:
-    """Whether a value counts as true: not null, false, zero or empty."""
-    raw = F.to_json(value)
+def truthy_text(raw: Column) -> Column:
+    """Whether a value, by its JSON text, counts as true: not null, false, zero or empty."""
     empty = raw.isNull() | raw.isin("null", "false", '""', "[]", "{}")
-    zero = (kind(value) != "STRING") & (raw.try_cast("double") == 0)
+    zero = (F.left(raw, F.lit(1)) != '"') & (raw.try_cast("double") == 0)
     return ~empty & ~F.coalesce(zero, F.lit(False))
 
 

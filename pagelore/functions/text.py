@@ -80,10 +80,11 @@ def redact_secrets(col: Column, pattern: str = fx.SECRET_PATTERN,
     return strip(F.regexp_replace(col, pattern, mark))
 
 
-def json_span(col: Column) -> Column:
-    """The widest ``{…}`` span of a reply, or the reply itself."""
-    span = F.regexp_extract(col, r"(?s)\{.*\}", 0)
-    return F.when(span != "", span).otherwise(col)
+def brace_span(col: Column) -> Column:
+    """From the first opening to the last closing brace; empty without such."""
+    start = F.instr(col, "{")
+    stop = F.length(col) - F.instr(F.reverse(col), "}") + 1
+    return F.when((start > 0) & F.contains(col, F.lit("}")) & (stop > start), F.substring(col, start, stop - start + 1)).otherwise("")
 
 
 def has_citation(col: Column) -> Column:

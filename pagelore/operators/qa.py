@@ -30,47 +30,56 @@ def refusal_reason(question: Column, cap: int = fx.MAX_QUESTION_CHARS) -> Column
     return F.when(question.isNull(), "no question").when(F.length(question) > cap, "question too long")
 
 
-def parse_route(replies: DataFrame, question: str = "question", raw: str = "raw") -> DataFrame:
-    """Router replies -> ``in_scope, sub_questions, reason, route_error`` (Q3).
+def read_replies(replies: DataFrame, raw: str = "raw", to: str = "reply") -> DataFrame:
+    """``replies`` with the object each holds as VARIANT in ``to``, NULL where there is none.
+
+    :func:`parse_route` makes that column and :func:`validate_flow_choice` reads it too, so a
+    reply is parsed once. Only text between braces can be an object; other text is not parsed."""
+    return replies.withColumn(to, jv.parsed(F.nullif(text.brace_span(F.col(raw)), F.lit(""))))
+
+
+def parse_route(replies: DataFrame, question: str = "question", raw: str = "raw", reply: str = "reply") -> DataFrame:
+    """Router replies -> ``reply, in_scope, sub_questions, reason, route_error`` (Q3).
 
     A reply that is no JSON object, or whose parts cannot be listed, fails open:
     the question goes through as it is, with the error kept.
     """
-    reply = F.col("__reply")
-    subs_value = jv.member(reply, "$.sub_questions")
-    subs_kind = jv.kind(subs_value)
+    found = F.col(reply)
+    # A member's JSON text tells its kind and its truth; every step below reads it once.
+    rows = (replies if reply in replies.columns else read_replies(replies, raw, reply)).withColumns({
+        "__subs": jv.member(found, "$.sub_questions"), "__in": jv.member(found, "$.in_scope"),
+        "__reason": jv.member(found, "$.reason")})
+    rows = rows.withColumns({"__subs_text": F.to_json("__subs"), "__in_text": F.to_json("__in"),
+                             "__reason_text": F.to_json("__reason")})
+    kind = jv.kind_of_text(F.col("__subs_text"))
     listed = F.transform(
-        F.filter(F.try_variant_get(reply, "$.sub_questions", "array<variant>"),
-                 lambda x: jv.kind(x) == "STRING"),
+        F.filter(F.try_variant_get("__subs", "$", "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING"),
         lambda x: x.cast("string"))
-    letters = F.split(F.try_variant_get(reply, "$.sub_questions", "string"), "")
-    keys = F.map_keys(F.try_variant_get(reply, "$.sub_questions", "map<string,variant>"))
     parts = (
-        F.when(subs_value.isNull(), F.array().cast("array<string>"))
-        .when(subs_kind == "ARRAY", listed)
-        .when(subs_kind == "STRING", letters)
-        .when(subs_kind == "OBJECT", keys)
+        F.when(F.col("__subs_text").isNull() | F.col("__subs_text").isin("[]", "{}", '""'), F.array().cast("array<string>"))
+        .when(kind == "ARRAY", listed)
+        .when(kind == "STRING", F.split(F.try_variant_get("__subs", "$", "string"), ""))
+        .when(kind == "OBJECT", F.map_keys(F.try_variant_get("__subs", "$", "map<string,variant>")))
     )
-    clean = F.slice(
-        F.filter(F.transform(parts, text.strip), lambda s: s != ""), 1, fx.MAX_SUB_QUESTIONS)
-    failed = reply.isNull() | (jv.kind(reply) != "OBJECT") | parts.isNull()
-    in_scope = jv.truthy(jv.member(reply, "$.in_scope"))
-    reason_value = jv.member(reply, "$.reason")
+    rows = rows.withColumn("__parts", parts)
+    failed = found.isNull() | F.col("__parts").isNull()
+    rows = rows.withColumns({
+        "__failed": failed,
+        "__clean": F.slice(F.filter(F.transform("__parts", text.strip), lambda s: s != ""), 1, fx.MAX_SUB_QUESTIONS),
+        "__true": jv.truthy_text(F.col("__in_text"))})
     reason = (
-        F.when(reason_value.isNull(), "")
-        .when(jv.kind(reason_value) == "VOID", "None")
-        .otherwise(reason_value.cast("string"))
-    )
+        F.when(F.col("__reason_text").isNull(), "")
+        .when(F.col("__reason_text") == "null", "None")
+        .otherwise(F.col("__reason").cast("string")))
     own = F.array(F.col(question))
-    rows = replies.withColumn("__reply", jv.parsed(text.json_span(F.col(raw))))
-    rows = rows.withColumns({"__failed": failed, "__subs": clean, "__in": in_scope, "__reason": reason})
     return rows.withColumns({
-        "in_scope": F.col("__failed") | F.col("__in"),
+        "in_scope": F.col("__failed") | F.col("__true"),
         "sub_questions": F.when(
-            F.col("__failed") | (F.col("__in") & (F.size("__subs") == 0)), own).otherwise(F.col("__subs")),
-        "reason": F.when(F.col("__failed"), FAIL_OPEN).otherwise(F.col("__reason")),
+            F.col("__failed") | (F.col("__true") & (F.size("__clean") == 0)), own).otherwise(F.col("__clean")),
+        "reason": F.when(F.col("__failed"), FAIL_OPEN).otherwise(reason),
         "route_error": F.when(F.col("__failed"), "unreadable router reply"),
-    }).drop("__failed", "__subs", "__in", "__reason", "__reply")
+    }).drop("__subs", "__in", "__reason", "__subs_text", "__in_text", "__reason_text", "__parts", "__failed",
+            "__clean", "__true")
 
 
 def gate_scope(routed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -78,20 +87,20 @@ def gate_scope(routed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return routed.where("in_scope"), routed.where(~F.col("in_scope"))
 
 
-def validate_flow_choice(routed: DataFrame, keys: Sequence[str], raw: str = "raw") -> DataFrame:
+def validate_flow_choice(routed: DataFrame, keys: Sequence[str], reply: str = "reply") -> DataFrame:
     """Keep the router's flow only if it is on the list and the question is in
-    scope; keep its parameters only if they are an object (Q5)."""
-    rows = routed.withColumn("__reply", jv.parsed(text.json_span(F.col(raw))))
-    choice = jv.member(F.col("__reply"), "$.sandbox_flow")
-    name = choice.cast("string")
-    valid = (jv.kind(choice) == "STRING") & name.isin(list(keys)) & F.col("in_scope")
+    scope; keep its parameters only if they are an object (Q5). Uses up ``reply``."""
+    rows = routed.withColumns({"__flow": jv.member(F.col(reply), "$.sandbox_flow"),
+                               "__params": jv.member(F.col(reply), "$.sandbox_params")})
+    rows = rows.withColumns({"__flow_text": F.to_json("__flow"), "__params_text": F.to_json("__params")})
+    name = F.col("__flow").cast("string")
+    valid = (jv.kind_of_text(F.col("__flow_text")) == "STRING") & name.isin(list(keys)) & F.col("in_scope")
     if "route_error" in routed.columns:
         valid = valid & F.col("route_error").isNull()
-    params = jv.member(F.col("__reply"), "$.sandbox_params")
-    kept = F.when(valid & (jv.kind(params) == "OBJECT"), F.to_json(params)).otherwise("{}")
-    return rows.withColumns({
-        "sandbox_flow": F.when(valid, name), "sandbox_params": kept,
-    }).drop("__reply")
+    rows = rows.withColumn("sandbox_flow", F.when(valid, name))
+    given = F.col("sandbox_flow").isNotNull() & (jv.kind_of_text(F.col("__params_text")) == "OBJECT")
+    return rows.withColumn("sandbox_params", F.when(given, F.col("__params_text")).otherwise("{}")).drop(
+        reply, "__flow", "__params", "__flow_text", "__params_text")
 
 
 def flow_param_specs(spark) -> DataFrame:
