@@ -3,10 +3,13 @@
 Every window of ``width`` words gets a rolling hash. Windows are dealt by the smallest
 hash among their runs of KEY_WORDS words: equal windows have the same one, and
 neighbouring windows mostly share it, so a row carries some twenty window hashes and the
-shuffle moves them once, in 6 bytes each. A batch sends an equal window for its smallest
-document only, however often a hot passage comes. Windows that also start in a
-smaller document are marked, runs of marked windows are merged into maximal intervals,
-and the intervals meet the texts again.
+shuffle moves them once, in 7 bytes each. A batch sends an equal window for its smallest
+document only, however often a hot passage comes. The windows of every deal are counted
+first: a passage shorter than a window, in front of ever other words, makes one deal of all
+its windows, and a deal of more than HOT_WINDOWS is split by the windows' own hashes. Tasks
+read their deals in order and hold one at a time. Windows that also start in a smaller
+document are marked, runs of marked windows are merged into maximal intervals, and the
+intervals meet the texts again.
 """
 
 from __future__ import annotations
@@ -24,7 +27,10 @@ from pagelore.llm.words import SPACED, mix, rolling, sliding_min, starts_of, tex
 
 WIDTH = 50
 KEY_WORDS = 16
-HASH_BYTES = 6
+HASH_BYTES = 7            # other words agree in a part of HOT_WINDOWS windows with a chance of 2^-17
+HOT_WINDOWS = 1 << 20     # windows of one deal that one task compares
+MOST_HOT = 1 << 20        # deals split at most, the largest first: 16 MB of names and sizes
+HELD_BYTES = 1 << 25      # rows a task gathers before it compares the deals that are complete
 _MASK = np.uint64((1 << 8 * HASH_BYTES) - 1)
 _ROW = "deal long, doc_id long, text_key long, first int, n int, hashes binary"
 
@@ -61,8 +67,19 @@ def _rows(columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
-def _hashed(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
-    """Rows of windows to compare (with hashes) and of windows already known as later copies (without)."""
+def _split(key: np.ndarray, window: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The deals ``key``, those that are hot in as many parts as they need: equal windows stay together."""
+    deals, parts = hot
+    if not len(deals):
+        return key
+    at = np.minimum(np.searchsorted(deals, key), len(deals) - 1)
+    part = mix(window) % np.where(deals[at] == key, parts[at], np.uint64(1))
+    return np.where(deals[at] == key, mix(key + part), key)
+
+
+def _hashed(batch: pa.RecordBatch, width: int, hot: tuple[np.ndarray, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+    """Rows of windows to compare (with hashes) and of windows already known as later copies
+    (without). Without ``hot``, only (deal, n): how many windows of a deal there are to compare."""
     short = min(KEY_WORDS, width)
     windows, keys, places, rows = [], [], [], []
     ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -85,6 +102,10 @@ def _hashed(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
         return
     docs = ids[row]
     later = _repeated(window, docs)
+    if hot is None:
+        deals, n = np.unique(key[~later], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(deals.view(np.int64)), pa.array(n, pa.int64())], names=["deal", "n"])
+        return
     begins = np.append(True, (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1))
     marked = np.append(True, later[1:] != later[:-1])
     bounds = _runs(begins | marked)
@@ -94,7 +115,7 @@ def _hashed(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
         yield _rows([mix(docs[mine].astype(np.uint64)).view(np.int64), docs[mine], texts[row[mine]], place[mine], sizes,
                      [b""] * len(mine)])
     sent = np.flatnonzero(~later)
-    key, row, place, window = key[sent], row[sent], place[sent], window[sent]
+    key, row, place, window = _split(key[sent], window[sent], hot), row[sent], place[sent], window[sent]
     bounds = _runs(np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)))
     packed = _pack(window)
     for i in range(0, len(bounds) - 1, 1 << 16):
@@ -104,9 +125,30 @@ def _hashed(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
                      [packed[HASH_BYTES * x:HASH_BYTES * y] for x, y in zip(a.tolist(), cut[1:].tolist())]])
 
 
-def _compared(batches: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+def _complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows, ordered by deal, in tables that never cut a deal."""
+    held, size, limit = [], 0, HELD_BYTES
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.nbytes
+        if size < limit:
+            continue
+        whole = pa.Table.from_batches(held)
+        deals = whole.column(0).to_numpy()
+        cut = int(np.searchsorted(deals, deals[-1]))
+        if cut:
+            yield whole.slice(0, cut)
+        held = whole.slice(cut).combine_chunks().to_batches()
+        size = sum(b.nbytes for b in held)
+        limit = HELD_BYTES + 2 * size   # a long deal is not gathered anew for every batch
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _compared(whole: pa.Table) -> pa.RecordBatch:
     """(doc_id, text_key, first, n) of runs of windows that a smaller document has too."""
-    whole = pa.Table.from_batches(batches)
     deal, doc, text, first, n = (whole.column(i).to_numpy() for i in range(5))
     data = whole.column(5).combine_chunks().cast(pa.large_binary())
     _, offsets, raw = data.buffers()
@@ -131,21 +173,38 @@ def _compared(batches: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         names=["doc_id", "text_key", "first", "n"])
 
 
-def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+def hot_deals(rows: DataFrame, width: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Deals of more than ``limit`` windows, in order, and how many parts each is split into."""
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _hashed(batch, width, None)
+
+    heavy = rows.mapInArrow(weigh, "deal long, n long").groupBy("deal").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
+    found = heavy.orderBy(F.desc("n"), "deal").limit(MOST_HOT).toArrow()
+    deals, n = found.column("deal").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(deals)
+    return deals[order], (-(-n // limit)).astype(np.uint64)[order]
+
+
+def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH,
+                     hot_windows: int = HOT_WINDOWS) -> DataFrame:
     """(doc_id, text_key, first, n): runs of n windows, by their first word, that a document
-    with a smaller id has too. Rows without an id or with fewer words have none."""
+    with a smaller id has too. Rows without an id or with fewer words have none. Deals of more
+    than ``hot_windows`` windows are split; beyond MOST_HOT such deals the smaller ones stay whole."""
+    rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text))
+    hot = docs.sparkSession.sparkContext.broadcast(hot_deals(rows, width, hot_windows))
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _hashed(batch, width)
+            yield from _hashed(batch, width, hot.value)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = [b for b in batches if b.num_rows]
-        if whole:
+        for whole in _complete(batches):
             yield _compared(whole)
 
-    rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text))
-    return rows.mapInArrow(split, _ROW).repartition("deal").mapInArrow(compare, "doc_id long, text_key long, first int, n int")
+    dealt = rows.mapInArrow(split, _ROW).repartition("deal").sortWithinPartitions("deal")
+    return dealt.mapInArrow(compare, "doc_id long, text_key long, first int, n int")
 
 
 def _merged(first: np.ndarray, n: np.ndarray, width: int) -> list[tuple[int, int]]:
@@ -159,18 +218,18 @@ def _merged(first: np.ndarray, n: np.ndarray, width: int) -> list[tuple[int, int
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH,
+                   hot_windows: int = HOT_WINDOWS) -> DataFrame:
     """``docs`` plus kept_text, n_words, n_removed and the removed word intervals ``spans``.
 
     Words are those between ASCII white space (null: none). A word goes when a window of
     ``width`` words over it also starts in a document with a smaller id; the first copy
     always stays whole. Kept words are joined by one space. Rows that share an id do not
-    count against each other; a null id is never smaller or larger than another.
+    count against each other; a null id is never smaller or larger than another. A column
+    that ``docs`` has already keeps its name, and the new one gets underscores at its end.
     """
-    names, added = docs.columns, ["kept_text", "n_words", "n_removed", "spans"]
-    if {c.lower() for c in names} & set(added):
-        raise ValueError(f"docs has a column of {added} already")
-    windows = repeated_windows(docs, doc_id, text, width)
+    names, added = docs.columns, [spare(docs, c) for c in ("kept_text", "n_words", "n_removed", "spans")]
+    windows = repeated_windows(docs, doc_id, text, width, hot_windows)
     marks = windows.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
     id_, key, runs = (spare(docs, c) for c in ("doc_id_", "text_key", "runs"))
     marks = marks.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key),

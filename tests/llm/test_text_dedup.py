@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 
 from pagelore.llm import decontamination as d
@@ -109,8 +110,35 @@ def test_substrings_of_nothing_and_of_clashing_columns(empty, awkward):
     assert s.remove_repeats(empty).count() == 0
     frame = awkward.selectExpr("doc_id", "text", "1 as text_key", "2 as runs", "3 as runsn")
     assert s.remove_repeats(frame).first()["runs"] == 2
-    with pytest.raises(ValueError):
-        s.remove_repeats(awkward.selectExpr("doc_id", "text", "1 as n_words"))
+    clash = s.remove_repeats(awkward.selectExpr("doc_id", "text", "1 as n_words", "2 as Spans"))
+    assert clash.columns == ["doc_id", "text", "n_words", "Spans", "kept_text", "n_words_", "n_removed", "spans_"]
+    assert {r["n_words"] for r in clash.collect()} == {1} and clash.where("doc_id = 12").first()["n_words_"] == 80
+
+
+def test_hot_deals_are_split_and_stay_whole(ready):
+    """A passage shorter than a window, among ever other words, is the smallest run of many windows."""
+    boiler, shared = prose(20, 24), prose(21, 40)
+    texts = [prose(100 + i, 30) + " " + boiler + " " + (shared if i % 7 == 0 else prose(500 + i, 30)) for i in range(150)]
+    frame = ready.createDataFrame([(i, x, "", "", 0) for i, x in enumerate(texts)], DOCS).repartition(6)
+    rows = frame.selectExpr("doc_id", "xxhash64(text) text_key", "text")
+    deals, parts = s.hot_deals(rows, 50, 200)
+    assert len(deals) and (parts > 1).all()
+    got = s.remove_repeats(frame, hot_windows=200).collect()
+    assert sorted((str(r["doc_id"]), r["kept_text"], r["n_words"], r["n_removed"]) for r in got) == _windows_left(frame.collect(), 50)
+    windows = np.arange(50_000, dtype=np.uint64)
+    split = s._split(np.full(50_000, deals[0]), np.repeat(windows[:25_000], 2), (deals[:1], np.array([20], np.uint64)))
+    assert (split[::2] == split[1::2]).all() and np.unique(split, return_counts=True)[1].max() < 50_000 / 15
+    assert (s._split(windows, windows, (deals[:1], parts[:1])) == windows).all()
+
+
+def test_tasks_compare_whole_deals(monkeypatch):
+    monkeypatch.setattr(s, "HELD_BYTES", 500)
+    deals = sorted([1] * 3 + [1_000] * 200 + [-5] * 4 + list(range(10, 90)))
+    rows = [s._rows([[d], [i], [0], [0], [1], [b"1234567"]]) for i, d in enumerate(deals)]
+    tables = list(s._complete(iter([rows[0].slice(0, 0), *rows])))
+    assert [x for t in tables for x in t.column("doc_id").to_pylist()] == list(range(len(deals)))
+    seen = [set(t.column("deal").to_pylist()) for t in tables]
+    assert len(tables) > 5 and sum(map(len, seen)) == len(set(deals))
 
 
 ITEMS = [(1, prose(2, 80)), (2, prose(9, 12)), (10, "one"), (3, None), (4, ""), (5, " ., "), (None, prose(3, 40)), (6, prose(9, 12)), (6, "x y z"), (7, prose(1, 30_000)[-400:])]
