@@ -33,6 +33,14 @@ def s1(t: Tables):
         text.content_hash(F.col("content")).alias("content_hash"))
 
 
+@query("s1_read_page_packs", "SELECT page_id, sha256(html) AS content_hash, CAST(strlen(html) AS INT) AS n_bytes FROM pages")
+def s1_packs(t: Tables):
+    path = new_path(t.spark, "landed")
+    landing.write_page_packs(t.pages, path, "page_id", "html")
+    return landing.read_page_packs(t.spark, path, "page_id", "html").select(
+        "page_id", text.content_hash(F.col("html")).alias("content_hash"), F.octet_length("html").alias("n_bytes"))
+
+
 SNAPSHOT_SQL = r"""'pages/' || CASE WHEN q = '' THEN p ELSE
     regexp_replace(p, '\.md$', '') || '__' || regexp_replace(q, '[^A-Za-z0-9=_-]', '_', 'g') || '.md' END"""
 URL_PARTS = r"""SELECT *, regexp_replace(regexp_extract(url,

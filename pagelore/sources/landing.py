@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,6 +13,9 @@ from pagelore.functions import text
 from pagelore.operators import chunking
 from pagelore.operators.ranking import row_ids
 
+PACK_BYTES = 16 << 20   # texts in one file of packed pages
+DEAL_PACKS = 4          # packs that one task writes, on average
+
 
 def read_raw_pages(spark: SparkSession, path: str) -> DataFrame:
     """One row per landed file: ``file, content``, the text as it was written."""
@@ -19,6 +23,55 @@ def read_raw_pages(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
 
 
+def write_page_packs(pages: DataFrame, path: str, key: str = "url", content: str = "content",
+                     pack_bytes: int = PACK_BYTES) -> None:
+    """Land many pages a file (S1): ``path/packs`` holds their exact texts one after another,
+    ``path/places`` where each begins and how many bytes it has.
+
+    Pages are dealt by a hash of their key, and a deal is cut by its running bytes, so a pack
+    exceeds ``pack_bytes`` by less than one page and the number of files follows the bytes,
+    whatever the number of pages. A page without text takes a place of no length; equal keys stay
+    apart. ``path`` must be new: places are written last, and a folder without them has not landed.
+    """
+    size = F.coalesce(F.octet_length(content), F.lit(0)) + 1   # the writer ends every text with a line feed
+    total = pages.agg(F.sum(size)).first()[0] or 0
+    deals = max(1, ceil(total / (DEAL_PACKS * pack_bytes)))
+    ready = pages.select(
+        F.col(key).alias("key"), F.col(content).alias("value"), size.cast("long").alias("size"),
+        F.octet_length(content).alias("n_bytes"), F.xxhash64(content).alias("tie"),
+        F.pmod(F.xxhash64(key), F.lit(deals)).cast("int").alias("deal"))
+    order = ["key", "tie"]   # equal rows have equal sizes, so any order among them is the same
+    before = F.coalesce(F.sum("size").over(
+        W.partitionBy("deal").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("before", before).withColumn("pack", F.floor(F.col("before") / pack_bytes).cast("int"))
+
+    placed(ready).sortWithinPartitions("deal", "pack", *order).select("value", "deal", "pack").write.partitionBy(
+        "deal", "pack").text(f"{path}/packs")
+    first = F.min("before").over(W.partitionBy("deal", "pack"))
+    placed(ready.drop("value")).select(
+        "key", "deal", "pack", (F.col("before") - first).cast("int").alias("at"), "n_bytes").write.parquet(f"{path}/places")
+
+
+def read_page_packs(spark: SparkSession, path: str, key: str = "url", content: str = "content",
+                    wanted: Column | None = None) -> DataFrame:
+    """The pages of :func:`write_page_packs`, ``key, content``. ``wanted``, a condition on the
+    column named ``key``, leaves out packs that hold none of the pages asked for."""
+    places = spark.read.parquet(f"{path}/places").withColumnRenamed("key", key)
+    if wanted is not None:
+        places = places.where(wanted)
+    packs = spark.read.format("binaryFile").load(f"{path}/packs")
+    if "deal" not in packs.columns:   # nothing landed
+        return places.select(key, F.lit(None).cast("string").alias(content))
+    packs = packs.select("deal", "pack", F.col("content").alias("bytes"))
+    held = places.groupBy("deal", "pack").agg(F.collect_list(F.struct(F.col(key).alias("key"), "at", "n_bytes")).alias("pages"))
+    texts = F.transform("pages", lambda p: F.struct(
+        p["key"].alias("key"), F.substring(F.col("bytes"), p["at"] + 1, p["n_bytes"]).cast("string").alias("content")))
+    return packs.join(held, ["deal", "pack"]).select(F.explode(texts).alias("p")).select(
+        F.col("p.key").alias(key), F.col("p.content").alias(content))
+
+
 def write_raw_snapshot(pages: DataFrame, path: str, run_stamp: str) -> None:
     """Keep the exact fetched texts of one run, next to the earlier runs."""
     pages.select(

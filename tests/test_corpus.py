@@ -172,3 +172,21 @@ def test_many_headings_in_one_index_take_linear_time(spark):
     got = [(r["pos"], r["line"], r["is_heading"], r["section"], r["section_pos"])
            for r in linkindex.index_lines(docs).where("doc_id = 4").orderBy("pos").collect()]
     assert got == [(0, "intro", False, "", None), (1, "## a", True, "a", 1), (2, "x", False, "a", 1), (3, "##  ", True, "", 3), (4, "## b", True, "b", 4)]
+
+
+def test_pages_land_in_packs(spark, tmp_path):
+    rows = [(f"u{i % 280}", "é\n" * (i % 7) + f"text {i % 290}\r\n") for i in range(300)] + [("none", None), ("empty", ""), ("long", "x" * 5_000)]
+    pages = spark.createDataFrame(rows + rows[:1], "url string, content string").repartition(5)
+    where = str(tmp_path / "landed")
+    landing.write_page_packs(pages, where, pack_bytes=1_000)
+    got = landing.read_page_packs(spark, where)
+    assert sorted(map(str, got.collect())) == sorted(map(str, pages.collect()))
+    files = list((tmp_path / "landed" / "packs").rglob("part-*"))
+    total = sum(f.stat().st_size for f in files)
+    assert len(files) <= 2 * total / 1_000 + 2
+    assert sorted(f.stat().st_size for f in files)[-2] < 1_000 + 60
+    some = landing.read_page_packs(spark, where, wanted=F.col("url").isin("u3", "none"))
+    assert sorted(map(str, some.collect())) == sorted(str(r) for r in pages.collect() if r["url"] in ("u3", "none"))
+    nothing = str(tmp_path / "nothing")
+    landing.write_page_packs(pages.limit(0), nothing)
+    assert landing.read_page_packs(spark, nothing).count() == 0
