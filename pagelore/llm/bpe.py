@@ -262,10 +262,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", to: str = "ids") -> D
     """``docs`` with the ids of ``text`` in ``to``: little-endian unsigned 32-bit integers.
 
     Null texts are encoded as empty ones; the tokens of special strings in a text are
-    theirs; other columns stay, and a column called ``to`` must not exist yet.
+    theirs; other columns stay. If there is a column ``to`` already, the new one gets underscores.
     """
-    if to.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"column {to} exists already")
+    to = spare(docs, to)
     source = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def work():
@@ -277,8 +276,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", to: str = "ids") -> D
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ``ids`` in ``to``; null ids give an empty text."""
-    if to.lower() in {c.lower() for c in encoded.columns}:
-        raise ValueError(f"column {to} exists already")
+    to = spare(encoded, to)
     source = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def work():

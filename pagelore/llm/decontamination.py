@@ -131,11 +131,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
     Words are runs of letters, digits and characters beyond ASCII, A-Z in lower case. Null
     texts have no words; items without an id or without words match nothing; an id that
-    comes more than once counts once; an empty benchmark hits nothing.
+    comes more than once counts once; an empty benchmark hits nothing. A column that
+    ``docs`` has already keeps its name, and the new one gets underscores at its end.
     """
-    names, added = docs.columns, ["n_words", "hit_spans", "item_ids"]
-    if {c.lower() for c in names} & set(added):
-        raise ValueError(f"docs has a column of {added} already")
+    names, added = docs.columns, [spare(docs, c) for c in ("n_words", "hit_spans", "item_ids")]
     spark = docs.sparkSession
     windows = saved(item_windows(benchmark, item_id, item_text, width, gram), "windows")
     total = windows.count()

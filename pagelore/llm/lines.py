@@ -96,8 +96,10 @@ def remove_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     earlier too, in a smaller id or above in the same text; the first copy stays. With
     ``long_words``, a single line of that many words goes by itself in the same way. An empty
     text is one empty line; a null text stays null with no lines; rows without an id stay
-    whole and count for no other; repeated rows get the same result.
+    whole and count for no other; repeated rows get the same result. If ``docs`` has a column
+    ``spans`` or ``lines`` already, it stays and the new one gets underscores at its end.
     """
+    spans, lines = spare(docs, spans), lines and spare(docs, lines)
     id_, key = spare(docs, "doc_id_"), spare(docs, "text_key")
     more = None if long_words is None else long_later_copies(docs, doc_id, text, long_words)
     copies = later_copies(repeated_runs(docs, doc_id, text, min_lines), min_lines, more).select(

@@ -157,9 +157,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", to: str = "score") -> DataFrame:
     """``docs`` with the voted score of each whole text; null counts as empty, and a missing
-    model scores 0.5. Texts are read and scored where they are; nothing is shuffled."""
-    if to.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"column {to} exists already")
+    model scores 0.5. If ``docs`` has a column ``to`` already, it stays and the new one gets
+    underscores at its end. Texts are read and scored where they are; nothing is shuffled."""
+    to = spare(docs, to)
     if model is None:
         return docs.withColumn(to, F.lit(0.5))
     names, hidden = docs.columns, spare(docs, "made")

@@ -128,12 +128,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
-    """``docs`` with the probability that each whole text is toxic; null counts as empty.
+    """``docs`` with the probability that each whole text is toxic; null counts as empty. If
+    ``docs`` has a column ``to`` already, it stays and the new one gets underscores at its end.
 
     Texts are read and scored where they are; nothing is shuffled.
     """
-    if to.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"column {to} exists already")
+    to = spare(docs, to)
     names, hidden = docs.columns, spare(docs, "made")
     at = names.index(text)
     sent = docs.sparkSession.sparkContext.broadcast(model)

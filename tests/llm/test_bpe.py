@@ -61,5 +61,5 @@ def test_frames(awkward, empty, library):
         assert row["n"] == len(wanted) and row["decoded"] == library.decode(wanted, skip_special_tokens=False)
     assert bpe.encode(empty, PATH).count() == 0
     assert bpe.encode(awkward.selectExpr("text", "1 as made"), PATH).columns == ["text", "made", "ids"]
-    with pytest.raises(ValueError):
-        bpe.encode(awkward.selectExpr("text", "1 as IDS"), PATH)
+    clash = bpe.encode(awkward.selectExpr("text", "1 as IDS"), PATH)
+    assert clash.columns == ["text", "IDS", "ids_"] and clash.first()["IDS"] == 1

@@ -2,12 +2,15 @@
 
 import inspect
 import math
+import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pagelore.llm import ngrams, quality, toxicity
 from tests.llm.conftest import prose
@@ -42,14 +45,108 @@ def test_awkward_rows(tables, awkward, empty, ready, module, label):
     assert len(got) == frame.count() and all(0 <= r["score"] <= 1 for r in got)
     assert len({r["score"] for r in got if not r["text"]}) == 1
     assert module.score(empty, model).count() == 0
-    with pytest.raises(ValueError):
-        module.score(frame.withColumnRenamed("made", "Score"), model)
+    clash = module.score(frame.withColumnRenamed("made", "Score"), model)
+    assert clash.columns[2:] == ["Score", "places", "score_"] and {r["Score"] for r in clash.collect()} == {1}
     nothing = module.train(awkward, ready.createDataFrame([], f"doc_id long, {label} int"))
     assert all(r["score"] == 0.5 for r in module.score(awkward, nothing).collect())
     some = ready.createDataFrame([(i, i % 2) for i in (0, 1, 1, 5, 8, 11, 12)] + [(None, 1), (9, None)], f"doc_id long, {label} int")
     assert module.score(awkward, module.train(awkward, some)).count() == awkward.count()
 
 
+def _toxic_features(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {(w,) for w in words} | {("next", *p) for p in zip(words, words[1:])} | {("skip", *p) for p in zip(words, words[2:])}
+
+
+def test_toxicity_equals_ftrl_over_a_dictionary(ready):
+    """Features by name instead of by hash, one dictionary of state, one example at a time."""
+    rng = random.Random(5)
+    words = [prose(700 + i, 1) for i in range(12)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 9))) + (" VILE, thing" if i % 3 == 0 else "") for i in range(300)]
+    docs = ready.createDataFrame([(i, x) for i, x in enumerate([*texts, None])], "doc_id long, text string")
+    labels = ready.createDataFrame([(i, int(i % 3 == 0)) for i in range(301)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.train(docs, labels, bits=22)).collect()}
+    order = [r["doc_id"] for r in docs.orderBy(F.xxhash64("doc_id")).collect() if not _held(r["doc_id"])]
+    z, n, bias, seen = Counter(), Counter(), 0.0, 1.0
+
+    def weight(f):
+        return 0.0 if abs(z[f]) <= toxicity.L1 else -(z[f] - math.copysign(toxicity.L1, z[f])) / (
+            (toxicity.BETA + math.sqrt(n[f])) / toxicity.ALPHA + toxicity.L2)
+
+    features = [_toxic_features(x) for x in [*texts, None]]
+    for _ in range(toxicity.EPOCHS):
+        for i in order:
+            w = {f: weight(f) for f in features[i]}
+            error = 1 / (1 + math.exp(-(sum(w.values()) + bias))) - int(i % 3 == 0)
+            if abs(error) < 1e-4:
+                continue
+            for f in w:
+                z[f] += error - (math.sqrt(n[f] + error**2) - math.sqrt(n[f])) / toxicity.ALPHA * w[f]
+                n[f] += error**2
+            seen += error**2
+            bias -= 0.1 * error / math.sqrt(seen)
+    assert len({round(x, 6) for x in got.values()}) > 20
+    for i, found in enumerate(features):
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(sum(map(weight, found)) + bias))), abs=1e-9)
+
+
+def _quality_terms(text):
+    data, words = (text or "").encode(), (text or "").encode().split()
+    out = np.zeros(quality.TERMS)
+    for a, b, c in zip(data, data[1:], data[2:]):
+        h = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) % 2**32
+        h = (h ^ h >> 15) * 0x2C1B3C6D % 2**32
+        out[(h ^ h >> 13) >> 32 - quality.BITS] += 1
+    out = np.log1p(out)
+    if words:
+        for k, share in enumerate((sum(a == b for a, b in zip(words, words[1:])) / len(words), 1 - len(set(words)) / len(words))):
+            for i in range(quality.STEPS):
+                out[(1 << quality.BITS) + k * quality.STEPS + i] = share > (i + 0.5) / quality.STEPS
+    return out
+
+
+def test_quality_equals_a_full_vote(tables):
+    """Every vector is made and compared one by one; the space is that of a full decomposition."""
+    docs, labels = tables
+    docs, labels = docs.where("doc_id < 400").where("length(text) < 3000"), labels.where("doc_id < 400")
+    given = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    terms = {i: _quality_terms(x) for i, x in texts.items()}
+    learnt = [i for i in texts if given.get(i) is not None and not _held(i)]
+    grams = 1 << quality.BITS
+    rarity = np.log((1 + len(learnt)) / (1 + sum(terms[i][:grams] > 0 for i in learnt)))
+    rarity = np.append(rarity, np.full(2 * quality.STEPS, quality.STEP_WEIGHT))
+
+    def unit(x):
+        return x / max(np.linalg.norm(x), 1e-9)
+
+    def row(i):
+        x = terms[i] * rarity
+        return unit(np.append(unit(x[:grams]), x[grams:]))
+
+    matrix = np.stack([row(i) for i in learnt])
+    model = quality.train(docs, labels)
+    _, sizes, full = np.linalg.svd(matrix, full_matrices=False)
+    kept = np.linalg.norm(matrix @ model.axes) ** 2
+    assert kept >= 0.99 * (sizes[:quality.DIMS] ** 2).sum()
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    prior, same, agreed = float(np.mean([given[i] for i in learnt])), 0, 0
+    for i in texts:
+        def vote(axes, sample):
+            me = unit(row(i) @ axes)
+            near = sorted(((float(me @ v), y) for v, y in sample), reverse=True)[:quality.NEIGHBOURS]
+            weights = [max(s, 0) ** quality.POWER for s, _ in near]
+            return (sum(w * y for w, (_, y) in zip(weights, near)) + 1e-3 * prior) / (sum(weights) + 1e-3)
+
+        same += abs(got[i] - vote(model.axes, list(zip(model.vectors, model.labels)))) < 5e-3
+        if i % 4 == 0:
+            axes = full[:quality.DIMS].T
+            exact = vote(axes, [(unit(r @ axes), given[j]) for r, j in zip(matrix, learnt)])
+            agreed += (exact >= 0.3) == (got[i] >= 0.3)
+    assert same >= 0.99 * len(texts)
+    assert agreed >= 0.97 * sum(i % 4 == 0 for i in texts)
+
+
 def test_held_out_labels_are_never_learnt(tables, ready):
     docs, labels = tables
     turned = labels.selectExpr("doc_id", "if(crc32(cast(string(doc_id) as binary)) % 5 = 0, 1 - toxic, toxic) as toxic")

@@ -70,6 +70,9 @@ def test_line_dedup_of_nothing_and_of_clashing_columns(empty, awkward):
     frame = awkward.selectExpr("doc_id", "text", "1 as text_key", "2 as found", "3 as doc_id_")
     got = remove_repeated_lines(frame, to="text")
     assert got.columns == [*frame.columns, "removed_spans", "n_lines"] and got.first()["found"] == 2
+    clash = remove_repeated_lines(awkward.selectExpr("doc_id", "text", "7 as n_lines", "8 as removed_spans"), to="left_text")
+    assert clash.columns == ["doc_id", "text", "n_lines", "removed_spans", "left_text", "removed_spans_", "n_lines_"]
+    assert {(r["n_lines"], r["removed_spans"]) for r in clash.collect()} == {(7, 8)}
 
 
 def _windows_left(rows, width):
@@ -175,6 +178,9 @@ def test_decontamination(awkward, ready, block):
 def test_decontamination_of_nothing(empty, awkward, ready):
     none = ready.createDataFrame([], "item_id long, text string")
     assert d.contamination(empty, none).count() == 0
+    clash = d.contamination(awkward.selectExpr("doc_id", "text", "5 as n_words", "6 as ITEM_IDS"), none)
+    assert clash.columns == ["doc_id", "text", "n_words", "ITEM_IDS", "n_words_", "hit_spans", "item_ids_"]
+    assert {(r["n_words"], r["ITEM_IDS"]) for r in clash.collect()} == {(5, 6)}
     assert d.drop_contaminated(awkward, none).count() == awkward.count()
     frame = awkward.selectExpr("doc_id", "text", "1 as hit_spans", "2 as n_words")
     left = d.drop_contaminated(frame, ready.createDataFrame(ITEMS[:1], "item_id long, text string"))
