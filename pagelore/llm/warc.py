@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from pagelore.llm.tables import saved
 
-PER_FILE, FAN, CROWDED = 1024, 16, 1 << 16
+PER_FILE, FAN = 1024, 16
 PLACE = ["archive", "part", "position"]
 _END, _START = b"\r\n\r\n", b"WARC/1.1\r\n"
 _READ = 1 << 20
@@ -44,16 +44,17 @@ def archived(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     ``stored`` is what to write in place of the page, without a change of its place.
 
     Archives are ranges of ``per_file`` ids; null ids share archive -1. Where ids repeat, an
-    archive is split by a hash of its rows into ``part``s, so none grows without bound.
+    archive is split by a hash of its rows into ``part``s of about ``per_file`` records, however
+    large the table is.
     """
+    in_archive = F.coalesce(F.floor(F.col(page_id) / per_file).cast("long"), F.lit(-1))
     rows = pages.select(
-        F.coalesce(F.floor(F.col(page_id) / per_file).cast("long"), F.lit(-1)).alias("archive"), F.col(page_id).alias("page_id"),
+        in_archive.alias("archive"), F.col(page_id).alias("page_id"),
         F.xxhash64(F.col(url), F.col(html)).alias("tie"), record_text(F.col(page_id), F.col(url), F.col(html) if stored is None else stored).alias("value"))
-    counts = rows.groupBy("archive").count()
-    limit = max(per_file, (counts.agg(F.sum("count")).first()[0] or 0) // CROWDED)
-    # fewer than CROWDED archives can hold more than that part of all rows
-    crowded = counts.where(F.col("count") > limit).select("archive", F.ceil(F.col("count") / limit).cast("int").alias("parts"))
-    return rows.join(F.broadcast(crowded), "archive", "left").withColumn(
+    counts = pages.groupBy(in_archive.alias("archive")).count().where(F.col("count") > per_file)
+    # written, so that its size is known where the join is planned: broadcast only if it is small
+    crowded = saved(counts.select("archive", F.ceil(F.col("count") / per_file).cast("int").alias("parts")), "crowded")
+    return rows.join(crowded, "archive", "left").withColumn(
         "part", F.coalesce(F.pmod(F.xxhash64("page_id", "tie"), "parts").cast("int"), F.lit(0))).drop("parts")
 
 

@@ -124,3 +124,11 @@ def test_records_of_damaged_streams():
     assert b"".join(r for _, r in found) == longer and [r for _, r in found][1] == record and [r for _, r in found][3] == record
     assert list(warc.split_records(iter([]))) == [] and list(warc.split_records(iter([b"junk"]))) == [(0, b"junk")]
     assert b"".join(warc.inflated(b"\x1f\x8bbroken")) == b""
+
+
+def test_parts_of_an_archive_do_not_depend_on_the_table(ready):
+    crowd = ready.range(40).selectExpr("3L as page_id", "concat('u', id) as url", "'x' as html")
+    more = crowd.unionByName(ready.range(8, 800).selectExpr("id as page_id", "'u' as url", "'y' as html"))
+    alone, among = (warc.archived(x, per_file=8).where("archive = 0") for x in (crowd, more))
+    assert sorted(map(str, alone.collect())) == sorted(map(str, among.collect()))
+    assert among.select("part").distinct().count() == 5
