@@ -32,6 +32,26 @@ OUT_ROWS = 128
 REMEMBERED = 60_000
 WORDS_AT_ONCE, BLOCK = 1 << 16, 1 << 15
 NO_RANK = np.iinfo(np.int32).max
+# Capital letters that Unicode got after version 15.1, and their small letters.
+LATER_CAPITALS = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)},   # Garay
+    **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},   # Beria Erfe
+}
+# First and last of the letters that came with Unicode 16, the version whose letters make words.
+LETTERS_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85),
+    (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5),
+    (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA),
+    (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+
+
+def later_letters() -> frozenset[str]:
+    """What the pattern library takes for a letter and Unicode 16 does not."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    new = {c for c in regex.findall(r"\p{L}", every) if unicodedata.category(c) == "Cn"}
+    return frozenset(new.difference(chr(c) for first, last in LETTERS_16 for c in range(first, last + 1)))
 
 
 def byte_symbols() -> list[str]:
@@ -88,6 +108,8 @@ class Vocabulary:
         self.special = {text: np.array([i], "<u4").tobytes() for text, i in special.items()}
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
         self.words = regex.compile(steps[0]["pattern"]["Regex"])
+        self.later = later_letters()
+        self.as_symbols = dict.fromkeys(map(ord, self.later), "\uE000")
         symbols = byte_symbols()
         self.first = np.array([ids[s] for s in symbols], np.int64)
         self.last = np.array([ids[s + self.suffix] for s in symbols], np.int64)
@@ -176,8 +198,15 @@ class Vocabulary:
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # str.lower() has another letter for it at the end of a word
                 text = text.replace("Σ", "σ")
+            text = text.translate(LATER_CAPITALS)
         return text.lower()
 
+    def split(self, text: str) -> list[str]:
+        """The words of a stretch. Letters too new to join words are symbols where it is split."""
+        if text.isascii() or self.later.isdisjoint(text):
+            return self.words.findall(text)
+        return [text[m.start():m.end()] for m in self.words.finditer(text.translate(self.as_symbols))]
+
     def pieces(self, text: str) -> Iterator[str | list[str]]:
         """A special string, or the words of a stretch between them. Long stretches are taken in
         parts that begin at a space, where neither a word nor a composed letter can join."""
@@ -189,7 +218,7 @@ class Vocabulary:
             while at < len(stretch):
                 end = stretch.find(" ", at + PIECE_CHARS)
                 end = len(stretch) if end < 0 else end
-                yield self.words.findall(self.normal(stretch[at:end]))
+                yield self.split(self.normal(stretch[at:end]))
                 at = end
 
     def encode(self, texts: list[str]) -> list[bytes]:

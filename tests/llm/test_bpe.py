@@ -35,6 +35,11 @@ def test_random_texts_are_encoded_as_by_the_library(library, own):
     _same(library, own, ["".join(rng.choice(pool) for _ in range(rng.randint(0, 40))) for _ in range(3000)])
 
 
+def test_every_character_is_encoded_as_by_the_library(library, own):
+    known = [chr(c) for c in range(0x34000) if not 0xD800 <= c < 0xE000]   # no letters beyond
+    _same(library, own, ["".join(f"a{c}1 {c}b" for c in known[i:i + 512]) for i in range(0, len(known), 512)])
+
+
 def test_long_texts_in_parts_and_a_small_memory(library, own, monkeypatch):
     monkeypatch.setattr(bpe, "PIECE_CHARS", 50)
     monkeypatch.setattr(bpe, "REMEMBERED", 20)
