@@ -3,15 +3,18 @@
 A line's id is its rank among the distinct repeated lines. Ranks of blocks of 1, 2, 4, …
 lines come from pairs of ranks of half the length: distinct pairs are counted, range
 sorted and numbered, and met again by the positions that have them. Only positions whose
-block repeats go on, so each round is smaller than the last; a block with one occurrence
-is a suffix that is unique already. The order is needed to the depth of ``min_lines``
-only: suffixes whose longest common prefix is at least that form one interval there,
-and every longer common prefix is a row of such intervals at successive lines.
+block repeats go on, so each round is no larger than the last, and rounds end when no rank
+repeats: every suffix is then told from every other.
+
+Equal ranks of a round are an interval of suffixes whose common prefix has at least that
+many lines. The first place of an interval stays, the others are later copies; the greatest
+round in which a place is one tells how far its copy reaches at least, and the reaches of
+all places together are the maximal runs to remove.
 
 Hot lines are counted where they are read, and joins are between many positions and one row
-per distinct pair or place. All positions of a hot line meet the line's one row in the same
-shuffle partition unless the rows with ranks are few enough to be broadcast; beyond that the
-adaptive join splits the partition.
+per distinct pair or place. A rank that holds more than 1/4096 of all ranked positions comes
+from a broadcast table, of fewer than 4,096 rows therefore, and its positions are dealt by
+place; so no task of a join holds a larger share of one rank.
 
 A passage kept as one long line has no second line to pair with; lines of ``long_words``
 words and more are therefore taken for runs by themselves.
@@ -19,6 +22,9 @@ words and more are therefore taken for runs by themselves.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,14 +33,37 @@ from pagelore.llm.tables import dropped, saved, spare
 MIN_LINES = 2
 #: Words from which the query and the pipeline take a single line for a passage.
 LONG_WORDS = 50
+#: A rank with more than this part of all ranked positions is hot.
+CROWD = 4096
 _PLACE = ["doc_id", "text_key", "pos"]
 
 
-def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` whose ``keys`` repeat, with the order-preserving rank of the keys instead."""
-    names = rows.groupBy(*keys).count().where("count > 1").select(*keys).orderBy(*keys)
-    numbered = saved(names.withColumn("place", F.monotonically_increasing_id()), "ranks")
-    ranked = saved(rows.join(numbered, keys).select(*_PLACE, F.col("place").alias("rank")), "suffixes")
+def _ranked(rows: DataFrame, keys: list[str], firsts: bool) -> DataFrame | None:
+    """``rows`` whose ``keys`` repeat, with the order-preserving rank of the keys instead, and,
+    if ``firsts``, whether a place is ``later`` than another one of its rank. None repeat: None."""
+    place = F.struct(*_PLACE)
+    found = [F.count(F.lit(1)).alias("n"), *([F.min(place).alias("first")] if firsts else [])]
+    names = rows.groupBy(*keys).agg(*found).where("n > 1").orderBy(*keys)
+    numbered = saved(names.withColumn("name", F.monotonically_increasing_id()), "ranks")
+    total = numbered.agg(F.sum("n")).first()[0]
+    if total is None:
+        return None
+    hot = F.col("n") * CROWD > total
+
+    def named(some: DataFrame, prefix: str) -> DataFrame:
+        return some.select(*(F.col(c).alias(prefix + c) for c in some.columns if c != "n"))
+
+    known, rest = named(numbered.where(hot), "hot_"), named(numbered.where(~hot), "all_")
+    met = rows.join(F.broadcast(known), [F.col(k) == F.col(f"hot_{k}") for k in keys], "left")
+    # a position of a hot rank looks for a negative hash of its place: it lies anywhere and meets nothing
+    anywhere = [F.xxhash64(*_PLACE, F.lit(i)).bitwiseOR(F.lit(-1 << 63)) for i in range(len(keys))]
+    met = met.select(
+        *_PLACE, "hot_name", *([(place > F.col("hot_first")).alias("hot_later")] if firsts else []),
+        *(F.when(F.col("hot_name").isNull(), F.col(k)).otherwise(a).alias(k) for k, a in zip(keys, anywhere)))
+    met = met.join(rest, [F.col(k) == F.col(f"all_{k}") for k in keys], "left")
+    rank = F.coalesce("hot_name", "all_name")
+    later = [F.coalesce("hot_later", place > F.col("all_first")).alias("later")] if firsts else []
+    ranked = saved(met.where(rank.isNotNull()).select(*_PLACE, rank.alias("rank"), *later), "suffixes")
     dropped(numbered)
     return ranked
 
@@ -50,20 +79,24 @@ def line_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     return lines.select(*_PLACE, first.alias("h1"), F.xxhash64(F.lit(7), F.reverse("col"), first).alias("h2"))
 
 
-def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_id, text_key, pos, rank): places where a run of ``min_lines`` lines begins that
+def suffix_ranks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                 min_lines: int = MIN_LINES) -> Iterator[tuple[int, DataFrame]]:
+    """For spans of ``min_lines`` lines and twice, four times, … as many, until none repeats: the span
+    and (doc_id, text_key, pos, rank, later) of the places where a run of so many lines begins that
     begins elsewhere too. Equal ranks are equal runs, and ranks follow the suffix order."""
     if min_lines < 1:
         raise ValueError("min_lines must be at least 1")
-    now, span = _ranked(line_places(docs, doc_id, text), ["h1", "h2"]), 1
-    while span < min_lines:
-        step = min(span, min_lines - span)
+    now, span = _ranked(line_places(docs, doc_id, text), ["h1", "h2"], min_lines == 1), 1
+    while now is not None:
+        if span >= min_lines:
+            yield span, now
+        step = span if span >= min_lines else min(span, min_lines - span)
         # repeated rows have the same places, each of which must be met once only
         after = now.select("doc_id", "text_key", (F.col("pos") - step).alias("pos"), F.col("rank").alias("next")).dropDuplicates(_PLACE)
-        longer = _ranked(now.join(after, _PLACE), ["rank", "next"])
-        dropped(now)
+        longer = _ranked(now.drop("later").join(after, _PLACE), ["rank", "next"], span + step >= min_lines)
+        if span < min_lines:
+            dropped(now)
         now, span = longer, span + step
-    return now
 
 
 def long_later_copies(docs: DataFrame, doc_id: str, text: str, long_words: int) -> DataFrame:
@@ -74,19 +107,30 @@ def long_later_copies(docs: DataFrame, doc_id: str, text: str, long_words: int)
     return lines.join(first, ["h1", "h2"]).where(place > F.col("first")).select(*_PLACE, (F.col("pos") + 1).alias("stop"))
 
 
-def later_copies(runs: DataFrame, min_lines: int = MIN_LINES, more: DataFrame | None = None) -> DataFrame:
-    """(doc_id, text_key, spans): the maximal line intervals made of runs that begin earlier too, and of ``more``."""
-    place = F.struct(*_PLACE)
-    first = runs.groupBy("rank").agg(F.min(place).alias("first"))
-    later = runs.join(first, "rank").where(place > F.col("first")).select(*_PLACE, (F.col("pos") + min_lines).alias("stop"))
-    later = (later if more is None else later.unionByName(more)).distinct()
-    by_doc = Window.partitionBy("doc_id", "text_key").orderBy("pos", "stop")
+def later_copies(copies: DataFrame) -> DataFrame:
+    """(doc_id, text_key, spans): the maximal line intervals made of (doc_id, text_key, pos, stop) runs."""
+    later = copies.groupBy(*_PLACE).agg(F.max("stop").alias("stop"))
+    by_doc = Window.partitionBy("doc_id", "text_key").orderBy("pos")
     before = F.max("stop").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     islands = later.withColumn("fresh", (F.col("pos") > F.coalesce(before, F.lit(-1))).cast("int")).withColumn("island", F.sum("fresh").over(by_doc))
     spans = islands.groupBy("doc_id", "text_key", "island").agg(F.min("pos").alias("start"), F.max("stop").alias("stop"))
     return spans.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
 
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES,
+                   long_words: int | None = None) -> DataFrame:
+    """(doc_id, text_key, spans): the maximal line intervals that stand earlier too, written as a table."""
+    rounds = list(suffix_ranks(docs, doc_id, text, min_lines))
+    copies = [ranks.where("later").select(*_PLACE, (F.col("pos") + span).alias("stop")) for span, ranks in rounds]
+    if long_words is not None:
+        copies.append(long_later_copies(docs, doc_id, text, long_words))
+    if not copies:
+        copies = [line_places(docs, doc_id, text).select(*_PLACE, F.col("pos").alias("stop")).where("false")]
+    spans = saved(later_copies(reduce(DataFrame.unionByName, copies)), "spans")
+    dropped(*(ranks for _, ranks in rounds))
+    return spans
+
+
 def remove_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES,
                           to: str = "text", spans: str = "removed_spans", lines: str | None = "n_lines",
                           long_words: int | None = None) -> DataFrame:
@@ -101,8 +145,7 @@ def remove_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     """
     spans, lines = spare(docs, spans), lines and spare(docs, lines)
     id_, key = spare(docs, "doc_id_"), spare(docs, "text_key")
-    more = None if long_words is None else long_later_copies(docs, doc_id, text, long_words)
-    copies = later_copies(repeated_runs(docs, doc_id, text, min_lines), min_lines, more).select(
+    copies = repeated_spans(docs, doc_id, text, min_lines, long_words).select(
         F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.col("spans").alias(spare(docs, "found")))
     found = spare(docs, "found")
     met = docs.withColumns({id_: F.col(doc_id), key: F.xxhash64(F.col(text))}).join(copies, [id_, key], "left")

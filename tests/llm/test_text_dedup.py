@@ -5,9 +5,9 @@ import re
 import numpy as np
 import pytest
 
-from pagelore.llm import decontamination as d
+from pagelore.llm import decontamination as d, lines
 from pagelore.llm import substrings as s
-from pagelore.llm.lines import remove_repeated_lines, repeated_runs
+from pagelore.llm.lines import remove_repeated_lines, repeated_spans, suffix_ranks
 from tests.llm.conftest import DOCS, prose
 
 
@@ -59,10 +59,37 @@ def test_long_single_lines(ready):
 
 def test_ranks_follow_equal_runs(ready):
     frame = ready.createDataFrame([(1, "a\nb\nc"), (2, "a\nb\nd"), (3, "b\nc")], "doc_id long, text string")
+    (span, found), = suffix_ranks(frame, min_lines=2)
     ranks = {}
-    for r in repeated_runs(frame, min_lines=2).collect():
-        ranks.setdefault(r["rank"], set()).add((r["doc_id"], r["pos"]))
-    assert sorted(map(sorted, ranks.values())) == [[(1, 0), (2, 0)], [(1, 1), (3, 0)]]
+    for r in found.collect():
+        ranks.setdefault(r["rank"], set()).add((r["doc_id"], r["pos"], r["later"]))
+    assert span == 2 and sorted(map(sorted, ranks.values())) == [[(1, 0, False), (2, 0, True)], [(1, 1, False), (3, 0, True)]]
+
+
+@pytest.mark.parametrize("least, crowd", [(1, 1 << 40), (2, 4096), (2, 1), (3, 4), (5, 1 << 40)])
+def test_every_round_is_the_suffix_array_to_its_depth(ready, monkeypatch, least, crowd):
+    """Ranks of all rounds against sorted suffixes, with no, some and all ranks taken for hot."""
+    monkeypatch.setattr(lines, "CROWD", crowd)
+    rng = np.random.default_rng(5)
+    texts = [["ab"[i] for i in rng.integers(0, 2, n)] for n in (1, 7, 40, 40)] + [list("abc") * 9, list("c" * 33)]
+    texts.append(texts[3])
+    frame = ready.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    depth = least
+    for span, found in suffix_ranks(frame, min_lines=least):
+        assert span == depth
+        places = {}
+        for i, t in enumerate(texts):
+            for at in range(len(t) - span + 1):
+                places.setdefault(tuple(t[at:at + span]), []).append((i, at))
+        wanted = {run: p for run, p in places.items() if len(p) > 1}
+        got = {}
+        for r in found.collect():
+            got.setdefault(r["rank"], []).append((r["doc_id"], r["pos"], r["later"]))
+        assert sorted(sorted(g) for g in got.values()) == sorted([(*x, x != p[0]) for x in p] for p in wanted.values())
+        depth *= 2
+    assert depth == max(least, 1) * 2 ** int(np.ceil(np.log2(41 / least)))
+    spans = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in repeated_spans(frame, min_lines=least).collect()}
+    assert spans[6] == [(0, 40)] and spans[5] == [(0 if least == 1 else 1, 33)]   # a c stands in text 4 too
 
 
 def test_line_dedup_of_nothing_and_of_clashing_columns(empty, awkward):
@@ -106,7 +133,7 @@ def test_substrings(awkward, ready, width):
 
 def test_repeated_rows_give_no_more_places_than_rows(ready):
     rows = [(1, "a\nb\nc", "", "", 0)] * 60 + [(2, "a\nb\nc", "", "", 0)]
-    assert repeated_runs(ready.createDataFrame(rows, DOCS), min_lines=2).count() == 61 * 2
+    assert [(n, r.count()) for n, r in suffix_ranks(ready.createDataFrame(rows, DOCS), min_lines=2)] == [(2, 61 * 2)]
 
 
 def test_substrings_of_nothing_and_of_clashing_columns(empty, awkward):
