@@ -41,7 +41,7 @@ _PLACE = ["doc_id", "text_key", "pos"]
 def _ranked(rows: DataFrame, keys: list[str], firsts: bool) -> DataFrame | None:
     """``rows`` whose ``keys`` repeat, with the order-preserving rank of the keys instead, and,
     if ``firsts``, whether a place is ``later`` than another one of its rank. None repeat: None."""
-    place = F.struct(*_PLACE)
+    place, more = F.struct(*_PLACE), [c for c in rows.columns if c not in (*_PLACE, *keys)]
     found = [F.count(F.lit(1)).alias("n"), *([F.min(place).alias("first")] if firsts else [])]
     names = rows.groupBy(*keys).agg(*found).where("n > 1").orderBy(*keys)
     numbered = saved(names.withColumn("name", F.monotonically_increasing_id()), "ranks")
@@ -58,53 +58,47 @@ def _ranked(rows: DataFrame, keys: list[str], firsts: bool) -> DataFrame | None:
     # a position of a hot rank looks for a negative hash of its place: it lies anywhere and meets nothing
     anywhere = [F.xxhash64(*_PLACE, F.lit(i)).bitwiseOR(F.lit(-1 << 63)) for i in range(len(keys))]
     met = met.select(
-        *_PLACE, "hot_name", *([(place > F.col("hot_first")).alias("hot_later")] if firsts else []),
+        *_PLACE, *more, "hot_name", *([(place > F.col("hot_first")).alias("hot_later")] if firsts else []),
         *(F.when(F.col("hot_name").isNull(), F.col(k)).otherwise(a).alias(k) for k, a in zip(keys, anywhere)))
-    met = met.join(rest, [F.col(k) == F.col(f"all_{k}") for k in keys], "left")
+    met = met.join(rest.hint("merge"), [F.col(k) == F.col(f"all_{k}") for k in keys], "left")   # it grows with the corpus
     rank = F.coalesce("hot_name", "all_name")
     later = [F.coalesce("hot_later", place > F.col("all_first")).alias("later")] if firsts else []
-    ranked = saved(met.where(rank.isNotNull()).select(*_PLACE, rank.alias("rank"), *later), "suffixes")
+    ranked = saved(met.where(rank.isNotNull()).select(*_PLACE, *more, rank.alias("rank"), *later), "suffixes")
     dropped(numbered)
     return ranked
 
 
-def line_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = 0) -> DataFrame:
+def line_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", long_words: int | None = None) -> DataFrame:
     """(doc_id, text_key, pos, h1, h2): every line of every document with an id, by a 128-bit hash;
-    or those of at least ``least_words`` words between white space."""
+    with ``long_words`` also ``long``, whether it has so many words between white space."""
     named = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     lines = named.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")))
-    if least_words:
-        lines = lines.where((F.length("col") >= 2 * least_words - 1) & (F.regexp_count("col", F.lit(r"\S+")) >= least_words))
     first = F.xxhash64("col")
-    return lines.select(*_PLACE, first.alias("h1"), F.xxhash64(F.lit(7), F.reverse("col"), first).alias("h2"))
+    long = [] if long_words is None else [
+        ((F.length("col") >= 2 * long_words - 1) & (F.regexp_count("col", F.lit(r"\S+")) >= long_words)).alias("long")]
+    return lines.select(*_PLACE, first.alias("h1"), F.xxhash64(F.lit(7), F.reverse("col"), first).alias("h2"), *long)
 
 
-def suffix_ranks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                 min_lines: int = MIN_LINES) -> Iterator[tuple[int, DataFrame]]:
-    """For spans of ``min_lines`` lines and twice, four times, … as many, until none repeats: the span
-    and (doc_id, text_key, pos, rank, later) of the places where a run of so many lines begins that
-    begins elsewhere too. Equal ranks are equal runs, and ranks follow the suffix order."""
+def _rounds(docs: DataFrame, doc_id: str, text: str, min_lines: int, long_words: int | None = None) -> Iterator[tuple[int, DataFrame]]:
+    """(span, ranks) of every round, that of single lines first."""
     if min_lines < 1:
         raise ValueError("min_lines must be at least 1")
-    now, span = _ranked(line_places(docs, doc_id, text), ["h1", "h2"], min_lines == 1), 1
+    now, span = _ranked(line_places(docs, doc_id, text, long_words), ["h1", "h2"], min_lines == 1), 1
     while now is not None:
-        if span >= min_lines:
-            yield span, now
+        yield span, now
         step = span if span >= min_lines else min(span, min_lines - span)
+        now = now.select(*_PLACE, "rank")
         # repeated rows have the same places, each of which must be met once only
         after = now.select("doc_id", "text_key", (F.col("pos") - step).alias("pos"), F.col("rank").alias("next")).dropDuplicates(_PLACE)
-        longer = _ranked(now.drop("later").join(after, _PLACE), ["rank", "next"], span + step >= min_lines)
-        if span < min_lines:
-            dropped(now)
-        now, span = longer, span + step
+        now, span = _ranked(now.join(after, _PLACE), ["rank", "next"], span + step >= min_lines), span + step
 
 
-def long_later_copies(docs: DataFrame, doc_id: str, text: str, long_words: int) -> DataFrame:
-    """(doc_id, text_key, pos, stop): lines of ``long_words`` words and more that stand earlier too."""
-    place = F.struct(*_PLACE)
-    lines = line_places(docs, doc_id, text, long_words)
-    first = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return lines.join(first, ["h1", "h2"]).where(place > F.col("first")).select(*_PLACE, (F.col("pos") + 1).alias("stop"))
+def suffix_ranks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                 min_lines: int = MIN_LINES) -> Iterator[tuple[int, DataFrame]]:
+    """For spans of ``min_lines`` lines and twice, four times, … as many, until none repeats: the span
+    and (doc_id, text_key, pos, rank, later) of the places where a run of so many lines begins that
+    begins elsewhere too. Equal ranks are equal runs, and ranks follow the suffix order."""
+    return ((span, ranks) for span, ranks in _rounds(docs, doc_id, text, min_lines) if span >= min_lines)
 
 
 def later_copies(copies: DataFrame) -> DataFrame:
@@ -120,14 +114,20 @@ def later_copies(copies: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES,
                    long_words: int | None = None) -> DataFrame:
     """(doc_id, text_key, spans): the maximal line intervals that stand earlier too, written as a table."""
-    rounds = list(suffix_ranks(docs, doc_id, text, min_lines))
-    copies = [ranks.where("later").select(*_PLACE, (F.col("pos") + span).alias("stop")) for span, ranks in rounds]
-    if long_words is not None:
-        copies.append(long_later_copies(docs, doc_id, text, long_words))
+    tables, copies = [], []
+    for span, ranks in _rounds(docs, doc_id, text, min_lines, long_words):
+        tables.append(ranks)
+        if span >= min_lines:
+            copies.append(ranks.where("later").select(*_PLACE, (F.col("pos") + span).alias("stop")))
+        elif span == 1 and long_words is not None:
+            long = _ranked(ranks.where("long").select(*_PLACE, "rank"), ["rank"], True)
+            if long is not None:
+                tables.append(long)
+                copies.append(long.where("later").select(*_PLACE, (F.col("pos") + 1).alias("stop")))
     if not copies:
         copies = [line_places(docs, doc_id, text).select(*_PLACE, F.col("pos").alias("stop")).where("false")]
     spans = saved(later_copies(reduce(DataFrame.unionByName, copies)), "spans")
-    dropped(*(ranks for _, ranks in rounds))
+    dropped(*tables)
     return spans
 
 
@@ -148,7 +148,7 @@ def remove_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     copies = repeated_spans(docs, doc_id, text, min_lines, long_words).select(
         F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.col("spans").alias(spare(docs, "found")))
     found = spare(docs, "found")
-    met = docs.withColumns({id_: F.col(doc_id), key: F.xxhash64(F.col(text))}).join(copies, [id_, key], "left")
+    met = docs.withColumns({id_: F.col(doc_id), key: F.xxhash64(F.col(text))}).join(copies.hint("merge"), [id_, key], "left")
     all_lines, cut = F.split(F.col(text), "\n"), F.col(found)
 
     def kept(i):

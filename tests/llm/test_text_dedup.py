@@ -66,7 +66,7 @@ def test_ranks_follow_equal_runs(ready):
     assert span == 2 and sorted(map(sorted, ranks.values())) == [[(1, 0, False), (2, 0, True)], [(1, 1, False), (3, 0, True)]]
 
 
-@pytest.mark.parametrize("least, crowd", [(1, 1 << 40), (2, 4096), (2, 1), (3, 4), (5, 1 << 40)])
+@pytest.mark.parametrize("least, crowd", [(1, 1 << 40), (2, 4096), (3, 1)])
 def test_every_round_is_the_suffix_array_to_its_depth(ready, monkeypatch, least, crowd):
     """Ranks of all rounds against sorted suffixes, with no, some and all ranks taken for hot."""
     monkeypatch.setattr(lines, "CROWD", crowd)
