@@ -99,3 +99,20 @@ def test_the_last_days_prune_folders_and_equal_bounds_prune_on_both_sides(spark,
     once = monitoring.in_range(spark.read.parquet(path), same, same)
     pruned = once._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
     assert [r["id"] for r in once.collect()] == [3] and ">=" in pruned and "<=" in pruned
+
+
+def test_long_texts_reach_python_in_batches_of_bounded_size(spark, tmp_path):
+    import pyarrow as pa
+
+    from pagelore.catalog.registry import Tables
+
+    path = f"{tmp_path}/documents.parquet"
+    spark.range(0, 120, 1, 1).selectExpr("id", "repeat('x', 200000) AS text").write.parquet(path)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    rows = Tables(spark, str(tmp_path)).documents.mapInArrow(sizes, "n long").collect()
+    assert max(r["n"] for r in rows) < 6 << 20 and sum(r["n"] for r in rows) > 120 * 200_000
