@@ -133,9 +133,12 @@ class StoredHistory:
         self._write_open(manifest, versioning.evolve_union(rows.join(gone, ident, "left_anti"), fresh), name, touched)
 
     def _write_open(self, manifest: _Manifest, rows: DataFrame, name: str, touched: list[str] | None) -> None:
-        """Open versions of the buckets ``touched`` (None: all) take the place of those there."""
+        """Open versions of the buckets ``touched`` (None: all) take the place of those there.
+
+        Every task writes into the buckets of its rows. Texts brought together by bucket would cross the
+        network once more, and a few buckets of any size would be sorted, each in one task."""
         columns = T.StructType.fromJson(json.loads(manifest.schema)).fieldNames()
-        rows.select(*columns, self._bucket().alias("bucket")).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/open/{name}")
+        rows.select(*columns, self._bucket().alias("bucket")).write.partitionBy("bucket").parquet(f"{self.path}/open/{name}")
         written = {n.partition("=")[2] for n in file_names(self.spark, f"{self.path}/open/{name}") if n.startswith("bucket=")}
         kept = {b: f for b, f in manifest.open.items() if touched is not None and b not in touched}
         manifest.open = kept | {b: f"open/{name}" for b in written}

@@ -90,3 +90,13 @@ def test_columns_that_come_later_and_empty_loads(spark, stored):
     assert {(r["url"], r["note"]) for r in stored.read().collect()} == {("u1", None), ("u2", None), ("u3", "more")}
     stored.merge(spark.createDataFrame([], SCHEMA), day(3))
     assert stored.current().count() == 0 and stored.read().count() == 3 and stored.as_of(day(2)).count() == 2
+
+
+def test_a_first_load_is_written_where_it_is_read(spark, tmp_path):
+    from pagelore.sources.history import StoredHistory
+
+    pages = spark.range(0, 400, 1, 4).selectExpr("CAST(id AS STRING) AS url", "'s' AS section", "'t' AS title", "repeat('x', 500) AS content")
+    kept = StoredHistory(spark, str(tmp_path / "h"), ["section", "title", "content"], buckets=2)
+    kept.merge(pages, "2024-01-01 00:00:00.000000")
+    files = list((tmp_path / "h" / "open").rglob("bucket=0/*.parquet"))
+    assert len(files) == 4 and kept.read().count() == 400   # a bucket has a file of each task that read the load
