@@ -115,9 +115,13 @@ def coerce_params(chosen: DataFrame, specs: DataFrame, keep: Sequence[str]) -> D
     name, value``. Unknown names drop out, bad values become the default, numbers
     are clamped. ``specs`` is the fixed table of :func:`flow_param_specs`."""
     given = F.from_json("sandbox_params", "map<string,variant>")
-    rows = chosen.where(F.col("sandbox_flow").isNotNull()).select(
-        *keep, "sandbox_flow", given.alias("given")
-    ).join(F.broadcast(specs), "sandbox_flow")
+    rules = specs.groupBy("sandbox_flow").agg(F.collect_list(F.struct(*[
+        c for c in specs.columns if c != "sandbox_flow"])).alias("rules"))
+    # An outer join and explode: a condition on the flow would be moved to the scan, with all of the parsing in it.
+    rows = chosen.select(*keep, "sandbox_flow", given.alias("given")).join(
+        F.broadcast(rules), "sandbox_flow", "left").select(
+        *keep, "sandbox_flow", "given", F.explode_outer("rules").alias("rule")).where("rule is not null").select(
+        *keep, "sandbox_flow", "given", "rule.*")
     rows = rows.withColumn("raw", F.try_element_at("given", F.col("name")))
     number = jv.whole_number(F.col("raw"))
     # greatest and least skip NULLs, a missing number must stay missing

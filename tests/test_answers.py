@@ -241,3 +241,16 @@ def test_answer_batch(spark, tmp_path):
         spark.read.parquet(cache), silent, vectors.hashed_term_encoder(8)).collect()}
     assert {q: r["answer"] for q, r in again.items()} == {q: r["answer"] for q, r in out.items() if q not in (5, 6)}
     assert again[1]["cached"] and json.loads(again[1]["router"])["usage"]["cached"]
+
+
+def test_parameters_are_coerced_after_one_parse_of_a_reply(spark):
+    from pagelore.catalog import answers
+    from pagelore.catalog.registry import Tables
+
+    rows = answers.q6(Tables(spark, "/root/testdata/sf0.001"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson") + plan.lower().count("parse_json") == 1
+    assert rows.count() > 0
+    odd = spark.createDataFrame([(1, None, "{}"), (2, "no_flow", "{}"), (3, "declined_card", None)],
+                                "qid long, sandbox_flow string, sandbox_params string")
+    assert {r["qid"] for r in qa.coerce_params(odd, qa.flow_param_specs(spark), ["qid"]).collect()} == {3}
