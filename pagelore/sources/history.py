@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelore.operators import versioning
+from pagelore.operators import sieve, versioning
 from pagelore.session import file_names, materialize, read_text, remove_folder, write_text
 
 NTZ = "timestamp_ntz"
@@ -110,27 +110,30 @@ class StoredHistory:
         self.sweep()
 
     def _change(self, manifest: _Manifest, incoming: DataFrame, versioned: DataFrame, moment: Column, when: str, name: str) -> None:
-        """Writes the versions that end and the buckets in which something changes."""
+        """Writes the versions that end and the buckets in which something changes.
+
+        Texts stay where they are read, however many change: only keys and hashes are shuffled."""
         ident = [self.key, "row_hash"]
         before = self._open(manifest).select(*ident, "valid_from", F.lit(True).alias("was"))
         now = versioned.select(*ident, F.lit(True).alias("is"))
         kind = F.when(F.col("is").isNull(), "close").when(F.col("was").isNull(), "open")
         changes = materialize(before.join(now, ident, "full_outer").select(*ident, "valid_from", self._bucket().alias("bucket"), kind.alias("kind"))
                               .where("kind IS NOT NULL"), "changes")
-        touched, start = changes.agg(F.collect_set(F.col("bucket").cast("string")), F.min("valid_from").cast("string")).first()   # at most buckets
+        closes, opens = (F.count(F.when(F.col("kind") == k, 1)) for k in ("close", "open"))
+        touched, start, closes, opens = changes.agg(   # at most buckets
+            F.collect_set(F.col("bucket").cast("string")), F.min("valid_from").cast("string"), closes, opens).first()
         if not touched:
             return
-        rows = self._open(manifest, touched)
-        gone = changes.where("kind = 'close'").select(*ident)
+        gone, opening = (changes.where(F.col("kind") == k).select(*ident) for k in ("close", "open"))
+        ended, staying = sieve.split(self._open(manifest, touched), gone, closes, before, ident)
         if start is not None:
-            rows.join(gone, ident, "left_semi").withColumn("valid_to", moment).write.parquet(f"{self.path}/closed/{name}")
+            ended.withColumn("valid_to", moment).write.parquet(f"{self.path}/closed/{name}")
             manifest.closed.append([f"closed/{name}", _full(start), when])
-        # a page is hashed again only where its key is among those that open
-        opening = changes.where("kind = 'open'").select(*ident)
-        mine = incoming.join(opening.select(self.key).distinct(), self.key, "left_semi")
-        fresh = versioning.with_row_hash(mine, self.cols).join(opening, ident, "left_semi").withColumns(
+        if opens <= sieve.BROADCAST_ROWS:   # a page is hashed again only where its key is among those that open
+            incoming = incoming.join(F.broadcast(opening.select(self.key).distinct()), self.key, "left_semi")
+        fresh = sieve.split(versioning.with_row_hash(incoming, self.cols), opening, opens, before, ident)[0].withColumns(
             {"valid_from": moment, "valid_to": F.lit(None).cast(NTZ)})
-        self._write_open(manifest, versioning.evolve_union(rows.join(gone, ident, "left_anti"), fresh), name, touched)
+        self._write_open(manifest, versioning.evolve_union(staying, fresh), name, touched)
 
     def _write_open(self, manifest: _Manifest, rows: DataFrame, name: str, touched: list[str] | None) -> None:
         """Open versions of the buckets ``touched`` (None: all) take the place of those there.

@@ -100,3 +100,45 @@ def test_a_first_load_is_written_where_it_is_read(spark, tmp_path):
     kept.merge(pages, "2024-01-01 00:00:00.000000")
     files = list((tmp_path / "h" / "open").rglob("bucket=0/*.parquet"))
     assert len(files) == 4 and kept.read().count() == 400   # a bucket has a file of each task that read the load
+
+
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_a_merge_of_many_changes_moves_no_text(spark, stored, monkeypatch, few):
+    from pagelore.operators import sieve
+
+    monkeypatch.setattr(sieve, "BROADCAST_ROWS", few)   # 0: every set of changes is large
+    monkeypatch.setattr(sieve, "KEYS_A_PART", 300)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    written, write = [], StoredHistory._write_open
+
+    def watch(self, manifest, rows, name, touched):
+        written.append(rows._jdf.queryExecution().executedPlan().toString())
+        write(self, manifest, rows, name, touched)
+
+    monkeypatch.setattr(StoredHistory, "_write_open", watch)
+    try:
+        whole, rng = None, random.Random(2)
+        for n in range(1, 4):
+            pages = [page(i, rng.choice("ab")) for i in range(1500) if rng.random() < 0.8]
+            load = spark.createDataFrame(pages + [(None, "s", "t", f"c{n}")], SCHEMA)
+            stored.merge(load, day(n))
+            whole = versioning.first_load(load, ntz(n), COLS) if whole is None else versioning.scd2_merge(whole, load, ntz(n), COLS)
+            assert rows(stored.read().where("url IS NOT NULL")) == rows(whole.where("url IS NOT NULL"))
+            assert rows(stored.current().where("url IS NULL")) == rows(stored.read().where("url IS NULL"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [line for plan in written for line in plan.splitlines() if "SortMergeJoin" in line or "ShuffledHashJoin" in line]
+    assert len(written) == 3 and not moved
+
+
+def test_a_split_by_bitmaps_is_exact_though_other_keys_pass(spark, monkeypatch):
+    from pagelore.operators import sieve
+
+    monkeypatch.setattr(sieve, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(sieve, "KEYS_A_PART", 20_000)   # crowded bitmaps: almost every key passes
+    keys = spark.range(0, 20_000).selectExpr("CAST(id AS INT) AS a", "CAST(id % 7 AS STRING) AS b")
+    every = spark.range(0, 30_000).selectExpr("id AS a", "CAST(id % 7 AS STRING) AS b", "id * 2 AS c").unionByName(
+        spark.sql("SELECT CAST(NULL AS BIGINT) AS a, '1' AS b, -1L AS c"))
+    inside, outside = sieve.split(every, keys.unionByName(keys), 40_000, every, ["a", "b"])
+    assert sorted(r["c"] for r in inside.collect()) == list(range(0, 40_000, 2))
+    assert sorted(r["c"] for r in outside.collect()) == [-1, *range(40_000, 60_000, 2)]
