@@ -1,4 +1,4 @@
-"""Splits rows by whether their key is in a set, without moving the rows.
+"""Marks rows whose key is in a set, without moving the rows.
 
 A set too large to broadcast would be met by a shuffle of whole rows, texts included. Here such a set
 is spread over bitmaps (a Bloom filter in parts of 4 KB, 2 bytes a key), and these are broadcast. Keys
@@ -56,22 +56,27 @@ def _passes(rows: DataFrame, maps: DataFrame, key: Sequence[str], parts: int) ->
         *rows.columns, F.coalesce(maybe, F.lit(False)).alias("__maybe"))
 
 
-def split(rows: DataFrame, chosen: DataFrame, count: int, known: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """``rows`` whose ``key`` is among the ``count`` rows of ``chosen``, and the others.
+def mark(rows: DataFrame, chosen: DataFrame, count: int, known: DataFrame, key: Sequence[str], name: str) -> DataFrame:
+    """``rows`` with a column ``name``: whether their ``key`` is among the ``count`` rows of ``chosen``.
 
     ``known`` has the key of every row that is not chosen, and may have more. A key with a null is never chosen."""
-    key = list(key)
+    key, found = list(key), F.col("__found").isNotNull()
     if count <= BROADCAST_ROWS:
-        few = F.broadcast(chosen)
-        return rows.join(few, key, "left_semi"), rows.join(few, key, "left_anti")
+        few = chosen.select(*key).distinct().withColumn("__found", F.lit(True))
+        return rows.join(F.broadcast(few), key, "left").select(*rows.columns, found.alias(name))
     parts = min(ceil(count / KEYS_A_PART), PARTS)
     maps = _bitmaps(chosen.dropna(subset=key), key, parts)
     wrong = materialize(_passes(known.select(*key), maps, key, parts).where("__maybe").select(*key).join(
-        chosen, key, "left_anti").dropna().distinct().withColumn("__wrong", F.lit(True)), "wrong")
+        chosen, key, "left_anti").dropna().distinct().withColumn("__found", F.lit(True)), "wrong")
     if wrong.count() <= BROADCAST_ROWS:
         wrong = F.broadcast(wrong)
-    marked = _passes(rows, maps, key, parts).join(wrong, key, "left")
-    inside = F.col("__maybe") & F.col("__wrong").isNull()
-    for name in key:
-        inside = inside & F.col(name).isNotNull()
-    return tuple(marked.where(which).select(*rows.columns) for which in (inside, ~inside))
+    inside = F.col("__maybe") & ~found
+    for k in key:
+        inside = inside & F.col(k).isNotNull()
+    return _passes(rows, maps, key, parts).join(wrong, key, "left").select(*rows.columns, inside.alias(name))
+
+
+def split(rows: DataFrame, chosen: DataFrame, count: int, known: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows that :func:`mark` marks, and the others."""
+    marked = mark(rows, chosen, count, known, key, "__inside")
+    return marked.where("__inside").drop("__inside"), marked.where("NOT __inside").drop("__inside")

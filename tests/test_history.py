@@ -142,3 +142,26 @@ def test_a_split_by_bitmaps_is_exact_though_other_keys_pass(spark, monkeypatch):
     inside, outside = sieve.split(every, keys.unionByName(keys), 40_000, every, ["a", "b"])
     assert sorted(r["c"] for r in inside.collect()) == list(range(0, 40_000, 2))
     assert sorted(r["c"] for r in outside.collect()) == [-1, *range(40_000, 60_000, 2)]
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_the_second_load_is_that_of_a_join_and_moves_no_text(spark, tmp_path, monkeypatch, twice):
+    from pagelore.catalog import views
+    from pagelore.catalog.registry import Tables
+    from pagelore.operators import sieve
+
+    monkeypatch.setattr(sieve, "BROADCAST_ROWS", 0)
+    spark.range(0, 300).selectExpr("nullif(id, 250) AS doc_id", "concat('t', id) AS text", "if(id % 3 = 0, 'fr', 'en') AS lang", "'s' AS source").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    spark.range(0, 300, 2).selectExpr("nullif(id, 200) AS doc_id", "CAST(nullif(id % 5, 4) AS INT) AS toxic", "CAST(nullif(id % 7, 6) AS INT) AS quality").unionAll(
+        spark.sql("SELECT 5L, 0, 0 WHERE " + str(twice).lower() + " UNION ALL SELECT 5L, 0, 1")).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.sql("SELECT 1L AS page_id, 'u' AS url, 'h' AS html").write.parquet(f"{tmp_path}/pages.parquet")
+    t = Tables(spark, str(tmp_path))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = views.load_2(t)
+        wanted = t.documents.join(t.labels, "doc_id", "left").where("coalesce(toxic, 0) = 0").selectExpr(*views.LOAD_2)
+        assert sorted(map(str, got.collect())) == sorted(map(str, wanted.unionByName(t.pages.selectExpr(*views.WEB)).collect()))
+        assert twice or "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
