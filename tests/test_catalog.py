@@ -31,6 +31,16 @@ def test_query_agrees_with_sql(spark, duck, name):
     assert compare(spark, duck, SF, name) == ""
 
 
+@pytest.mark.parametrize("name", ["v4_as_of", "v5_drift_by_section"])
+def test_history_agrees_with_sql_where_changes_are_marked_by_bitmaps(spark, duck, monkeypatch, name):
+    from pagelore.operators import sieve
+
+    made, bitmaps = [], sieve._bitmaps
+    monkeypatch.setattr(sieve, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(sieve, "_bitmaps", lambda *args: made.append(1) or bitmaps(*args))
+    assert compare(spark, duck, SF, name) == "" and len(made) >= 4   # labels, versions that end, pages that open
+
+
 def test_registered_approximate_search_is_whole_and_near_the_exact_one(spark):
     exact, near = ({(r["qid"], r["chunk_id"]) for r in queries()[name](spark, SF).collect()} for name in ("e5_vector_topk", "e6_vector_topk_lsh"))
     assert len(near) == len(exact) and len(near & exact) >= 0.9 * len(exact)
