@@ -165,3 +165,42 @@ def test_the_second_load_is_that_of_a_join_and_moves_no_text(spark, tmp_path, mo
         assert twice or "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def shuffled_bytes(frame):
+    """What the shuffles of a frame move when it is run."""
+    frame.collect()
+
+    def walk(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(plan.plan())
+        own = plan.metrics().apply("dataSize").value() if kind == "ShuffleExchangeExec" else 0
+        return own + sum(walk(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    return walk(frame._jdf.queryExecution().executedPlan())
+
+
+def test_a_repeated_label_moves_the_text_of_its_document_alone(spark, tmp_path):
+    import duckdb
+
+    from check import compare
+    from pagelore.catalog import views
+    from pagelore.catalog.registry import Tables
+
+    spark.range(0, 300).selectExpr("id AS doc_id", "concat(repeat('x', 4000), id) AS text", "if(id % 3 = 0, 'fr', 'en') AS lang", "'s' AS source").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    spark.range(0, 300, 2).selectExpr("id AS doc_id", "CAST(id % 5 = 0 AS INT) AS toxic", "CAST(id % 7 AS INT) AS quality").unionAll(
+        spark.sql("SELECT 4L, 0, 0 UNION ALL SELECT 6L, 1, 0 UNION ALL SELECT NULL, 1, 0 UNION ALL SELECT NULL, 1, 0")).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.sql("SELECT 1L AS page_id, 'u' AS url, 'h' AS html").write.parquet(f"{tmp_path}/pages.parquet")
+    duck = duckdb.connect()
+    for name in ("documents", "labels", "pages"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert 0 < shuffled_bytes(views.load_2(Tables(spark, str(tmp_path)))) < 100_000   # all texts: 1,200,000
+        assert compare(spark, duck, str(tmp_path), "v5_changes_between") == ""
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
