@@ -41,6 +41,26 @@ def test_history_agrees_with_sql_where_changes_are_marked_by_bitmaps(spark, duck
     assert compare(spark, duck, SF, name) == "" and len(made) >= 4   # labels, versions that end, pages that open
 
 
+def test_drift_by_section_shuffles_no_text_in_any_step(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from pagelore.operators import sieve
+
+    frames, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(sieve, "BROADCAST_ROWS", 10)   # every set of changes is large
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *args, **kw: frames.append(self._df) or write(self, *args, **kw))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frames.append(queries()["v5_drift_by_section"](spark, SF))
+        formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        plans = [f._jdf.queryExecution().explainString(formatted) for f in frames]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [m for plan in plans for m in re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)]
+    assert len(frames) > 5 and any("row_hash" in m for m in moved)
+    assert not [m for m in moved if re.search(r"\b(content|text|html)#", m)]
+
+
 def test_registered_approximate_search_is_whole_and_near_the_exact_one(spark):
     exact, near = ({(r["qid"], r["chunk_id"]) for r in queries()[name](spark, SF).collect()} for name in ("e5_vector_topk", "e6_vector_topk_lsh"))
     assert len(near) == len(exact) and len(near & exact) >= 0.9 * len(exact)
