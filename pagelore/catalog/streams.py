@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pagelore.catalog import views as v
 from pagelore.catalog.registry import Tables, query
 from pagelore.operators import vectors
-from pagelore.session import new_path
+from pagelore.session import new_path, remove_folder
+from pagelore.sources.history import PACKED
 from pagelore.streaming import live
 
 
@@ -79,9 +80,11 @@ SELECT url, section, title, row_hash, valid_from, valid_to FROM history_3"""))
 def t5(t: Tables):
     path = new_path(t.spark, "loads")
     for at, load in zip(v.LOADS, (v.load_1, v.load_2, v.load_3)):
-        load(t).withColumn("loaded_at", v.moment(at)).write.mode("append").parquet(path)
+        load(t).withColumn("loaded_at", v.moment(at)).write.mode("append").options(**PACKED).parquet(path)
     schema = t.spark.read.parquet(path).schema
-    history = v.history(t, 1).schema
+    first = v.stored_history(t, 1)
+    history = first.read().schema
+    remove_folder(t.spark, first.path)
     manifest = t.spark.read.schema(schema).parquet(path).groupBy("loaded_at").agg(F.count(F.lit(1)).alias("n_rows"))
     merged = live.stream_scd2(live.read_stream(t.spark, path, schema), manifest, history, v.PAGE_COLS)
     return merged.select("url", "section", "title", "row_hash", "valid_from", "valid_to")

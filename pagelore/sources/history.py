@@ -23,6 +23,8 @@ from pagelore.operators import sieve, versioning
 from pagelore.session import file_names, materialize, read_text, remove_folder, write_text
 
 NTZ = "timestamp_ntz"
+#: How page texts are written: in three fifths of what Spark's default takes on disk.
+PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
 
 
 def _moment(at: datetime | str) -> str:
@@ -127,7 +129,7 @@ class StoredHistory:
         gone, opening = (changes.where(F.col("kind") == k).select(*ident) for k in ("close", "open"))
         ended, staying = sieve.split(self._open(manifest, touched), gone, closes, before, ident)
         if start is not None:
-            ended.withColumn("valid_to", moment).write.parquet(f"{self.path}/closed/{name}")
+            ended.withColumn("valid_to", moment).write.options(**PACKED).parquet(f"{self.path}/closed/{name}")
             manifest.closed.append([f"closed/{name}", _full(start), when])
         if opens <= sieve.BROADCAST_ROWS:   # a page is hashed again only where its key is among those that open
             incoming = incoming.join(F.broadcast(opening.select(self.key).distinct()), self.key, "left_semi")
@@ -141,7 +143,8 @@ class StoredHistory:
         Every task writes into the buckets of its rows. Texts brought together by bucket would cross the
         network once more, and a few buckets of any size would be sorted, each in one task."""
         columns = T.StructType.fromJson(json.loads(manifest.schema)).fieldNames()
-        rows.select(*columns, self._bucket().alias("bucket")).write.partitionBy("bucket").parquet(f"{self.path}/open/{name}")
+        rows.select(*columns, self._bucket().alias("bucket")).write.partitionBy("bucket").options(
+            **PACKED).parquet(f"{self.path}/open/{name}")
         written = {n.partition("=")[2] for n in file_names(self.spark, f"{self.path}/open/{name}") if n.startswith("bucket=")}
         kept = {b: f for b, f in manifest.open.items() if touched is not None and b not in touched}
         manifest.open = kept | {b: f"open/{name}" for b in written}

@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagelore import fixed_values as fx
 from pagelore.operators import monitoring, vectors
-from pagelore.session import file_names, new_path, read_text, remove_folder, write_text
+from pagelore.session import file_names, materialize, new_path, read_text, remove_folder, write_text
 from pagelore.sources.history import StoredHistory
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1_000) -> DataFrame:
@@ -89,8 +89,9 @@ class BatchFolders:
             return self.spark.createDataFrame([], self.stored)
         return self.spark.read.schema(self.stored).parquet(*[f"{self.path}/batches/{f}" for f in folders])
 
-    def rows(self) -> DataFrame:
-        return self._read(list(self.live().values()))
+    def rows(self, besides: int | None = None) -> DataFrame:
+        """The rows of all batches, or of all but one."""
+        return self._read([name for n, name in self.live().items() if n != besides])
 
     def _values(self, keys: Sequence[str]) -> list[str]:
         return [f.name for f in self.schema.fields if f.name not in keys]
@@ -359,10 +360,13 @@ def stream_feedback(feedback: DataFrame, place: Place | None = None) -> DataFram
 class HistoryVersions:
     """T5: page history kept by :class:`StoredHistory`, of which each load changes what it must.
 
-    ``manifest`` lists the loads (``loaded_at, n_rows``). What arrives is held in a folder
-    per micro-batch until a load is there in full, and loads are merged in the order of
-    the manifest. A load that is not complete, or comes after one that is not, waits: a
-    merge of a part of it would retire the pages of the rest."""
+    ``manifest`` lists the loads (``loaded_at, n_rows``). Loads are merged in the order of the
+    manifest, from the micro-batch that makes them complete and the rows held before it. Only the
+    rows of a load that is not complete, or comes after one that is not, are held, in a folder per
+    micro-batch: a merge of a part of it would retire the pages of the rest. A batch is read
+    several times, so its rows must be the same each time, as they must be for a replay."""
+
+    AT_ONCE = 8     # loads read from the batch itself; where there are more, a pass for each would cost more than a copy
 
     def __init__(self, spark: SparkSession, path: str, cols: Sequence[str], manifest: DataFrame, arriving: T.StructType):
         self.spark, self.manifest = spark, manifest
@@ -370,27 +374,46 @@ class HistoryVersions:
         self.held = BatchFolders(spark, f"{path}/held", arriving)
 
     def arrive(self, batch: DataFrame, batch_id: int) -> None:
-        self.held.write(batch, batch_id)
-        while self.merge_next():
+        others = any(n != batch_id for n in self.held.live())   # an earlier try of this batch does not count
+        rows = self.held.rows(besides=batch_id).drop("batch_id").unionByName(batch) if others else batch
+        seen = materialize(rows.groupBy("loaded_at").agg(F.count(F.lit(1)).alias("n")), "arrived")
+        copied = seen.count() > self.AT_ONCE
+        if copied:
+            self.held.write(batch, batch_id)
+            rows = self.held.rows().drop("batch_id")
+        while self.merge_next(rows, seen):
             pass
+        if not copied:
+            waiting = self._waiting(batch)
+            if not self._waiting(seen).isEmpty() and not waiting.isEmpty():
+                self.held.write(waiting, batch_id)
         self.forget()
 
+    def _merged(self) -> DataFrame:
+        """One row, ``until``: the last load that is merged, or null."""
+        return self.manifest.orderBy("loaded_at").limit(self.history.loads()).agg(F.max("loaded_at").alias("until"))
+
+    def _waiting(self, rows: DataFrame) -> DataFrame:
+        """Rows of loads that are not merged."""
+        return rows.join(F.broadcast(self._merged()), F.col("loaded_at") <= F.col("until"), "left_anti")
+
     def forget(self) -> None:
         """Removes held batches all of whose loads are merged."""
-        merged = self.manifest.orderBy("loaded_at").limit(self.history.loads()).agg(F.max("loaded_at").alias("until"))
+        if not self.held.live():
+            return
         over = self.held.rows().groupBy("batch_id").agg(F.max("loaded_at").alias("latest")).join(
-            merged, F.col("latest") <= F.col("until"))
+            self._merged(), F.col("latest") <= F.col("until"))
         self.held.forget([row[0] for row in over.select("batch_id").collect()])   # the few batches of the loads just merged
 
-    def merge_next(self) -> bool:
-        """Merges the next load of the manifest if all its rows are here."""
+    def merge_next(self, rows: DataFrame, seen: DataFrame) -> bool:
+        """Merges the next load of the manifest if it is among ``rows`` in full; ``seen`` has the number of rows by load."""
         due = self.manifest.orderBy("loaded_at").offset(self.history.loads()).limit(1).first()
         if due is None:
             return False
-        load = self.held.rows().where(F.col("loaded_at") == F.lit(due["loaded_at"])).drop("batch_id")
-        if load.count() < due["n_rows"]:
+        mine = F.col("loaded_at") == F.lit(due["loaded_at"])
+        if sum(row["n"] for row in seen.where(mine).collect()) < due["n_rows"]:
             return False
-        self.history.merge(load.drop("loaded_at"), due["loaded_at"])
+        self.history.merge(rows.where(mine).drop("loaded_at"), due["loaded_at"])
         return True
 
 

@@ -248,6 +248,34 @@ def test_only_complete_loads_are_merged(spark, tmp_path):
     assert len(live.file_names(spark, str(tmp_path / "run" / "history" / "manifest"))) == 2
 
 
+@pytest.mark.parametrize("at_once", [8, 1])
+def test_loads_that_a_batch_completes_are_not_copied(spark, tmp_path, monkeypatch, at_once):
+    """Loads 0 and 1 come whole, load 2 with all rows but one; its last row comes later. Each batch comes twice."""
+    schema, cols = "url string, section string, content string", ["content"]
+    at = lambda i: F.lit(f"2024-01-0{i + 1} 00:00:00").cast("timestamp_ntz")
+    loads = [[("a", "s", "1"), ("b", "s", "1")], [("a", "s", "2")], [("a", "s", "2"), ("b", "s", "3")]]
+    frames = [spark.createDataFrame(rows, schema).withColumn("loaded_at", at(i)) for i, rows in enumerate(loads)]
+    manifest = frames[0].unionByName(frames[1]).unionByName(frames[2]).groupBy("loaded_at").agg(F.count(F.lit(1)).alias("n_rows"))
+    whole = versioning.first_load(frames[0].drop("loaded_at"), at(0), cols)
+    for i in (1, 2):
+        whole = versioning.scd2_merge(whole, frames[i].drop("loaded_at"), at(i), cols)
+    copied, write = [], live.BatchFolders.write
+    monkeypatch.setattr(live.BatchFolders, "write", lambda self, rows, n: copied.append((n, rows.count())) or write(self, rows, n))
+    monkeypatch.setattr(live.HistoryVersions, "AT_ONCE", at_once)
+    place = str(tmp_path / "history")
+    versions = live.HistoryVersions(spark, place, cols, manifest, frames[0].schema)
+    first = frames[0].unionByName(frames[1]).unionByName(frames[2].where("url = 'a'"))
+    lost = frames[2].where("url = 'b'").unionByName(spark.createDataFrame([("z", "s", "9")], schema).withColumn("loaded_at", F.lit(None).cast("timestamp_ntz")))
+    for batch, n in ((first, 0), (first, 0), (lost.where("url = 'z'"), 1), (lost.where("url = 'b'"), 2), (lost.where("url = 'b'"), 2)):
+        versions = live.HistoryVersions(spark, place, cols, manifest, frames[0].schema)
+        versions.arrive(batch, n)
+        assert versions.history.loads() == (2 if n < 2 else 3)
+    assert copied == ([(0, 1), (0, 1), (1, 1)] if at_once == 8 else [(0, 4), (0, 4), (1, 1), (2, 1), (2, 1)])
+    fields = whole.columns
+    assert sorted(map(str, versions.history.read().select(*fields).collect())) == sorted(map(str, whole.collect()))
+    assert [r["url"] for r in versions.held.rows().collect()] == ["z"]
+
+
 def test_embedding_stream_equals_batch(spark, tmp_path):
     rows = spark.createDataFrame(
         [("T", None, f"text {i} word", i) for i in range(30)], "page_title string, heading_path string, content string, chunk_id long")
